@@ -4,11 +4,13 @@ from semspark.llm.bpe_codec import op7_bpe_codec
 from semspark.llm.chat import OP8_SQL, op8_chat
 from semspark.llm.decontaminate import OP9_SQL, op9_decontaminate
 from semspark.llm.quality import op5_quality
+from semspark.llm.substrings import OP2_SQL, op2_substrings
 from semspark.llm.token_counts import op6_token_counts
 from semspark.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substrings": op2_substrings,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
@@ -16,4 +18,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
 }
 
-SQL = {"op8_chat": OP8_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op2_substrings": OP2_SQL, "op8_chat": OP8_SQL, "op9_decontaminate": OP9_SQL}
