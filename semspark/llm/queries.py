@@ -7,10 +7,12 @@ from semspark.llm.quality import op5_quality
 from semspark.llm.substrings import OP2_SQL, op2_substrings
 from semspark.llm.token_counts import op6_token_counts
 from semspark.llm.toxicity import op1_toxicity
+from semspark.llm.vectors import OP4_SQL, op4_vectors
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
+    "op4_vectors": op4_vectors,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
@@ -18,4 +20,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
 }
 
-SQL = {"op2_substrings": OP2_SQL, "op8_chat": OP8_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op2_substrings": OP2_SQL, "op4_vectors": OP4_SQL, "op8_chat": OP8_SQL, "op9_decontaminate": OP9_SQL}
