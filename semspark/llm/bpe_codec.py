@@ -17,7 +17,6 @@ unknown to the vocabulary raises an error in decoding.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -25,7 +24,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.llm import bpe
@@ -222,19 +221,14 @@ def pieces_of_ids(batches, rows: int = 256):
             yield batch.slice(lo, rows), None, None
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and hashes of the ids and the decoded bytes."""
-    return coded.select(
-        key,
+def digest_columns() -> list[Column]:
+    """Count and hashes of the ids, and the hash of the decoded bytes."""
+    return [
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decoded(encoded(C.table(spark, sf_dir, "documents"))))
-
-
-def ids_digest(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()
+    return decoded(encoded(C.table(spark, sf_dir, "documents"))).select("doc_id", *digest_columns())

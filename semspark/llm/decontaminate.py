@@ -182,6 +182,24 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     return out.withColumnRenamed("key", key)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with their own columns."""
+    C.bounded_batches(docs.sparkSession)
+
+    def clean(batches, patterns: Patterns):
+        for batch, data, at in C.pieces(batches, "text"):
+            hit, _ = patterns.search(*_words(data, at))
+            first = C.word_spans(data, at, _WORD)[2]
+            total = np.append(0, np.cumsum(hit))
+            yield batch.filter(pa.array(total[first[1:]] == total[first[:-1]]))
+
+    out = docs
+    for block in pattern_blocks(benchmark, window, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Patterns(block))
+        out = out.mapInArrow(lambda it, s=shared: clean(it, s.value), docs.schema)
+    return out
+
+
 def _digest(batches, key: str):
     for batch in batches:
         items = batch.column("items").to_pylist()
