@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from semspark.llm import common as C
 
 HALF = 7
-GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 512, 2 << 20, 4 << 20
+GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 512, 2 << 20, 1 << 20
 
 _BUCKETED = "bucket int, home int, payload binary"
 
@@ -248,10 +248,9 @@ def deduplicated(docs: DataFrame, half: int = HALF, group_rows: int = GROUP_ROWS
     """
     n = 2 * half - 1
     dealt, buckets = _dealt(docs, group_rows, group_bytes, bucket_bytes)
-    slim = dealt.select("_id", "_text", "_home")
-    halves = slim.groupBy("_home").applyInArrow(lambda t: _half_windows(t, half, buckets), _BUCKETED)
+    halves = dealt.groupBy("_home").applyInArrow(lambda t: _half_windows(t, half, buckets), _BUCKETED)
     alive = halves.groupBy("bucket").applyInArrow(_repeated_halves, "home int, answer binary")
-    wholes = slim.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(lambda a, b: _whole_windows(a, b, half, buckets), _BUCKETED)
+    wholes = dealt.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(lambda a, b: _whole_windows(a, b, half, buckets), _BUCKETED)
     repeats = wholes.groupBy("bucket").applyInArrow(_smaller_elsewhere, "home int, answer binary")
     kept = T.StructType([*(f for f in dealt.schema if f.name not in ("_text", "_home")), *(T.StructField(c, T.StringType()) for c in ("_left", "_digest")), *(T.StructField(c, T.LongType()) for c in ("_total", "_removed"))])
     out = dealt.groupBy("_home").cogroup(repeats.groupBy("home")).applyInArrow(lambda a, b: _kept(a, b, n).select(kept.names), kept)
