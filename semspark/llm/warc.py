@@ -2,7 +2,8 @@ r"""Merkle fixity audit of WARC replicas.
 
 Pages are written as WARC/1.0 response records, in files of consecutive page ids.
 The manifest, made when a replica was written, knows each record's file, offset,
-length and SHA-256.  A replica is a table of the records' bytes.
+length and SHA-256.  A replica is a table of the records' bytes, which are hashed
+where they lie; only hashes and places are shuffled.
 
 Each replica's record hashes are the leaves of a tree; ``FAN`` neighbours in the
 order of their offsets (so, an offset range of a file) hash into a node, up to the
@@ -42,25 +43,31 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def written(pages: DataFrame, file_ids: int = FILE_IDS, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Records with their place: file, part, nth, start (offset), size, copies, page_id, bytes."""
+def records(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
+    """Records (page_id, file, sha, bytes), made where the pages lie; ``sha`` is that of the bytes as written."""
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
     rows = rows.select("page_id", F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("bytes"))
-    rows = rows.withColumn("sha", F.sha2("bytes", 256))
-    alike = rows.groupBy("file", "page_id", "sha").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
-    alike = alike.withColumn("size", F.octet_length("bytes").cast("long"))
+    return rows.select("page_id", "file", F.sha2("bytes", 256).alias("sha"), "bytes")
+
+
+def manifest(recs: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
+    """Each record's place: file, part, nth, start (offset), size, copies, page_id, sha.  Hashes and sizes travel, contents do not."""
+    alike = recs.select("file", "page_id", "sha", F.octet_length("bytes").cast("long").alias("size")).groupBy("file", "page_id", "sha", "size").agg(F.count("*").alias("copies"))
     # many records in the ids of one file (an id in a third of all rows, say): by hash, into parts of their own
     parts = alike.groupBy("file").agg(F.ceil(F.count("*") / file_records).cast("int").alias("parts"))
     alike = alike.join(parts, "file").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("parts")).cast("int"))
     order = Window.partitionBy("file", "part").orderBy(F.col("page_id").asc_nulls_first(), "sha")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return alike.select("file", "part", (F.row_number().over(order) - 1).cast("long").alias("nth"), F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)).cast("long").alias("start"), "size", "copies", "page_id", "bytes")
+    start = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)).cast("long")
+    return alike.select("file", "part", (F.row_number().over(order) - 1).cast("long").alias("nth"), start.alias("start"), "size", "copies", "page_id", "sha")
 
 
-def leaves(replica: DataFrame) -> DataFrame:
-    """Record hashes: (file, part, nth, start, size, hash)."""
-    return replica.select("file", "part", "nth", "start", "size", F.sha2("bytes", 256).alias("hash"))
+def leaves(replica: DataFrame, plan: DataFrame) -> DataFrame:
+    """Hashes of a replica's records (page_id, file, sha, bytes), at the places of the manifest: (file, part, nth, start, size, hash)."""
+    found = replica.select("file", F.coalesce("page_id", F.lit(-1)).alias("id"), "sha", F.sha2("bytes", 256).alias("hash")).groupBy("file", "id", "sha").agg(F.max("hash").alias("hash"))
+    places = plan.withColumn("id", F.coalesce("page_id", F.lit(-1)))
+    return places.join(found, ["file", "id", "sha"]).select("file", "part", "nth", "start", "size", "hash")
 
 
 def _parents(level: DataFrame, keys: list[Column], order: str) -> DataFrame:
@@ -70,15 +77,15 @@ def _parents(level: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return level.groupBy(*keys).agg(F.sha2(text, 256).alias("hash"))
 
 
-def tree(records: DataFrame, fan: int = FAN) -> dict[str, DataFrame]:
-    """Levels of one replica, from the records' ranges (0), over parts and files, to the root.
+def tree(leaf: DataFrame, fan: int = FAN) -> dict[str, DataFrame]:
+    """Levels of one replica, from the ranges of its leaves (0), over parts and files, to the root.
 
     Levels inside a part have (file, part, node, hash); those over files (node, hash).
     """
     levels: dict[str, DataFrame] = {}
-    level = records.select("file", "part", F.col("nth").alias("node"), "hash")
+    level = leaf.select("file", "part", F.col("nth").alias("node"), "hash")
     height = 0
-    top = records.agg(F.max("nth")).first()[0] or 0
+    top = leaf.agg(F.max("nth")).first()[0] or 0
     while True:
         level = C.stored(_parents(level.withColumn("up", F.floor(F.col("node") / fan)), [F.col("file"), F.col("part"), F.col("up").alias("node")], "node"), "merkle")
         levels[f"range{height}"] = level
@@ -107,9 +114,9 @@ def _differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def audit(mine: DataFrame, other: DataFrame, fan: int = FAN) -> DataFrame:
     """Records in which the replicas differ: file, part, nth, start, size, mine, other (hashes; null where a side has none).
 
-    Both sides have ``written``'s columns.  Each level reads only the children of nodes that differ above it.
+    Both sides are ``leaves``.  Each level reads only the children of nodes that differ above it.
     """
-    a, b = C.stored(leaves(mine), "leaves"), C.stored(leaves(other), "leaves")
+    a, b = C.stored(mine, "leaves"), C.stored(other, "leaves")
     mine, other = tree(a, fan), tree(b, fan)
     names = [k for k in dict.fromkeys([*mine, *other])]
     over = sorted((k for k in names if k.startswith("file")), key=lambda k: -int(k[4:]))
@@ -133,20 +140,21 @@ def audit(mine: DataFrame, other: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def damaged(replica: DataFrame, every: int = 97) -> DataFrame:
-    """A copy of a replica with faults that depend on the record's place alone: a byte changed in some, some cut short, some lost."""
-    mark = F.pmod(F.pmod("file", F.lit(every)) * 31 + F.col("part") * 7 + F.col("nth"), F.lit(every))
-    place = (F.col("size") / 2).cast("int")
-    flipped = F.concat(F.substring("bytes", 1, place), F.lit(b"\x00"), F.expr("substring(bytes, cast(size / 2 as int) + 2)"))
-    cut = F.expr("substring(bytes, 1, cast(size - 7 as int))")
-    bytes_ = F.when(mark == 0, flipped).when(mark == 1, cut).otherwise(F.col("bytes"))
-    return replica.where(mark != 2).withColumn("bytes", bytes_)
+    """A copy of a replica with faults that depend on the page's id alone: a byte changed in some, some cut short, some lost."""
+    mark, size = F.pmod(F.coalesce("page_id", F.lit(3)), F.lit(every)), F.octet_length("bytes")
+    half = F.floor(size / 2).cast("int")
+    flipped = F.concat(F.substring("bytes", F.lit(1), half), F.lit(b"\x00"), F.substring("bytes", half + 2, size))
+    cut = F.substring("bytes", F.lit(1), size - 7)
+    return replica.where(mark != 2).withColumn("bytes", F.when(mark == 0, flipped).when(mark == 1, cut).otherwise(F.col("bytes")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a damaged copy of the pages' records: where it differs, and from what."""
-    here = C.stored(written(C.table(spark, sf_dir, "pages")), "replica")
-    found = audit(here, damaged(here))
-    ids = here.select("file", "part", "nth", "page_id", "copies")
+    recs = records(C.table(spark, sf_dir, "pages"))
+    plan = C.stored(manifest(recs), "manifest")
+    mine = plan.select("file", "part", "nth", "start", "size", F.col("sha").alias("hash"))
+    found = audit(mine, leaves(damaged(recs), plan))
+    ids = plan.select("file", "part", "nth", "page_id", "copies")
     return found.join(ids, ["file", "part", "nth"], "left").select("file", "part", "nth", "page_id", "copies", "start", "size", F.col("mine").alias("expected_sha256"), F.col("other").alias("found_sha256"))
 
 
@@ -160,7 +168,7 @@ rec AS (SELECT file, page_id, ('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: r
 alike AS (SELECT file, 0 AS part, page_id, r, sha256(r) AS sha, strlen(r)::BIGINT AS size, count(*)::BIGINT AS copies FROM rec GROUP BY ALL),
 put AS (SELECT *, row_number() OVER w - 1 AS nth, coalesce(sum(size * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
         FROM alike WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha)),
-hit AS (SELECT *, (((file % 97 + 97) % 97) * 31 + nth) % 97 AS mark, encode(r) AS b FROM put)
+hit AS (SELECT *, coalesce((page_id % 97 + 97) % 97, 3) AS mark, encode(r) AS b FROM put)
 SELECT file, part, nth, page_id, copies, start, size, sha AS expected_sha256,
        CASE mark WHEN 0 THEN sha256(b[1:size // 2] || '\x00'::BLOB || b[size // 2 + 2:]) WHEN 1 THEN sha256(b[1:size - 7]) END AS found_sha256
 FROM hit WHERE mark <= 2
