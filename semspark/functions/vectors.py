@@ -23,7 +23,8 @@ def norm(v: Column) -> Column:
 def cosine_of(product: Column, norm_a: Column, norm_b: Column, strict: bool = True) -> Column:
     """Cosine from a dot product and norms, within [-1, 1].  A zero norm is an error, or null where not strict."""
     length = norm_a * norm_b
-    value = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(product, length)))
+    # least and greatest pass over nulls, so a null must not reach them
+    value = F.when(length != 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(product, length))))
     return F.when(length == 0, F.raise_error(F.lit("a zero vector has no cosine"))).otherwise(value) if strict else value
 
 
