@@ -109,11 +109,13 @@ def _half_windows(table: pa.Table, half: int, buckets: int) -> pa.Table:
     words = Words(table)
     at = words.windows(2 * half - 1)
     low, doc = words.minimisers(half, at), words.doc[at]
-    new = _runs(low, doc) if len(low) else np.zeros(0, bool)
+    if not len(low):
+        return _empty_bucketed()
+    new = _runs(low, doc)
     low, doc = low[new], doc[new]
     order = np.argsort(low, kind="stable")
     low, doc = low[order], doc[order]
-    head = np.flatnonzero(_runs(low)) if len(low) else np.zeros(0, np.int64)
+    head = np.flatnonzero(_runs(low))
     tail = np.append(head[1:], len(low)) - 1
     return _emit(table.column("_home")[0].as_py(), buckets, low[head], (doc[head] != doc[tail]).astype("u1"))
 

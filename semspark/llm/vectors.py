@@ -1,15 +1,18 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
-Each tree splits the vectors by random directions at the median of their
-projections; those within the spill margin of a split go to both sides.  Vectors
-are compared within the leaves, and pairs of cosine at or above the threshold are
-verified links; connected components unite them.
+Each tree splits the vectors by random directions, at that one of the middle
+quantiles of their projections where they lie thinnest; those within the spill
+margin of the split go to both sides.  The margin is half of what the projections
+of a pair at the threshold differ by.  Vectors are compared within the leaves, and
+pairs of cosine at or above the threshold are verified links; connected components
+unite them.
 
 The upper splits are fitted on a bounded sample (``SAMPLE`` vectors); every vector
 is indexed.  Leaves that hold more than ``LEAF_ROWS`` of all vectors are split on,
-round by round, at medians that Spark computes over all their rows.  A leaf of
-vectors that lie too close together to be told apart is not split: it is compared
-in blocks, every pair of blocks in a task of its own, and so no pair is left out.
+round by round, at quantiles that Spark computes over all their rows.  Where a
+split would send too many vectors to both sides, as in a group of near copies, it
+is not made: such a leaf is compared in blocks, every pair of blocks in a task of
+its own, and so no pair is left out.
 
 Equal vectors are one vector with a number of copies.  No pair leaves a task: a
 pair that shares several leaves is counted in the first of them, so that counts
@@ -36,22 +39,28 @@ COSINE = 0.95
 TREES = 8
 #: Bound of the sample that the upper splits are fitted on.
 SAMPLE = 16_384
-#: Share of vectors on either side of a median that go to both sides.
-SPILL = 0.05
+#: Quantiles at which a split may be made.
+QUANTILES = [0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7]
+#: A split that sends a larger share to both sides is not made.
+MOST_SPILL = 0.4
 LEAF_ROWS = 1024
-#: Vectors whose projections differ by less (for nine tenths of them) are not split.
-TIGHT = 0.08
 ROUNDS = 40
 
 
+def margin(cosine: float, dimensions: int) -> float:
+    """Half the standard deviation of the difference of two unit vectors' projections, if they are at the threshold."""
+    return 0.5 * (2 * (1 - cosine) / dimensions) ** 0.5
+
+
 class Tree:
     """Split nodes as arrays: direction, bounds and children; a child below 0 is the leaf -1 - child."""
 
-    def __init__(self, unit: np.ndarray, leaf: int, rng: np.random.Generator):
+    def __init__(self, unit: np.ndarray, leaf: int, spill: float, rng: np.random.Generator):
+        self.spill = spill
         self.directions, self.low, self.high, self.children = [], [], [], []
         self.leaves = 0
         self.root = self._grow(unit, np.arange(len(unit)), leaf, rng)
-        self.directions = np.array(self.directions).reshape(len(self.low), -1)
+        self.directions = np.array(self.directions).reshape(len(self.low), unit.shape[1])
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.children = np.array(self.children, np.int64).reshape(-1, 2)
 
@@ -60,14 +69,16 @@ class Tree:
             d = rng.normal(size=unit.shape[1])
             d /= np.linalg.norm(d)
             p = unit[rows] @ d
-            q = np.quantile(p, [0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95])
-            if q[3] - q[0] >= TIGHT:
-                me = len(self.low)
+            cuts = np.quantile(p, QUANTILES)
+            order = np.sort(p)
+            near = np.searchsorted(order, cuts + self.spill, "right") - np.searchsorted(order, cuts - self.spill)
+            if near.min() <= MOST_SPILL * len(rows):
+                cut, me = cuts[near.argmin()], len(self.low)
                 self.directions.append(d)
-                self.low.append(q[1])
-                self.high.append(q[2])
+                self.low.append(cut - self.spill)
+                self.high.append(cut + self.spill)
                 self.children.append([0, 0])
-                self.children[me] = [self._grow(unit, rows[p <= q[2]], leaf, rng), self._grow(unit, rows[p >= q[1]], leaf, rng)]
+                self.children[me] = [self._grow(unit, rows[p <= cut + self.spill], leaf, rng), self._grow(unit, rows[p >= cut - self.spill], leaf, rng)]
                 return me
         self.leaves += 1
         return -self.leaves
@@ -122,16 +133,16 @@ def _assign(batches, forest: dict[int, list[Tree]]):
         yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(leaves + (unit.shape[1] << 44))], ["node", "leaf"])
 
 
-def _project(batches):
-    """Projection of each vector on its leaf's own direction."""
+def _project(batches, cosine: float):
+    """Projection of each vector on its leaf's own direction, and the spill margin."""
     for batch in _by_length(batches):
         unit = _unit(_matrix(batch.column("vector")))
         leaf = batch.column("leaf").to_numpy()
         p = np.empty(len(unit))
         for k in np.unique(leaf):
-            d = np.random.default_rng(np.array([k], np.int64).view(np.uint64)).normal(size=unit.shape[1])
+            d = np.random.default_rng(int(k)).normal(size=unit.shape[1])
             p[leaf == k] = unit[leaf == k] @ (d / np.linalg.norm(d))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leaf"), pa.array(p)], ["node", "leaf", "p"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leaf"), pa.array(p), pa.array(np.full(len(p), margin(cosine, unit.shape[1])))], ["node", "leaf", "p", "m"])
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -182,28 +193,31 @@ def _compare(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"node": pa.array(node[some]), "links": pa.array(links[some]), "low": pa.array(low[lab[some]])})
 
 
-def _forest(nodes: DataFrame, count: int, trees: int, sample: int, leaf_rows: int, seed: int) -> dict[int, list[Tree]]:
+def _forest(nodes: DataFrame, count: int, trees: int, sample: int, leaf_rows: int, cosine: float, seed: int) -> dict[int, list[Tree]]:
     drawn = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).select("vector").toLocalIterator()
     by_length: dict[int, list[np.ndarray]] = {}
     for r in drawn:
         v = np.frombuffer(r.vector, "<f8")
         by_length.setdefault(len(v), []).append(v)
     leaf = max(24, leaf_rows // 4 * min(sample, count) // max(1, count))
-    return {n: [Tree(_unit(np.array(vs)), leaf, np.random.default_rng([seed, n, t])) for t in range(trees)] for n, vs in by_length.items()}
+    return {n: [Tree(_unit(np.array(vs)), leaf, margin(cosine, n), np.random.default_rng([seed, n, t])) for t in range(trees)] for n, vs in by_length.items()}
 
 
-def _refined(placed: DataFrame, nodes: DataFrame, leaf_rows: int, rounds: int) -> DataFrame:
-    """Split overfull leaves at the medians of all their rows, until none is overfull or can be split."""
+def _refined(placed: DataFrame, nodes: DataFrame, leaf_rows: int, rounds: int, cosine: float) -> DataFrame:
+    """Split overfull leaves where all their rows lie thinnest, until none is overfull or can be split."""
     settled = None
     for _ in range(rounds):
         sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows)
         if sizes.isEmpty():
             break
         full = placed.join(sizes.select("leaf"), "leaf")
-        p = C.stored(full.join(nodes.select("node", "vector"), "node").select("node", "leaf", "vector").mapInArrow(_project, "node long, leaf long, p double"), "projected")
-        cuts = p.groupBy("leaf").agg(F.percentile_approx("p", [0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95], 1000).alias("q")).withColumn("far", F.col("q")[3] - F.col("q")[0] >= TIGHT)
-        moved = p.join(cuts, "leaf")
-        sides = F.filter(F.array(F.when(F.col("p") <= F.col("q")[2], 0), F.when(F.col("p") >= F.col("q")[1], 1)), lambda s: s.isNotNull())
+        p = C.stored(full.join(nodes.select("node", "vector"), "node").select("node", "leaf", "vector").mapInArrow(lambda it: _project(it, cosine), "node long, leaf long, p double, m double"), "projected")
+        cuts = p.groupBy("leaf").agg(F.percentile_approx("p", QUANTILES, 1000).alias("q"))
+        near = [F.struct(F.count_if(F.abs(F.col("p") - F.col("q")[i]) <= F.col("m")).alias("n"), F.first(F.col("q")[i]).alias("cut")) for i in range(len(QUANTILES))]
+        best = p.join(cuts, "leaf").groupBy("leaf").agg(F.array_min(F.array(*near)).alias("best"), F.count("*").alias("n"))
+        best = best.select("leaf", F.col("best.cut").alias("cut"), (F.col("best.n") <= MOST_SPILL * F.col("n")).alias("far"))
+        moved = p.join(best, "leaf")
+        sides = F.filter(F.array(F.when(F.col("p") <= F.col("cut") + F.col("m"), 0), F.when(F.col("p") >= F.col("cut") - F.col("m"), 1)), lambda s: s.isNotNull())
         split = moved.where("far").select("node", F.explode(sides).alias("side"), "leaf").select("node", F.xxhash64("leaf", "side").bitwiseAND(F.lit((1 << 62) - 1)).alias("leaf"))
         done = moved.where(~F.col("far")).select("node", "leaf")
         rest = placed.join(sizes.select("leaf"), "leaf", "left_anti").unionByName(done)
@@ -223,9 +237,9 @@ def linked(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", c
     same = [F.when(fine, F.xxhash64("vector")).alias("k1"), F.when(fine, F.xxhash64(F.lit(1), "vector")).alias("k2")]
     keyed = rows.where(fine).select("id", "vector", *same)
     nodes = C.stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")).select("k1", "k2", "node", "copies", "vector").mapInArrow(_pack, "k1 long, k2 long, node long, copies long, vector binary"), "nodes")
-    forest = vectors.sparkSession.sparkContext.broadcast(_forest(nodes, nodes.count(), trees, sample, leaf_rows, seed))
+    forest = vectors.sparkSession.sparkContext.broadcast(_forest(nodes, nodes.count(), trees, sample, leaf_rows, cosine, seed))
     placed = C.stored(nodes.select("node", "vector").mapInArrow(lambda it: _assign(it, forest.value), "node long, leaf long").distinct(), "placed")
-    placed = _refined(placed, nodes, leaf_rows, rounds)
+    placed = _refined(placed, nodes, leaf_rows, rounds, cosine)
     # leaves of one vector are of no use; those of many are compared in blocks
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("leaf", F.ceil(F.col("n") / leaf_rows).cast("int").alias("blocks"))
