@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 
 #: A cache of pre-tokens is emptied at this many entries; results do not depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Pieces of at most so many bytes are merged side by side in arrays.
 SHORT = 48
 _NEVER = 1 << 60
@@ -80,21 +80,23 @@ def merged(piece: bytes, rank) -> list[bytes]:
 class Merger:
     """Byte-pair merging of many short pieces at once.
 
-    ``pairs`` maps (left bytes, right bytes) to the order of their merge.  Ids are
-    those of ``ids`` where given, else numbers of our own: bytes first.
+    ``pairs`` gives (left id, right id, order of their merge, id of the result),
+    ``ids`` the id of each token; ``rank(left, right)`` is the order by bytes, for
+    pieces that are too long for arrays.
     """
 
-    def __init__(self, pairs: dict[tuple[bytes, bytes], int], ids: dict[bytes, int] | None = None):
-        self.pairs = pairs
-        self.ids = ids if ids is not None else {t: i for i, t in enumerate(dict.fromkeys([*(bytes([b]) for b in range(256)), *(a + b for a, b in pairs)]))}
-        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in pairs], np.uint64)
-        self.result = np.zeros(max(pairs.values(), default=0) + 1, np.int64)
-        self.result[list(pairs.values())] = [self.ids[a + b] for a, b in pairs]
-        self.bits = max(8, int(8 * len(pairs)).bit_length())
+    def __init__(self, pairs, ids: dict[bytes, int], rank):
+        self.ids, self.by_bytes = ids, rank
+        self.of_byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+        flat = np.fromiter((x for p in pairs for x in p), np.int64).reshape(-1, 4)
+        keys = (flat[:, 0].astype(np.uint64) << np.uint64(32)) | flat[:, 1].astype(np.uint64)
+        ranks = flat[:, 2].copy()
+        self.result = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+        self.result[ranks] = flat[:, 3]
+        self.bits = max(8, int(3 * len(flat)).bit_length())
         self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.ranks = np.full(1 << self.bits, _NEVER, np.int64)
-        left, ranks, slot = keys, np.fromiter(pairs.values(), np.int64, len(pairs)), self._slot(keys)
+        left, slot = keys, self._slot(keys)
         while len(left):  # open addressing: one of those that meet in a free slot stays, the rest move on
             free = self.keys[slot] == np.uint64(2**64 - 1)
             first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)[1]
@@ -104,6 +106,18 @@ class Merger:
             rest[first] = False
             left, ranks, slot = left[rest], ranks[rest], (slot[rest] + 1) & (len(self.keys) - 1)
 
+    @classmethod
+    def of_merges(cls, merges: dict[tuple[bytes, bytes], int]) -> Merger:
+        """From a list of merges; ids are numbers of our own."""
+        ids = {t: i for i, t in enumerate(dict.fromkeys([*(bytes([b]) for b in range(256)), *(a + b for a, b in merges)]))}
+        return cls(((ids[a], ids[b], r, ids[a + b]) for (a, b), r in merges.items()), ids, lambda a, b: merges.get((a, b)))
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merger:
+        """From ranks: any two tokens merge whose bytes joined are a token."""
+        split = ((ranks[t[:i]], ranks[t[i:]], r, r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        return cls(split, ranks, lambda a, b: ranks.get(a + b))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -132,7 +146,7 @@ class Merger:
                 self._merge(pieces, some[k : k + 8192], sizes, high, out)
             low = high
         for i in np.flatnonzero(sizes > SHORT).tolist():
-            out[i] = np.array([self.ids[t] for t in merged(pieces[i], lambda a, b: self.pairs.get((a, b)))], np.int64)
+            out[i] = np.array([self.ids[t] for t in merged(pieces[i], self.by_bytes)], np.int64)
         return out
 
     def _merge(self, pieces, some, sizes, width, out) -> None:
@@ -164,11 +178,6 @@ class Merger:
             order[inner, at[inner] - 1] = self.rank(ids[inner, at[inner] - 1], ids[inner, at[inner]])
 
 
-def pairs_of_ranks(ranks: dict[bytes, int]) -> dict[tuple[bytes, bytes], int]:
-    """Every pair of tokens whose bytes joined are a token, with that token's rank."""
-    return {(t[:i], t[i:]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-
-
 @lru_cache(1)
 def class_table() -> np.ndarray:
     """For each code point 1 (letter), 2 (number), 3 (white space) or 0, as the tokenizer library's patterns see it."""

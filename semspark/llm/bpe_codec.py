@@ -44,7 +44,7 @@ class Codec:
 
     def __init__(self, ranks: str = RANKS):
         self.ranks = bpe.ranks_of(ranks)
-        self.merger = bpe.Merger(bpe.pairs_of_ranks(self.ranks), self.ranks)
+        self.merger = bpe.Merger.of_ranks(self.ranks)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.ids: dict[str, bytes] = {}
@@ -135,13 +135,13 @@ def stitch(spans: list[tuple[int, int]], bounds: list[np.ndarray]) -> list[tuple
 
 
 def _whole(batches, ranks: str):
-    """Texts of one chunk."""
+    """Texts of one chunk: ids, and the bytes decoded from them."""
     c = codec(ranks)
-    for batch, _, _ in C.pieces(batches, "text"):
+    for batch, _, _ in C.pieces(batches, "text", 1 << 20):
         split = [c.pieces(x) if x else [] for x in batch.column("text").to_pylist()]
         c.learn([p for x in split for p in x])
         ids = [c.encode(x) for x in split]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["key", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], ["key", "ids", "bytes"])
 
 
 def _chunks(batches, chunk_chars: int):
@@ -171,8 +171,8 @@ def _provisional(batches, ranks: str):
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "row", "chunk")), *(pa.array(x, pa.binary()) for x in (bounds, ids, counts))], ["key", "row", "chunk", "bounds", "ids", "counts"])
 
 
-def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ids of one text from its chunks."""
+def _stitched(pdf: pd.DataFrame, ranks: str) -> pd.DataFrame:
+    """Ids of one text from its chunks, and the bytes decoded from them."""
     pdf = pdf.sort_values("chunk")
     bounds = [np.frombuffer(b, "<i8") for b in pdf["bounds"]]
     spans = [(int(b[0]), int(b[-1])) for b in bounds]
@@ -182,45 +182,42 @@ def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
         n = np.frombuffer(n, "<i8")
         first, last = n[np.searchsorted(b, lo)], n[np.searchsorted(b, hi)]
         out.append(ids[4 * first : 4 * last])
-    return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [b"".join(out)]})
+    ids = b"".join(out)
+    return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [ids], "bytes": [codec(ranks).decode(ids)], "row": pdf["row"].iloc[:1]})
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``key`` and ``ids``: each whole text's ids, little-endian, 32 bits each."""
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
+def coded(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``key``, ``ids`` (each whole text's, little-endian, 32 bits each) and ``bytes`` (what the ids decode to)."""
+    C.bounded_batches(docs.sparkSession, 512)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["key"]
     long = F.length("text") > chunk_chars
-    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(lambda it: _whole(it, ranks), f"key {kind}, ids binary")
-    # a row's number is its own even where ids repeat; it need only hold within this job
-    chunks = rows.where(long).withColumn("row", F.xxhash64("key", "text")).mapInArrow(lambda it: _chunks(it, chunk_chars), f"key {kind}, row long, chunk int, start long, text string")
-    again = rows.where(long).groupBy("key", F.xxhash64("key", "text").alias("row")).agg(F.count("*").alias("copies"))
+    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(lambda it: _whole(it, ranks), f"key {kind}, ids binary, bytes binary")
+    # equal rows are encoded once
+    row = F.xxhash64("key", "text").alias("row")
+    chunks = rows.where(long).select("key", "text", row).mapInArrow(lambda it: _chunks(it, chunk_chars), f"key {kind}, row long, chunk int, start long, text string")
+    copies = rows.where(long).groupBy(row).agg(F.count("*").cast("int").alias("copies"))
     dealt = chunks.dropDuplicates(["row", "chunk"]).mapInArrow(lambda it: _provisional(it, ranks), f"key {kind}, row long, chunk int, bounds binary, ids binary, counts binary")
-    joined = dealt.groupBy("row").applyInPandas(lambda pdf: _stitched(pdf).assign(row=pdf["row"].iloc[0]), f"key {kind}, ids binary, row long")
-    copies = joined.join(again.select("row", "copies"), "row").select("key", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
-    return short.unionByName(copies).withColumnRenamed("key", key)
+    joined = dealt.groupBy("row").applyInPandas(lambda pdf: _stitched(pdf, ranks), f"key {kind}, ids binary, bytes binary, row long")
+    every = joined.join(copies, "row").select("key", "ids", "bytes", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+    return short.unionByName(every).withColumnRenamed("key", key)
 
 
 def decoded(ids: DataFrame, key: str = "doc_id", ranks: str = RANKS) -> DataFrame:
-    """``key``, ``ids`` and their raw ``bytes``."""
+    """``key``, ``ids`` and the raw ``bytes`` that they stand for."""
 
     def run(batches):
         c = codec(ranks)
-        for batch, _, _ in pieces_of_ids(batches):
-            raw = [c.decode(x or b"") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("ids"), pa.array(raw, pa.binary())], ["key", "ids", "bytes"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                raw = [c.decode(x or b"") for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(raw, pa.binary())], ["key", "ids", "bytes"])
 
     rows = ids.select(F.col(key).alias("key"), "ids")
     return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, ids binary, bytes binary").withColumnRenamed("key", key)
 
 
-def pieces_of_ids(batches, rows: int = 256):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows), None, None
-
-
 def digest_columns() -> list[Column]:
     """Count and hashes of the ids, and the hash of the decoded bytes."""
     return [
@@ -231,4 +228,4 @@ def digest_columns() -> list[Column]:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded(encoded(C.table(spark, sf_dir, "documents"))).select("doc_id", *digest_columns())
+    return coded(C.table(spark, sf_dir, "documents")).select("doc_id", *digest_columns())

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_BATCH = 1024
-BATCH_BYTES = 4 << 20
+ROWS_PER_BATCH = 512
+BATCH_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15 | 1

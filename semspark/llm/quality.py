@@ -69,7 +69,7 @@ class Network:
     def describe(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled @ self.p["hidden"] + self.p["hidden_b"], 0)
 
-    def score(self, data: np.ndarray, at: np.ndarray, most: int = 8192) -> np.ndarray:
+    def score(self, data: np.ndarray, at: np.ndarray, most: int = 1024) -> np.ndarray:
         """Probability of each text; at most ``most`` chunks are held at a time."""
         n = len(at) - 1
         top, total, count = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float64), np.zeros(n)

@@ -139,7 +139,7 @@ class Transducer:
         self.go[np.arange(_SIZE) * _SIZE + 15] = np.arange(_SIZE)
         self.symbols = symbol_table()
         merges, self.special = bpe.merges_of(vocabulary)
-        self.merger = bpe.Merger(merges)
+        self.merger = bpe.Merger.of_merges(merges)
         self.paths: dict[str, int] = {}
         self.chunk = chunk
 
