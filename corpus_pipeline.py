@@ -35,8 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_pair_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian, 32 bits each), their number, and the digests of the ids and of the bytes decoded from them."""
-    coded = bpe_codec.decoded(bpe_codec.encoded(docs))
-    return coded.select("doc_id", "ids", *bpe_codec.digest_columns())
+    return bpe_codec.coded(docs).select("doc_id", "ids", *bpe_codec.digest_columns())
 
 
 STAGES = [
