@@ -370,7 +370,8 @@ def pair_validate(spark, sf):
 
 
 def _people(spark, sf) -> DataFrame:
-    return FX.individuals(spark, sf).where(population.complete())
+    """The complete individuals, written once: the plans below read them several times, and they come from whole texts."""
+    return sinks.stored(FX.individuals(spark, sf).where(population.complete()), "people")
 
 
 def _results(spark, sf) -> tuple[DataFrame, DataFrame]:
