@@ -25,7 +25,8 @@ from semspark.llm import samples
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Bound of the training sample, for either class.
 PER_CLASS = 1200
-EPOCHS = 6
+#: Mini-batches of training, whatever the sample's size.
+STEPS, BATCH = 450, 32
 WIDTH, STEP, CHUNK, STRIDE = 12, 4, 512, 384
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 _CELLS = (CHUNK - WIDTH) // STEP + 1
@@ -124,7 +125,7 @@ class Network:
         return g
 
 
-def train(texts: list[bytes], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 11) -> Network:
+def train(texts: list[bytes], labels: list[int], share: float | None = None, steps: int = STEPS, seed: int = 11) -> Network:
     """Adam on mini-batches of texts, weighed to ``share``, that of label 1 among all labelled rows."""
     net = Network(seed)
     y = np.array(labels, np.float32)
@@ -135,11 +136,11 @@ def train(texts: list[bytes], labels: list[int], share: float | None = None, epo
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     net.p["out"][:] = rng.normal(size=2 * HIDDEN) * 0.2
     t = 0
-    for epoch in range(epochs):
-        rate = 0.004 * (1 - epoch / epochs) + 0.0005
+    while t < steps:
         order = rng.permutation(len(texts))
-        for lo in range(0, len(order), 32):
-            some = order[lo : lo + 32]
+        for lo in range(0, len(order), BATCH):
+            rate = 0.004 * max(0, 1 - t / steps) + 0.0005
+            some = order[lo : lo + BATCH]
             at = np.cumsum([0, *(len(texts[i]) for i in some)])
             codes, doc = chunks(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), at)
             t += 1

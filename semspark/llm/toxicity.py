@@ -32,7 +32,8 @@ PER_CLASS = 3000
 BUCKETS = 1 << 20
 #: Beginnings of words, in bytes, that are features besides the whole word.
 HEADS = (4, 6, 7)
-EPOCHS = 6
+#: Mini-batches of training at least; a large sample is gone through six times.
+STEPS, BATCH, EPOCHS = 200, 128, 6
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -78,7 +79,7 @@ class Model:
         return -np.expm1(-total), doc, start, end, logistic(z)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray, int]], share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray, int]], share: float | None = None, steps: int = STEPS, seed: int = 7) -> Model:
     """Fit on (features by word, sentence of each word, label) of each document: Adagrad on the noisy-or's likelihood.
 
     ``share`` is the share of label 1 among all labelled rows; the sample is weighed to it.
@@ -92,10 +93,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], share: float | None =
     seen[BUCKETS] = 0
     known = seen >= 3  # what fewer documents hold cannot be told from chance
     bags = [b for b in bags if len(b[1])]
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, -(-steps * BATCH // len(bags))) if bags else 0):
         order = rng.permutation(len(bags))
-        for lo in range(0, len(order), 128):
-            some = [bags[i] for i in order[lo : lo + 128]]
+        for lo in range(0, len(order), BATCH):
+            some = [bags[i] for i in order[lo : lo + BATCH]]
             sizes = [int(s[-1]) + 1 for _, s, _ in some]
             offset = np.cumsum([0, *sizes])
             features = np.concatenate([f for f, _, _ in some])
