@@ -55,10 +55,10 @@ def normalize_candidate(line: Column) -> Column:
     return js_trim(out)
 
 
-def parse_candidates(raw: Column, most: int | Column) -> Column:
-    """The first ``most`` candidates of a completion, in order.  They are cut here, before anything is exploded or embedded."""
+def parse_candidates(raw: Column, most: int | Column | None = None) -> Column:
+    """The candidates of a completion, in order: all, or the first ``most``, cut here before anything is exploded or embedded."""
     found = F.filter(F.transform(split_lines(strip_fences(raw)), normalize_candidate), lambda c: c != "")
-    return F.slice(found, 1, most)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def template_body(template: Column) -> Column:

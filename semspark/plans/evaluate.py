@@ -34,7 +34,7 @@ def baseline(jobs: DataFrame, scale: int | None = None) -> DataFrame:
     return rows.select(*jobs.columns, E.similarity("current", "target", scale).alias("baseline"))
 
 
-def run_candidates(runs: DataFrame, expected: int) -> DataFrame:
+def run_candidates(runs: DataFrame, expected: int | None = None) -> DataFrame:
     """Runs (job_id, run_number, raw) exploded into candidates with their ordinal and number of equals."""
     parsed = runs.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
     rows = parsed.select("*", F.posexplode("candidates").alias("ordinal", "candidate"))

@@ -177,7 +177,7 @@ def normalize_candidate(spark, sf):
 
 @query("SELECT job_id, run_number, ordinal, candidate FROM run_candidates")
 def parse_candidates(spark, sf):
-    return EV.run_candidates(FX.runs(spark, sf), 9).select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "candidate")
+    return EV.run_candidates(FX.runs(spark, sf)).select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "candidate")
 
 
 @query("SELECT job_id, run_number, ordinal, candidate FROM run_candidates WHERE ordinal <= 2")
@@ -188,7 +188,7 @@ def first_k(spark, sf):
 
 @query("SELECT job_id, run_number, ordinal, copies FROM run_candidates")
 def duplicate_count(spark, sf):
-    rows = EV.run_candidates(FX.runs(spark, sf), 9)
+    rows = EV.run_candidates(FX.runs(spark, sf))
     return rows.select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), F.col("copies").cast("long").alias("copies"))
 
 
@@ -196,7 +196,7 @@ def duplicate_count(spark, sf):
 def reason_base(spark, sf):
     """A run's first candidate stands for the current text and its second for the target."""
     runs = FX.runs(spark, sf).withColumn("first", X.parse_candidates(F.col("raw"), 2))
-    rows = EV.run_candidates(runs, 9)
+    rows = EV.run_candidates(runs)
     reason = L.reason_base(F.col("candidate"), F.col("copies"), F.get("first", 0), F.get("first", 1))
     return rows.select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), reason.alias("reason"))
 
@@ -308,7 +308,7 @@ def config_check(spark, sf):
 
 
 def _lines(spark, sf) -> DataFrame:
-    return EV.run_candidates(FX.runs(spark, sf), 9)
+    return EV.run_candidates(FX.runs(spark, sf))
 
 
 @query("SELECT candidate AS text FROM run_candidates UNION ALL SELECT raw FROM runs")

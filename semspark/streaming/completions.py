@@ -36,7 +36,7 @@ def finished(writer, path: str) -> None:
     q.awaitTermination()
 
 
-def candidates(runs: DataFrame, expected: int = 9) -> DataFrame:
+def candidates(runs: DataFrame, expected: int | None = None) -> DataFrame:
     """Labelled candidates of a stream of runs; duplicates are told inside a row, so that no state is kept."""
     parsed = runs.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
     rows = parsed.select("*", F.posexplode("candidates").alias("ordinal", "candidate"))
@@ -52,7 +52,7 @@ def deduplicated(runs: DataFrame) -> DataFrame:
 
 def summary(runs: DataFrame) -> DataFrame:
     """Runs, and runs with a candidate, of each job so far."""
-    n = F.size(X.parse_candidates(F.col("raw"), 9))
+    n = F.size(X.parse_candidates(F.col("raw")))
     return runs.groupBy("job_id").agg(F.count("*").alias("runs"), F.count_if(n > 0).alias("parsed"), F.sum(n).cast("long").alias("candidates"))
 
 

@@ -6,8 +6,10 @@ from semspark.operators import embedding as E
 from semspark.operators import movement as M
 from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
+from semspark.plans import queries as Q
 from semspark.sources import payloads, population
 from semspark.sources.sinks import shared_path
+from semspark.streaming import queries as _streaming  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +60,14 @@ def test_failed_prompts_are_rows(spark):
 def test_pair_validation_keeps_rejected_pairs(spark):
     rows = EV.pair_validate(spark.createDataFrame([(1, " a ", "b"), (2, " ", "b"), (3, None, "b")], "pair_id long, text_a string, text_b string")).orderBy("pair_id").collect()
     assert [r.problem is None for r in rows] == [True, False, False] and rows[0].text_a == "a"
+
+
+def test_no_candidate_of_a_run_is_dropped(spark, tmp_path):
+    lines = [f"candidate line {k}" for k in range(11)] + ["CANDIDATE LINE 3"]
+    turns = spark.createDataFrame([(2, 0, "user", "?"), (2, 1, "assistant", "\n".join(lines))], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = {name: Q.QUERIES[name](spark, str(tmp_path)).collect() for name in ("parse_candidates", "reason_base", "text_dedupe", "cache_append", "stream_candidates", "stream_summary", "first_k")}
+    assert [r.candidate for r in sorted(rows["parse_candidates"], key=lambda r: r.ordinal)] == lines
+    for name in ("reason_base", "stream_candidates"):
+        assert {r.ordinal for r in rows[name] if r.reason == "duplicate_output"} == {4, 12}
+    assert len(rows["text_dedupe"]) == len(rows["cache_append"]) == rows["stream_summary"][0].candidates == 12 and len(rows["first_k"]) == 2
