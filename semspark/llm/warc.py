@@ -14,7 +14,12 @@ has the records; a record that one side lacks has an empty hash there.
 A level is one grouping by key: nothing is collected, and no group is larger than
 ``FAN``, except for the records of one file.  Pages of one id are told apart by
 address and content; identical records are one leaf with a number of copies, so
-that repeated rows make no group large.
+that repeated rows make no group large.  The leaf's hash is the record's where the
+replica has all copies and they are alike, else that of the hashes found and their
+numbers, so that one copy lost or changed is seen.  A replica's rows have no
+offsets of their own: the copies' are ``start`` and every ``size`` on, and which of
+them is meant is not told.  Records that only the replica has are leaves in parts
+after the manifest's.
 
 Defined results: a page without an id is in the file -1; a null address or page
 is empty; no rows give no rows, and two empty replicas agree; extra columns are
@@ -63,11 +68,26 @@ def manifest(recs: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     return alike.select("file", "part", (F.row_number().over(order) - 1).cast("long").alias("nth"), start.alias("start"), "size", "copies", "page_id", "sha")
 
 
-def leaves(replica: DataFrame, plan: DataFrame) -> DataFrame:
-    """Hashes of a replica's records (page_id, file, sha, bytes), at the places of the manifest: (file, part, nth, start, size, hash)."""
-    found = replica.select("file", F.coalesce("page_id", F.lit(-1)).alias("id"), "sha", F.sha2("bytes", 256).alias("hash")).groupBy("file", "id", "sha").agg(F.max("hash").alias("hash"))
-    places = plan.withColumn("id", F.coalesce("page_id", F.lit(-1)))
-    return places.join(found, ["file", "id", "sha"]).select("file", "part", "nth", "start", "size", "hash")
+def leaves(replica: DataFrame, plan: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
+    """Hashes of a replica's records (page_id, file, sha, bytes), at the places of the manifest or after them: (file, part, nth, start, size, hash)."""
+    rows = replica.select("file", F.coalesce("page_id", F.lit(-1)).alias("id"), "sha", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").cast("long").alias("bytes"))
+    each = rows.groupBy("file", "id", "sha", "hash").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    pairs = F.array_sort(F.collect_list(F.struct("hash", "n")))
+    found = each.groupBy("file", "id", "sha").agg(pairs.alias("pairs"), F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+    mixed = F.sha2(F.array_join(F.transform("pairs", lambda p: F.concat(p["hash"], F.lit(":"), p["n"].cast("string"))), "\n"), 256)
+    alike = (F.size("pairs") == 1) & (F.col("n") == F.coalesce("copies", F.lit(1)))
+    places = plan.select("file", "part", "nth", "start", "size", "copies", F.coalesce("page_id", F.lit(-1)).alias("id"), "sha")
+    known = found.join(places, ["file", "id", "sha"], "left")
+    known = C.stored(known.select("file", "id", "sha", "part", "nth", "start", "size", "n", "bytes", F.when(alike, F.col("pairs")[0]["hash"]).otherwise(mixed).alias("hash")), "found")
+    extra = known.where("nth IS NULL")
+    after = plan.groupBy("file").agg((F.max("part") + 1).alias("after"))
+    parts = extra.groupBy("file").agg(F.ceil(F.count("*") / file_records).cast("int").alias("parts"))
+    extra = extra.join(parts, "file").join(after, "file", "left")
+    extra = extra.withColumn("part", (F.coalesce("after", F.lit(0)) + F.pmod(F.xxhash64("sha"), F.col("parts"))).cast("int"))
+    order = Window.partitionBy("file", "part").orderBy("id", "sha")
+    start = F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    extra = extra.select("file", "part", (F.row_number().over(order) - 1).cast("long").alias("nth"), start.alias("start"), F.col("bytes").alias("size"), "hash")
+    return known.where("nth IS NOT NULL").select("file", "part", "nth", "start", "size", "hash").unionByName(extra)
 
 
 def _parents(level: DataFrame, keys: list[Column], order: str) -> DataFrame:

@@ -238,6 +238,30 @@ def test_warc_audit_finds_every_fault(spark):
     assert warc.audit(mine.limit(0), mine.limit(0)).count() == 0
 
 
+def test_warc_audit_counts_copies_and_extras(spark):
+    df = spark.createDataFrame([(i, f"http://h/{k}", "x" * i) for i in range(40) for k in range(1 + 2 * (i % 3 == 0)) for _ in range(3)], "page_id long, url string, html string")
+    recs = C.stored(warc.records(df), "recs")
+    plan = C.stored(warc.manifest(recs), "manifest")
+    mine = plan.select("file", "part", "nth", "start", "size", F.col("sha").alias("hash"))
+    rows = recs.collect()
+    places = {(r.page_id, r.sha): (r.file, r.part, r.nth) for r in plan.collect()}
+    for byte in (b"!", b"~", b"0"):
+        first, bad = set(), []
+        for r in rows:
+            key = (r.page_id, r.sha)
+            hit = r.page_id in (4, 9) and key not in first
+            first.add(key)
+            if hit and r.page_id == 9:
+                continue  # a copy lost
+            bad.append((r.page_id, r.file, r.sha, bytes(r.bytes[:-5]) + byte if hit else bytes(r.bytes)))
+        more = [(2, 0, "f" * 64, b"extra"), (2, 0, "f" * 64, b"extra"), (9000, 35, "e" * 64, b"new file")]
+        replica = spark.createDataFrame(bad + more, recs.schema)
+        out = warc.audit(mine, warc.leaves(replica, plan)).collect()
+        want = {p for (page, _), p in places.items() if page in (4, 9)}
+        assert {(r.file, r.part, r.nth) for r in out if r.mine} == want and all(r.other for r in out if r.mine)
+        assert sorted((r.file, r.size) for r in out if not r.mine) == [(0, 5), (35, 8)] and len(out) == len(want) + 2
+
+
 def labelled(spark):
     rng = random.Random(9)
     plain = [f"w{i}" for i in range(300)]
