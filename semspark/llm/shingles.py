@@ -19,8 +19,9 @@ bucket or group is capped, and no list of all pairs exists.
 Defined results: words are runs of anything but ASCII white space, taken as they
 are; fewer than five words are one shingle; a null text or one without words has
 no shingles and links with nothing; a row without an id links with nothing and has
-no class; rows of equal ids share the links of all; repeated rows are copies of
-one another; no rows give no rows; extra columns are ignored.
+no class; rows are told apart by their shingle sets, so that rows of one id with
+different texts have links and a class each; repeated rows are copies of one
+another; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,10 +90,14 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches, n: int, tries: int, depth: int, length: int):
-    """Texts that have shingles: a digest of the set and its size, the sketch, and each trie's bucket at a prefix of ``length``."""
+    """Each text's set digest and size, sketch, and bucket in each trie at a prefix of ``length``; nulls where there are no shingles."""
+    names = ["id", "mark", "k1", "k2", "size", "sketch", "buckets"]
     for batch, data, at in C.pieces(batches, "text"):
         h, cut = _sets(data, at, n)
-        full = np.flatnonzero(np.diff(cut))
+        full, bare = np.flatnonzero(np.diff(cut)), np.flatnonzero(np.diff(cut) == 0)
+        if len(bare):
+            kinds = [*[pa.int64()] * 3, pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(bare)) for c in names[:2]), *(pa.nulls(len(bare), k) for k in kinds)], names)
         if not len(full):
             continue
         edges = np.append(cut[full], len(h))
@@ -103,7 +108,7 @@ def _sketched(batches, n: int, tries: int, depth: int, length: int):
         two = np.bitwise_xor.reduceat(C.mix(h + np.uint64(77)), edges[:-1]).view(np.int64)
         sketches = [x.tobytes() for x in signature.astype(np.uint8)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * tries, pa.int32()), pa.array(buckets.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(full)), pa.array(one), pa.array(two), pa.array(np.diff(edges)), pa.array(sketches, pa.binary()), lists], ["id", "k1", "k2", "size", "sketch", "buckets"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(full)) for c in names[:2]), pa.array(one), pa.array(two), pa.array(np.diff(edges)), pa.array(sketches, pa.binary()), lists], names)
 
 
 def _chained(table: pa.Table, least: float) -> pa.Table:
@@ -153,7 +158,7 @@ def _reached(node: np.ndarray, sketch: np.ndarray, need: float) -> tuple[np.ndar
 
 
 def _verify(table: pa.Table, similarity: float, length: int, tries: int) -> pa.Table:
-    """Exact links inside a block or between two: linked documents, the smallest one joined with, pairs found here and pairs to be expected."""
+    """Exact links inside a block or between two: linked documents, the smallest one reached, pairs found here and pairs to be expected."""
     left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
     node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
     order = np.lexsort((node, block))
@@ -177,8 +182,12 @@ def _verify(table: pa.Table, similarity: float, length: int, tries: int) -> pa.T
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
     low = node.copy()
-    np.minimum.at(low, i, node[j])
-    np.minimum.at(low, j, node[i])
+    while True:  # the neighbours' alone would lose a document whose only link is to one that has a smaller
+        was, least = low.copy(), np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        if (low == was).all():
+            break
     some = np.unique(np.concatenate([i, j]))
     found, expected = np.zeros(len(node), np.int64), np.zeros(len(node))
     np.add.at(found, i, 1)
@@ -216,12 +225,19 @@ def prefix_length(similarity: float, recall: float, tries: int, depth: int) -> i
     return length
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, mark, text): the mark tells apart the texts of one id; a row without an id brings no text."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.select("id", F.xxhash64("text").alias("mark"), F.when(F.col("id").isNotNull(), F.col("text")).alias("text"))
+
+
 def _sketches(rows: DataFrame, shingle: int, tries: int, depth: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """Each document's set digest; and of each distinct set its node (smallest id), copies, sketch and buckets."""
-    kinds = "id long, k1 long, k2 long, size long, sketch binary, buckets array<long>"
-    sketched = C.stored(rows.where("id IS NOT NULL").mapInArrow(lambda it: _sketched(it, shingle, tries, depth, length), kinds), "sketched")
-    nodes = sketched.groupBy("k1", "k2", "size").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min_by("sketch", "id").alias("sketch"), F.min_by("buckets", "id").alias("buckets"))
-    return sketched.select("id", "k1", "k2", "size"), C.stored(nodes, "nodes")
+    """Each row's set digest; and of each distinct set its node (a number), first (smallest id and mark), copies, sketch and buckets."""
+    kinds = "id long, mark long, k1 long, k2 long, size long, sketch binary, buckets array<long>"
+    sketched = C.stored(rows.mapInArrow(lambda it: _sketched(it, shingle, tries, depth, length), kinds), "sketched")
+    first = F.min(F.struct("id", "mark")).alias("first")
+    nodes = sketched.where("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(first, F.count("*").alias("copies"), F.min_by("sketch", "id").alias("sketch"), F.min_by("buckets", "id").alias("buckets"))
+    return sketched.select("id", "mark", "k1", "k2", "size"), C.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _candidates(nodes: DataFrame, least: float, bucket_rows: int) -> DataFrame:
@@ -242,9 +258,9 @@ def _candidates(nodes: DataFrame, least: float, bucket_rows: int) -> DataFrame:
 
 def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float, length: int, tries: int, block_rows: int) -> DataFrame:
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    inside = groups.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "copies"), "id")
-    texts = rows.join(inside, "id").dropDuplicates(["id"])
-    whole = texts.select("id", "copies", "component", "blocks", "text").mapInArrow(lambda it: _shingled(it, shingle), "node long, copies long, component long, blocks int, set binary")
+    inside = groups.withColumnRenamed("id", "node").join(sizes, "component").join(nodes.select("node", "first.*", "copies"), "node")
+    texts = rows.join(inside, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    whole = texts.select("node", "copies", "component", "blocks", "text").mapInArrow(lambda it: _shingled(it, shingle), "node long, copies long, component long, blocks int, set binary")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = whole.select("component", "node", "copies", "set", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
@@ -252,10 +268,9 @@ def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
     return C.stored(found, "verified")
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row a document: key, n_links (other documents at or above the similarity), class_id (the smallest id reachable), kept."""
-    C.bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def _answered(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Each row's set digest; and of each distinct set its links and the first (id and mark) of its class."""
+    C.bounded_batches(rows.sparkSession)
     length = prefix_length(similarity, recall, tries, depth)
     while True:
         sketched, nodes = _sketches(rows, shingle, tries, depth, length)
@@ -266,28 +281,42 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
             break
         length -= 1
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    sets = ["k1", "k2", "size"]
-    known = nodes.select(*sets, "node", "copies").join(links, "node", "left").join(classes.withColumnRenamed("id", "node"), "node", "left")
-    known = known.select(*sets, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-    answered = sketched.join(known, sets).groupBy("id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    out = rows.select("id").join(answered, "id", "left")
-    own = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    classes = components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "node")
+    firsts = classes.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("of_class"))
+    known = nodes.join(links, "node", "left").join(classes.join(firsts, "component"), "node", "left")
+    return sketched, known.select("k1", "k2", "size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("of_class", "first").alias("first"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row a document: key, n_links (other documents at or above the similarity), class_id (the smallest id reachable), kept."""
+    sketched, known = _answered(_rows(docs, key, text), **options)
+    some = sketched.join(known, ["k1", "k2", "size"]).select("id", "links", F.col("first.id").alias("component"))
+    none = sketched.where("k1 IS NULL").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    own = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return some.unionByName(none).select(F.col("id").alias(key), F.col("links").cast("long").alias("n_links"), F.col("component").alias("class_id"), own.alias("kept"))
+
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without their near-duplicates: of each class one row of the smallest id stays, and all rows without an id.
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without their near-duplicates: of each class the one of the smallest id stays, and all rows without an id."""
-    stay = joined(docs, key, **options).where("kept").select(key).distinct()
-    known = docs.join(stay, key, "left_semi").dropDuplicates([key])
-    return known.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    Rows without shingles are copies only of those that share their id.  Of rows that
+    agree in id and text a hash of the other columns chooses one.
+    """
+    sketched, known = _answered(_rows(docs, key, text), **options)
+    bare = sketched.where("k1 IS NULL AND id IS NOT NULL").groupBy("id").agg(F.min("mark").alias("mark"))
+    stay = known.select("first.*").unionByName(bare).distinct()
+    others = [c for c in docs.columns if c not in (key, text)]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), order.alias("order"), F.struct(*docs.columns).alias("row"))
+    chosen = rows.join(stay, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", "order").alias("row"))
+    return chosen.select("row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def _shingled(batches, n: int):
     for batch, data, at in C.pieces(batches, "text"):
         h, cut = _sets(data, at, n)
         sets = [h[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in ("copies", "component", "blocks")), pa.array(sets, pa.binary())], ["node", "copies", "component", "blocks", "set"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "component", "blocks")), pa.array(sets, pa.binary())], ["node", "copies", "component", "blocks", "set"])
 
 
 def op3_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:

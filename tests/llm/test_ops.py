@@ -102,6 +102,25 @@ def test_shingle_join(docs, none):
     assert shingles.joined(none).count() == 0
 
 
+def test_shingle_join_tells_the_texts_of_one_id_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60)) for _ in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (9, texts[1] + " tail"), (7, texts[2]), (3, texts[2] + " tail"), (8, texts[3]), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in shingles.joined(df).collect())
+    assert got == sorted([(7, 0, 7, True), (7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (7, 1, 3, False), (3, 1, 3, True), (8, 0, 8, True), (7, 0, 7, True), (7, 0, 7, True)])
+    kept = [(r.doc_id, (r.text or "").strip()) for r in shingles.one_of_each(df).collect()]
+    assert sorted(kept) == sorted([(7, texts[0]), (7, texts[1]), (3, texts[2] + " tail"), (8, texts[3]), (7, "")])
+
+
+def test_shingle_classes_reach_through_a_larger_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    ends = lambda a, b: " ".join([f"{a}{i}" for i in range(8)] + words + [f"{b}{i}" for i in range(8)])
+    rows = [(1, ends("a", "m")), (2, ends("n", "b")), (3, ends("n", "m"))]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in shingles.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1)}
+
+
 def test_prefix_is_shortened_to_the_target():
     assert [shingles.prefix_length(0.8, r, 16, 8) for r in (0.5, 0.99, 0.999, 0.9999999)] == [8, 6, 4, 2]
 
