@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 # What is taken off a line to get at its candidate, one after another.
+# Repeats are possessive, and a run at the end is tried from its first place only, so
+# that a pattern takes time in proportion to the text whatever runs it holds.
 CANDIDATE_EDGES = (
-    rf"^```[A-Za-z]*{SPACE}*",
+    rf"^```[A-Za-z]*+{SPACE}*+",
     r"```\z",
-    rf"^{SPACE}*(?:[-*]|\d+[).\]:-]){SPACE}*",
-    rf"(?i)^candidate{SPACE}*\d*{SPACE}*[:.-]{SPACE}*",
-    r"""^["'`]+|["'`]+\z""",
+    rf"^{SPACE}*+(?:[-*]|\d++[).\]:-]){SPACE}*+",
+    rf"(?i)^candidate{SPACE}*+(?:\d++{SPACE}*+)?[:.-]{SPACE}*+",
+    r"""^["'`]++|(?<!["'`])["'`]++\z""",
     r"^<|>\z",
 )
 
-_TEMPLATE = rf"""(?s)^{SPACE}*[A-Za-z_][A-Za-z0-9_]*{SPACE}*={SPACE}*(["']{{3}})(.*?)\1{SPACE}*\z"""
+# Fixed value: a template written as an assignment.
+_TEMPLATE = rf"""(?s)^{SPACE}*+[A-Za-z_][A-Za-z0-9_]*+{SPACE}*+={SPACE}*+(["']{{3}})(.*?)\1{SPACE}*+\z"""
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(js_trim(text), f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}++"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -79,6 +82,7 @@ def movement_id(number: Column) -> Column:
     return F.format_string("mov-%04d", number)
 
 
+# What the result tables call operators and states.
 def operator_label(operator: Column, source: Column) -> Column:
     return F.when(operator == "turbulence", "turbulencia").when(source == "pbest", "pbest").otherwise("líder/gbest")
 

@@ -39,9 +39,11 @@ def normal(x: str) -> str:
     return trim(out)
 
 
-def parsed(x: str, k: int | str) -> str:
+def parsed(x: str, k: int | str | None = None) -> str:
+    """The candidates of a completion: all, or the first ``k``."""
     lines = rf"string_split_regex({strip(x)}, '\r?\n')"
-    return f"list_slice(list_filter(list_transform({lines}, lambda l_: {normal('l_')}), lambda c_: c_ <> ''), 1, {k})"
+    every = f"list_filter(list_transform({lines}, lambda l_: {normal('l_')}), lambda c_: c_ <> '')"
+    return every if k is None else f"list_slice({every}, 1, {k})"
 
 
 def draw(*parts: str, seed: int = 42) -> str:
@@ -131,7 +133,7 @@ def others(key: str, prefix: str = "") -> str:
 
 CTES: dict[str, str] = {
     "runs": "SELECT conv_id AS job_id, turn + 1 AS run_number, text AS raw FROM conversations WHERE role = 'assistant'",
-    "run_lists": f"SELECT job_id, run_number, {parsed('raw', 9)} AS cs FROM runs",
+    "run_lists": f"SELECT job_id, run_number, {parsed('raw')} AS cs FROM runs",
     "run_candidates": "SELECT job_id, run_number, i AS ordinal, cs[i] AS candidate, cs, len(list_filter(cs, lambda c_: lower(c_) = lower(cs[i]))) AS copies FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM run_lists)",
     "vector_pairs": "SELECT a.vec_id // 2 AS pair_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0",
     "anchors": "SELECT label, min(vec_id) AS anchor_id FROM embeddings GROUP BY label",

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,12 @@ def test_clamp(spark):
 )
 def test_completion_text(spark, dialect, payload, want):
     assert one(spark, d=dialect, p=payload).select(P.completion_text(F.col("d"), F.col("p")).alias("t")).first().t == want
+
+
+@pytest.mark.parametrize("text", [" a" + " " * 300_000 + "b ", "candidate" + " " * 300_000 + "b", "'" * 300_000 + "b" + '"' * 300_000 + "c", "9" * 300_000, 'p = """' + '"""   ' * 60_000 + " x"])
+def test_text_functions_take_time_in_proportion(spark, text):
+    rows = one(spark, t=text)
+    for f in (X.js_trim, X.word_count, X.template_body, X.normalize_candidate, X.strip_fences):
+        began = time.time()
+        rows.select(f(F.col("t")).alias("r")).collect()
+        assert time.time() - began < 15, f
