@@ -17,7 +17,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     A star step hangs a vertex's larger neighbours, or its smaller ones, on its
     smallest; only minima are gathered for a vertex, never its neighbours.  Each
-    round's edges are written to the shared folder.
+    round's edges and minima are written to the shared folder: a hub's edges are then
+    joined with its one minimum as plain exchanges, which Spark splits where a key is
+    hot.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = C.stored(pairs, "edges")
@@ -26,9 +28,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = C.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = C.stored(large, "large")
+        low = C.stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = C.stored(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         was, mark, now = mark, _mark(then), then

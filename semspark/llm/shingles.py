@@ -1,24 +1,27 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Documents become sets of five-word shingles.  A signature has ``TRIES`` labels of
-``DEPTH`` minhashes each; the labels of a trie, sorted, are a prefix trie.
-The prefix that has to match is shortened from the whole label, one step at a
-time, until pairs at the threshold are found with the target probability,
-``1 - (1 - s**length)**tries``.  Candidates are verified exactly on their whole
-shingle sets.  The verified pairs then tell how many pairs were to be expected
-(each counts for one over its own probability); while the share found is below
-the target, the prefix is shortened further and matched again.
+``DEPTH`` minhashes each.  The labels of a trie are dealt out by their first ``FLOOR``
+minhashes and sorted there: a prefix trie, in which documents that share a prefix are
+neighbours, and every pair has a longest common prefix.  Matching starts at whole
+labels.  A pair of similarity s is matched at a prefix of ``length`` with probability
+``1 - (1 - s**length)**tries``, so that each pair matched stands for one over that
+many; while the share found of the pairs that this makes likely is below the target,
+the prefix is shortened by one minhash in all tries.  Similarities are taken from the
+sketches first.  Candidates are then verified exactly on their whole shingle sets, and
+the recall is reckoned again with the true similarities: where it falls short, the
+prefix is shortened further and what is new is verified.
 
 Documents of equal shingle sets are one document with a number of copies.  In a
-bucket, candidates whose sketches are far apart are dropped (a sketch is off by
-more than ``SLACK`` with odds of one in a billion), and those left are chained, one
-edge a document, into candidate groups; a group is verified in blocks, each pair
+trie, candidates whose sketches are far apart are dropped (a sketch is off by
+more than ``SLACK`` with odds of one in a billion), and those left are chained into
+candidate groups, in large prefix runs by one edge a document; a group is verified in blocks, each pair
 of blocks in a task of its own, which sends on counts and smallest ids only.  So no
 bucket or group is capped, and no list of all pairs exists.
 
 Defined results: words are runs of anything but ASCII white space, taken as they
 are; fewer than five words are one shingle; a null text or one without words has
-no shingles and links with nothing; a row without an id links with nothing and has
+no shingles and links with nothing; texts of any length take part whole; a row without an id links with nothing and has
 no class; rows are told apart by their shingle sets, so that rows of one id with
 different texts have links and a class each; repeated rows are copies of one
 another; no rows give no rows; extra columns are ignored.
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 from semspark.llm import common as C
 from semspark.llm.components import components
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-TRIES, DEPTH = 16, 8
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9995
+#: Tries, minhashes in a label, and the shortest prefix, at which a pair at the threshold is matched with 0.9998.
+TRIES, DEPTH, FLOOR = 16, 8, 4
 #: A pair's sketch similarity may be so much below the threshold; its standard deviation is 0.035.
 SLACK = 0.22
 BLOCK_ROWS, BUCKET_ROWS = 256, 4096
@@ -89,8 +93,8 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(batches, n: int, tries: int, depth: int, length: int):
-    """Each text's set digest and size, sketch, and bucket in each trie at a prefix of ``length``; nulls where there are no shingles."""
+def _sketched(batches, n: int, tries: int, depth: int, floor: int):
+    """Each text's set digest and size, sketch (its labels, a byte a minhash), and the place of its first ``floor`` minhashes in each trie; nulls where there are no shingles."""
     names = ["id", "mark", "k1", "k2", "size", "sketch", "buckets"]
     for batch, data, at in C.pieces(batches, "text"):
         h, cut = _sets(data, at, n)
@@ -103,7 +107,7 @@ def _sketched(batches, n: int, tries: int, depth: int, length: int):
         edges = np.append(cut[full], len(h))
         signature = _signatures(h, edges, tries * depth)
         labels = signature.reshape(len(full), tries, depth)
-        buckets = np.stack([_fold(np.column_stack([np.full(len(full), t, np.uint32), labels[:, t, :length]])) for t in range(tries)], 1)
+        buckets = np.stack([_fold(np.column_stack([np.full(len(full), t, np.uint32), labels[:, t, :floor]])) for t in range(tries)], 1)
         one = np.add.reduceat(C.mix(h ^ np.uint64(0xABCDEF)), edges[:-1]).view(np.int64)
         two = np.bitwise_xor.reduceat(C.mix(h + np.uint64(77)), edges[:-1]).view(np.int64)
         sketches = [x.tobytes() for x in signature.astype(np.uint8)]
@@ -111,49 +115,68 @@ def _sketched(batches, n: int, tries: int, depth: int, length: int):
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(full)) for c in names[:2]), pa.array(one), pa.array(two), pa.array(np.diff(edges)), pa.array(sketches, pa.binary()), lists], names)
 
 
-def _chained(table: pa.Table, least: float) -> pa.Table:
-    """Edges that connect, in each bucket, all documents whose sketches agree."""
-    bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of labels (rows)."""
+    return np.cumprod(x == y, 1).sum(1)
+
+
+def _chained(table: pa.Table, least: float, tries: int) -> pa.Table:
+    """Edges (a, b, length, agree) between documents of one trie whose sketches agree: the longest prefix that both have, and the minhashes in which they agree."""
+    bucket, trie, node = (table.column(c).to_numpy() for c in ("bucket", "trie", "node"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-    order = np.lexsort((node, bucket))
-    bucket, node, sketch = bucket[order], node[order], sketch[order]
+    depth = sketch.shape[1] // tries
+    label = sketch.reshape(len(node), tries, depth)[np.arange(len(node)), trie]
+    order = np.lexsort((node, *label.T[::-1], bucket))  # the sorted prefix trie
+    bucket, node, sketch, label = bucket[order], node[order], sketch[order], label[order]
     head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     size = np.diff(np.append(head, len(bucket)))
     need = least * sketch.shape[1]
     a, b = [], []
     most = 24
-    for step in range(1, most):  # small buckets: each document with the one so many places on
+    for step in range(1, most):  # few documents: each with the one so many places on
         i = np.flatnonzero(np.repeat(size, size) <= most)
         i = i[i + step < len(bucket)]
         i = i[bucket[i] == bucket[i + step]]
         for lo in range(0, len(i), 1 << 16):
             x = i[lo : lo + (1 << 16)]
             x = x[(sketch[x] == sketch[x + step]).sum(1) >= need]
-            a.append(node[x])
-            b.append(node[x + step])
+            a.append(x)
+            b.append(x + step)
     for k in np.flatnonzero(size > most).tolist():
-        x, y = _reached(node[head[k] : head[k] + size[k]], sketch[head[k] : head[k] + size[k]], need)
-        a.append(x)
-        b.append(y)
-    edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(edges[:, 0].astype(np.int64)), "b": pa.array(edges[:, 1].astype(np.int64))})
-
-
-def _reached(node: np.ndarray, sketch: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """One edge for each document that some other reaches: whoever was reached is compared with those not reached yet."""
-    rest, a, b = np.arange(len(node)), [node[:0]], [node[:0]]
-    while len(rest):
-        head, rest = rest[0], rest[1:]
-        queue = [head]
-        while queue and len(rest):
-            at = queue.pop()
-            near = (sketch[rest] == sketch[at]).sum(1) >= need
-            if near.any():
-                got = rest[near]
-                a.append(np.full(len(got), node[head]))
-                b.append(node[got])
-                queue += got.tolist()
-                rest = rest[~near]
+        x, y = _reached(sketch[head[k] : head[k] + size[k]], label[head[k] : head[k] + size[k]], need)
+        a.append(x + head[k])
+        b.append(y + head[k])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j])), "length": pa.array(_common(label[i], label[j]), pa.int32()), "agree": pa.array((sketch[i] == sketch[j]).sum(1), pa.int32())})
+
+
+def _reached(sketch: np.ndarray, label: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all documents of one sorted run that reach one another, longest prefixes first.
+
+    At each length the runs that share a prefix are gone through: whoever was reached
+    is compared with those not reached yet.  What is one group at a longer prefix is
+    not compared again.
+    """
+    n, depth = label.shape
+    group, a, b = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in range(depth, -1, -1):
+        cuts = np.flatnonzero(np.append(True, (label[1:, :length] != label[:-1, :length]).any(1)))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), n]):
+            rest = np.arange(lo, hi)
+            while len(rest) and (group[rest] != group[rest[0]]).any():
+                mine = group[rest] == group[rest[0]]
+                queue, rest, name = rest[mine].tolist(), rest[~mine], group[rest[0]]
+                while queue and len(rest):
+                    at = queue.pop()
+                    near = (sketch[rest] == sketch[at]).sum(1) >= need
+                    if near.any():
+                        got = rest[near]
+                        a.append(np.full(len(got), at))
+                        b.append(got)
+                        joined = np.isin(group[rest], group[got])
+                        queue += rest[joined].tolist()
+                        group[np.isin(group, group[got])] = name
+                        rest = rest[~joined]
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -191,7 +214,7 @@ def _verify(table: pa.Table, similarity: float, length: int, tries: int) -> pa.T
     some = np.unique(np.concatenate([i, j]))
     found, expected = np.zeros(len(node), np.int64), np.zeros(len(node))
     np.add.at(found, i, 1)
-    np.add.at(expected, i, 1 / (1 - (1 - similar**length) ** tries))
+    np.add.at(expected, i, 1 / matched(similar, length, tries))
     return pa.table({"node": pa.array(node[some]), "links": pa.array(links[some]), "low": pa.array(low[some]), "pairs": pa.array(found[some]), "expected": pa.array(expected[some])})
 
 
@@ -217,10 +240,21 @@ def _overlaps(sets: list[np.ndarray], size: np.ndarray, split: int, second: int,
     return out
 
 
-def prefix_length(similarity: float, recall: float, tries: int, depth: int) -> int:
-    """The longest prefix at which pairs at the threshold are found with the target probability."""
+def matched(similarity: float, length: int, tries: int) -> float:
+    """Probability that a pair shares a prefix of this length in one of the tries."""
+    return 1 - (1 - similarity**length) ** tries
+
+
+def measured_recall(found: list[tuple[int, float, int]], length: int, tries: int) -> float:
+    """Share found at a prefix of ``length`` of the pairs that are to be expected; ``found`` has (longest prefix, similarity, pairs)."""
+    some = [(s, n) for longest, s, n in found if longest >= length]
+    return sum(n for _, n in some) / sum(n / matched(s, length, tries) for s, n in some) if some else 0.0
+
+
+def shortened(found: list[tuple[int, float, int]], recall: float, tries: int, depth: int, floor: int) -> int:
+    """The longest prefix at which the measured recall is the target; without it the shortest."""
     length = depth
-    while length > 1 and 1 - (1 - similarity**length) ** tries < recall:
+    while length > floor and measured_recall(found, length, tries) < recall:
         length -= 1
     return length
 
@@ -231,18 +265,18 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("id", F.xxhash64("text").alias("mark"), F.when(F.col("id").isNotNull(), F.col("text")).alias("text"))
 
 
-def _sketches(rows: DataFrame, shingle: int, tries: int, depth: int, length: int) -> tuple[DataFrame, DataFrame]:
+def _sketches(rows: DataFrame, shingle: int, tries: int, depth: int, floor: int) -> tuple[DataFrame, DataFrame]:
     """Each row's set digest; and of each distinct set its node (a number), first (smallest id and mark), copies, sketch and buckets."""
     kinds = "id long, mark long, k1 long, k2 long, size long, sketch binary, buckets array<long>"
-    sketched = C.stored(rows.mapInArrow(lambda it: _sketched(it, shingle, tries, depth, length), kinds), "sketched")
+    sketched = C.stored(rows.mapInArrow(lambda it: _sketched(it, shingle, tries, depth, floor), kinds), "sketched")
     first = F.min(F.struct("id", "mark")).alias("first")
     nodes = sketched.where("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(first, F.count("*").alias("copies"), F.min_by("sketch", "id").alias("sketch"), F.min_by("buckets", "id").alias("buckets"))
     return sketched.select("id", "mark", "k1", "k2", "size"), C.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
-def _candidates(nodes: DataFrame, least: float, bucket_rows: int) -> DataFrame:
-    """(id, component): documents in candidate groups."""
-    placed = nodes.select("node", F.explode("buckets").alias("bucket"))
+def _candidates(nodes: DataFrame, least: float, bucket_rows: int, tries: int) -> DataFrame:
+    """(a, b, length, agree): edges between candidates, each with the longest prefix that any trie has of both."""
+    placed = nodes.select("node", F.posexplode("buckets").alias("trie", "bucket"))
     shared = C.stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(1, total // 20_000)
@@ -252,12 +286,13 @@ def _candidates(nodes: DataFrame, least: float, bucket_rows: int) -> DataFrame:
     members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # many small buckets make one task's table; the blocks of a large one are dealt out
     part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(parts))).otherwise(F.col("bucket"))
-    members = members.select(part.alias("part"), "bucket", "node", "sketch", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    return components(members.groupBy("part", "left", "right").applyInArrow(lambda t: _chained(t, least), "a long, b long"))
+    members = members.select(part.alias("part"), "bucket", "trie", "node", "sketch", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    edges = members.groupBy("part", "left", "right").applyInArrow(lambda t: _chained(t, least, tries), "a long, b long, length int, agree int")
+    return C.stored(edges.groupBy("a", "b").agg(F.max("length").alias("length"), F.first("agree").alias("agree")), "candidates")
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float, length: int, tries: int, block_rows: int) -> DataFrame:
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    sizes = C.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "sizes")
     inside = groups.withColumnRenamed("id", "node").join(sizes, "component").join(nodes.select("node", "first.*", "copies"), "node")
     texts = rows.join(inside, ["id", "mark"]).dropDuplicates(["id", "mark"])
     whole = texts.select("node", "copies", "component", "blocks", "text").mapInArrow(lambda it: _shingled(it, shingle), "node long, copies long, component long, blocks int, set binary")
@@ -268,16 +303,18 @@ def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
     return C.stored(found, "verified")
 
 
-def _answered(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+def _answered(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, depth: int = DEPTH, floor: int = FLOOR, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Each row's set digest; and of each distinct set its links and the first (id and mark) of its class."""
-    C.bounded_batches(rows.sparkSession)
-    length = prefix_length(similarity, recall, tries, depth)
+    sketched, nodes = _sketches(rows, shingle, tries, depth, floor)
+    edges = _candidates(nodes, similarity - SLACK, bucket_rows, tries)
+    kinds = edges.groupBy("length", "agree").agg(F.count("*").alias("n")).collect()  # as many rows as there are lengths and agreements
+    likely = [(r.length, r.agree / (tries * depth), r.n) for r in kinds if r.agree / (tries * depth) >= similarity]
+    length = shortened(likely, recall, tries, depth, floor)
     while True:
-        sketched, nodes = _sketches(rows, shingle, tries, depth, length)
-        groups = _candidates(nodes, similarity - SLACK, bucket_rows)
+        groups = C.stored(components(edges.where(F.col("length") >= length).select("a", "b")), "groups")
         found = _verified(rows, nodes, groups, shingle, similarity, length, tries, block_rows)
         got = found.agg(F.sum("pairs").alias("pairs"), F.sum("expected").alias("expected")).first()
-        if length == 1 or not got.pairs or got.pairs >= recall * got.expected:
+        if length <= floor or (got.pairs and got.pairs >= recall * got.expected):
             break
         length -= 1
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

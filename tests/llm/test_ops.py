@@ -121,8 +121,38 @@ def test_shingle_classes_reach_through_a_larger_id(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1)}
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert [shingles.prefix_length(0.8, r, 16, 8) for r in (0.5, 0.99, 0.999, 0.9999999)] == [8, 6, 4, 2]
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    assert shingles.shortened([(8, 1.0, 100)], 0.9995, 16, 8, 4) == 8
+    pairs = lambda s: [(x, s, round(1e6 * (shingles.matched(s, x, 16) - (shingles.matched(s, x + 1, 16) if x < 8 else 0)))) for x in range(4, 9)]
+    turns = {s: shingles.shortened(pairs(s), 0.9995, 16, 8, 4) for s in (0.95, 0.9, 0.85, 0.8)}
+    assert turns == {0.95: 8, 0.9: 8, 0.85: 5, 0.8: 4}
+    assert abs(shingles.measured_recall(pairs(0.8), 8, 16) - shingles.matched(0.8, 8, 16)) < 1e-3
+    assert shingles.shortened([], 0.9995, 16, 8, 4) == 4
+
+
+def test_runs_of_a_trie_are_joined_longest_prefix_first():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (5, 128)).astype(np.uint8)
+    sketch = np.repeat(base, 20, 0)
+    sketch[rng.random(sketch.shape) < 0.05] = 7
+    label = np.sort(rng.integers(0, 3, (100, 8)).astype(np.uint8).view("S8").ravel()).view(np.uint8).reshape(-1, 8)
+    a, b = shingles._reached(sketch, label, 0.6 * 128)
+    root = components_of(100, zip(a.tolist(), b.tolist()))
+    assert [root[i] for i in range(100)] == [i // 20 * 20 for i in range(100)] and len(a) < 300
+
+
+def components_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
 
 
 def vector_rows(seed=1):
@@ -242,43 +272,52 @@ def test_chat_round_trip(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+PAGES = "page_id long, url string, html string, start long, bytes string"
+
+
+def pages_of(spark):
+    pages = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(600)] + [(7, "http://other", "y")] * 3 + [(None, None, None), (8, "http://h/8", "x" * 8)]
+    pages += [(5, "http://hot", str(k)) for k in range(150)] + [(5, "http://hot", "equal")] * 150 + [(1000, "http://long", "é" * 400_000)]
+    return spark.createDataFrame([(*p, 1, "clash") for p in pages], PAGES).repartition(3), len(pages)
+
+
 def test_warc_audit_finds_every_fault(spark):
-    pages = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(600)] + [(7, "http://other", "y")] * 3 + [(None, None, None), (8, "http://h/8", "x" * 8)] + [(5, "http://hot", str(k)) for k in range(300)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    recs = warc.records(df)
-    plan = C.stored(warc.manifest(recs, file_records=100), "manifest")
-    mine = plan.select("file", "part", "nth", "start", "size", F.col("sha").alias("hash"))
-    assert warc.audit(mine, warc.leaves(recs, plan)).count() == 0
-    bad = warc.damaged(recs, every=50)
-    found = {(r.file, r.part, r.nth) for r in warc.audit(mine, warc.leaves(bad, plan)).collect()}
-    want = {(r.file, r.part, r.nth) for r in plan.collect() if (r.page_id if r.page_id is not None else 3) % 50 <= 2}
-    assert found == want
-    assert plan.agg(F.sum("copies")).first()[0] == len(pages)
-    assert warc.audit(mine.limit(0), mine.limit(0)).count() == 0
-
-
-def test_warc_audit_counts_copies_and_extras(spark):
-    df = spark.createDataFrame([(i, f"http://h/{k}", "x" * i) for i in range(40) for k in range(1 + 2 * (i % 3 == 0)) for _ in range(3)], "page_id long, url string, html string")
-    recs = C.stored(warc.records(df), "recs")
-    plan = C.stored(warc.manifest(recs), "manifest")
-    mine = plan.select("file", "part", "nth", "start", "size", F.col("sha").alias("hash"))
-    rows = recs.collect()
-    places = {(r.page_id, r.sha): (r.file, r.part, r.nth) for r in plan.collect()}
-    for byte in (b"!", b"~", b"0"):
-        first, bad = set(), []
-        for r in rows:
-            key = (r.page_id, r.sha)
-            hit = r.page_id in (4, 9) and key not in first
-            first.add(key)
-            if hit and r.page_id == 9:
-                continue  # a copy lost
-            bad.append((r.page_id, r.file, r.sha, bytes(r.bytes[:-5]) + byte if hit else bytes(r.bytes)))
-        more = [(2, 0, "f" * 64, b"extra"), (2, 0, "f" * 64, b"extra"), (9000, 35, "e" * 64, b"new file")]
-        replica = spark.createDataFrame(bad + more, recs.schema)
-        out = warc.audit(mine, warc.leaves(replica, plan)).collect()
-        want = {p for (page, _), p in places.items() if page in (4, 9)}
-        assert {(r.file, r.part, r.nth) for r in out if r.mine} == want and all(r.other for r in out if r.mine)
-        assert sorted((r.file, r.size) for r in out if not r.mine) == [(0, 5), (35, 8)] and len(out) == len(want) + 2
+    df, count = pages_of(spark)
+    replica = warc.written(warc.records(df), file_records=100)
+    plan = warc.manifest(replica)
+    rows = replica.collect()
+    assert len(rows) == count and max(sum(r.file == 0 and r.part == p for r in rows) for p in range(9)) < 200
+    for part in {(r.file, r.part) for r in rows}:
+        mine = sorted((r for r in rows if (r.file, r.part) == part), key=lambda r: r.nth)
+        assert [r.start for r in mine] == list(itertools.accumulate([0, *(len(r.bytes) for r in mine)]))[:-1]
+        assert all(r.sha == hashlib.sha256(r.bytes).hexdigest() and r.size == len(r.bytes) for r in mine)
+    assert warc.audit(plan, warc.leaves(replica)).count() == 0
+    bad = warc.damaged(replica, every=20)
+    for options in ({}, {"fan": 2, "range_bytes": 1000}):
+        found = {(r.file, r.part, r.start): (r.size, r.mine, r.other) for r in warc.audit(plan, warc.leaves(bad), **options).collect()}
+        there = {(r.file, r.part, r.start): bytes(r.bytes) for r in bad.collect()}
+        was = {(r.file, r.part, r.start): bytes(r.bytes) for r in rows}
+        sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
+        want = {k: (len(was.get(k, there.get(k))), sha(was.get(k)), sha(there.get(k))) for k in was.keys() | there.keys() if was.get(k) != there.get(k)}
+        assert found == want and len(want) > 50 and {(a is None, b is None) for _, a, b in want.values()} == {(False, False), (False, True), (True, False)}
+    assert warc.audit(plan.limit(0), warc.leaves(replica).limit(0)).count() == 0
+    assert warc.audit(plan, warc.leaves(replica).limit(0)).count() == count
+    assert warc.written(warc.records(df.limit(0))).count() == 0
+
+
+def test_warc_audit_tells_copies_apart(spark):
+    """One copy of each page damaged, or lost, of two; and records where the manifest has none."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", "x" * i) for i in range(60) for _ in range(2)], "page_id long, url string, html string")
+    replica = warc.written(warc.records(df))
+    plan = warc.manifest(replica)
+    even = F.col("nth") % 2 == 0
+    changed = replica.withColumn("bytes", F.when(even, F.concat(F.expr("substring(bytes, 1, size - 5)"), F.lit(b"~"))).otherwise(F.col("bytes")))
+    want = {(r.file, r.part, r.start) for r in replica.where(even).collect()}
+    for bad in (changed, replica.where(~even)):
+        assert {(r.file, r.part, r.start) for r in warc.audit(plan, warc.leaves(bad)).collect()} == want and len(want) == 60
+    more = spark.createDataFrame([(0, 0, 10**7, b"extra"), (35, 2, 0, b"new file"), (0, 0, 0, b"a second row at this place"), (0, 0, 10**8, None)], "file long, part int, start long, bytes binary")
+    out = warc.audit(plan, warc.leaves(replica.select(more.columns).unionByName(more))).collect()
+    assert sorted((r.file, r.start, r.mine is None) for r in out) == [(0, 0, False), (0, 10**7, True), (0, 10**8, True), (35, 0, True)] and all(r.other for r in out)
 
 
 def labelled(spark):
