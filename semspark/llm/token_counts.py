@@ -8,15 +8,22 @@ chunks run together, from every state at once, which gives each chunk's map from
 state to state.  The maps compose associatively, and a parallel prefix scan gives
 the state in which each chunk really starts; a second run emits the boundaries.
 
-The merges are compiled as a second transducer, lazily: a path for each distinct
-pre-token, annotated with the number of tokens that it emits.  The count of a
-text is the sum over its paths, plus one for each special string in it.
+The merges are compiled into a second deterministic transducer, over bytes.  Its
+state after a prefix of a pre-token is the end of that prefix which a token may still
+reach over: the last token of the encoding up to each place in it, and how many tokens
+follow that place.  A byte's transition leads to the next state and is annotated with
+the tokens that it emits, less those that it takes back because a merge swallows them.
+Transitions are compiled when a text first needs them.  All pre-tokens of a batch run
+through it side by side, and a text's count is the sum over its transitions, plus one
+for each special string in it.  A very long pre-token is cut into chunks, which run
+together from a guessed state; the chunk maps are composed, and a chunk that was
+entered in another state than guessed is run again.
 
 Texts are never shuffled, joined or cut: a very long text only means more chunks,
 and characters are worked on ``BLOCK`` at a time with the state carried over.
 
 Defined results: a null text counts as an empty one, of no bytes and no tokens;
-repeated rows are each answered; extra columns are ignored.
+repeated rows are each answered; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +41,10 @@ LIMIT = 512
 CHUNK = 128
 WARM = 12
 BLOCK = 1 << 20
+#: A pre-token of more bytes runs in chunks of so many, each from so many bytes ahead of it.
+PIECE, AHEAD = 256, 64
+#: Compiled states that a worker keeps; beyond, compilation starts anew.  Results do not depend on it.
+STATES = 400_000
 
 # symbols of the input: a text's end, letters (those of contractions apart), numbers, space, other white space, apostrophe, others
 END, LETTER, STMD, R, V, E, L, NUMBER, SPACE, BLANK, QUOTE, OTHER = range(12)
@@ -131,6 +142,192 @@ def run_chunks(symbols: np.ndarray, start: int, go: np.ndarray, emit: np.ndarray
     return np.append(edge, (flags[:1] & BACK_1) >> 1), int(state[-1])
 
 
+class Merges:
+    """The merges as a deterministic transducer over bytes, compiled as far as texts need it.
+
+    Two tokens stand side by side in an encoding exactly if merging their bytes gives
+    them back, that is, if no merge across their border is due before both are whole.
+    """
+
+    _ZERO = 1 << 15
+
+    def __init__(self, merges: dict[tuple[bytes, bytes], int]):
+        self.order = merges
+        self.made_of = {a + b: (a, b) for a, b in merges}
+        if len(self.made_of) < len(merges):
+            raise ValueError("two merges make the same token")
+        self.parts: tuple[dict, dict] = ({}, {})
+        self.beside: dict[tuple[bytes, bytes], bool] = {}
+        tokens = {bytes([b]) for b in range(256)}
+        for a, b in merges:  # a token that other merges always break up is never emitted
+            if a in tokens and b in tokens and self._whole(a, b):
+                tokens.add(a + b)
+        self.tokens = tokens
+        self.open = {t[:k] for t in tokens for k in range(len(t))}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all states but the first: nothing read, no token before."""
+        self.states: list[tuple[bytes, tuple, tuple]] = [(b"", (None,), (0,))]
+        self.number = {self.states[0]: 0}
+        self._table(16)
+
+    def _border(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
+        """Parts at a token's right (1) or left (0) border, from the byte up to the token, and when each becomes the next."""
+        known = self.parts[side]
+        if token not in known:
+            out, part, due = [], token, float("inf")
+            while True:
+                out.append((part, due))
+                if len(part) == 1:
+                    break
+                pair = self.made_of[part]
+                part, due = pair[side], self.order[pair]
+            known[token] = out[::-1]
+        return known[token]
+
+    def _whole(self, left: bytes, right: bytes) -> bool:
+        """Whether both tokens become whole before a merge crosses their border; of equal merges the left one comes first."""
+        a, b = self._border(left, 1), self._border(right, 0)
+        i = j = 0
+        while True:
+            (x, due_x), (y, due_y) = a[i], b[j]
+            if i == len(a) - 1 and j == len(b) - 1:
+                return True
+            cross = self.order.get((x, y))
+            if cross is not None and cross < due_x and cross <= due_y:
+                return False
+            if due_x <= due_y:
+                i += 1
+            else:
+                j += 1
+
+    def _follows(self, left: bytes | None, right: bytes) -> bool:
+        """Whether ``right`` can come after ``left`` (None: at the start)."""
+        if left is None:
+            return True
+        key = left, right
+        if key not in self.beside:
+            self.beside[key] = key not in self.order and self._whole(left, right)
+        return self.beside[key]
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state, and tokens emitted (less those taken back)."""
+        seen, last, after = self.states[state]
+        seen += bytes([byte])
+        k = next(k for k in range(len(seen)) if seen[k:] in self.tokens and self._follows(last[k], seen[k:]))
+        emitted = 1 - after[k]
+        last, after = (*last, seen[k:]), (*(n + emitted for n in after), 0)
+        m = next(m for m in range(len(seen) + 1) if seen[m:] in self.open)
+        key = seen[m:], last[m:], after[m:]
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key], emitted
+
+    # transitions as a hash table of arrays: state and byte -> next state and emission
+
+    def _table(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self._table(max(self.bits, int(4 * len(keys)).bit_length()))
+        self.used += len(keys)
+        slot = self._slot(keys)
+        while len(keys):  # one of those that meet in a free slot stays, the rest move on
+            free = self.keys[slot] < 0
+            first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)[1]
+            first = first[free[first]]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+    def _get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = self.values[slot]
+        todo = np.flatnonzero(held != keys)
+        if not len(todo):
+            return out
+        at, new = slot[todo], []
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            same = held == keys[todo]
+            out[todo[same]] = self.values[at[same]]
+            none = held < 0
+            new.append(todo[none])
+            left = ~same & ~none
+            todo, at = todo[left], at[left]
+        # a first slot that is free ends the search too
+        missing = np.unique(keys[self.keys[slot] < 0]) if (self.keys[slot] < 0).any() else np.zeros(0, np.int64)
+        missing = np.union1d(missing, keys[np.concatenate(new)]) if new else missing
+        missing = missing[~self._has(missing)]
+        if len(missing):
+            steps = [self.step(int(k) >> 8, int(k) & 255) for k in missing]
+            self._put(missing, np.array([(s << 16) | (n + self._ZERO) for s, n in steps], np.int64))
+            return self._get(keys)
+        return out
+
+    def _has(self, keys: np.ndarray) -> np.ndarray:
+        out, slot, todo = np.zeros(len(keys), bool), self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            held = self.keys[slot[todo]]
+            out[todo[held == keys[todo]]] = True
+            todo = todo[(held != keys[todo]) & (held >= 0)]
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+        return out
+
+    def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens emitted by each span after its first ``skip`` bytes, the state there, and the last state; all spans advance together."""
+        order = np.argsort(-size, kind="stable")
+        at, sizes, now = start[order], size[order], state[order].astype(np.int64)
+        ahead = None if skip is None else skip[order]
+        total, entered = np.zeros(len(at), np.int64), now.copy()
+        alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right") if len(sizes) else []
+        for j, m in enumerate(alive):
+            got = self._get((now[:m] << 8) | data[at[:m] + j])
+            now[:m] = got >> 16
+            total[:m] += (got & 0xFFFF) - self._ZERO
+            if ahead is not None:
+                here = np.flatnonzero(ahead[:m] == j + 1)
+                total[here], entered[here] = 0, now[here]
+        out = np.empty((3, len(at)), np.int64)
+        out[:, order] = total, entered, now
+        return out[0], out[1], out[2]
+
+    def count(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token."""
+        if len(self.states) > STATES:
+            self.clear()
+        size = stop - start
+        out = np.zeros(len(start), np.int64)
+        short = size <= 2 * PIECE
+        out[short] = self.run(data, start[short], size[short], np.zeros(int(short.sum()), np.int64))[0]
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self._composed(data, int(start[k]), int(stop[k]))
+        return out
+
+    def _composed(self, data: np.ndarray, start: int, stop: int) -> int:
+        """Tokens of one long pre-token: chunk maps, each known at the state that a run from shortly before gives, are composed."""
+        cuts = np.arange(start, stop, PIECE)
+        begin = np.maximum(cuts - AHEAD, start)
+        ends = np.append(cuts[1:], stop)
+        total, guess, leave = self.run(data, begin, ends - begin, np.zeros(len(cuts), np.int64), cuts - begin)
+        for k in range(1, len(cuts)):
+            if guess[k] != leave[k - 1]:
+                total[k], guess[k], leave[k] = (x[0] for x in self.run(data, cuts[k : k + 1], ends[k : k + 1] - cuts[k : k + 1], leave[k - 1 : k]))
+        return int(total.sum())
+
+
 class Transducer:
     """Both transducers, compiled once for a worker."""
 
@@ -139,20 +336,9 @@ class Transducer:
         self.go[np.arange(_SIZE) * _SIZE + 15] = np.arange(_SIZE)
         self.symbols = symbol_table()
         merges, self.special = bpe.merges_of(vocabulary)
-        self.merger = bpe.Merger.of_merges(merges)
-        self.paths: dict[str, int] = {}
+        self.merges = Merges(merges)
         self.chunk = chunk
 
-    def compiled(self, tokens: list[str]) -> dict[str, int]:
-        """Tokens on the path of each pre-token; paths not met before are compiled."""
-        new = set(tokens).difference(self.paths)
-        if len(self.paths) + len(new) > bpe.CACHE_ENTRIES:
-            self.paths = {}
-            new = set(tokens)
-        new = list(new)
-        self.paths.update(zip(new, map(len, self.merger.merge([t.encode() for t in new]))))
-        return self.paths
-
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         out = [0] * len(texts)
@@ -179,13 +365,20 @@ class Transducer:
             if len(edges) > 1 and edge[-1]:
                 edges[-2] = np.append(edges[-2], lo - 1)
         starts = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-        starts = starts[~np.isin(starts, ends, kind="sort")] if len(starts) else starts
-        stops = np.append(starts[1:], len(points))
+        if not len(starts):
+            return out
+        starts = starts[~np.isin(starts, ends, kind="sort")]
         which = np.searchsorted(ends, starts)
-        stops = np.minimum(stops, ends[which]) if len(starts) else stops
-        tokens = [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
-        sizes = np.fromiter(map(self.compiled(tokens).__getitem__, tokens), np.int64, len(tokens))
-        total = np.bincount(which, sizes, len(parts)).astype(np.int64) if len(starts) else np.zeros(len(parts), np.int64)
+        stops = np.minimum(np.append(starts[1:], len(points)), ends[which]) if len(starts) else starts
+        # from characters to bytes
+        data = np.frombuffer(whole.encode(), np.uint8)
+        width = np.ones(len(points) + 1, np.int64)
+        width[0] = 0
+        for low in (0x80, 0x800, 0x10000):
+            width[1:] += points >= low
+        place = np.cumsum(width, out=width)
+        sizes = self.merges.count(data, place[starts], place[stops])
+        total = np.bincount(which, sizes, len(parts)).astype(np.int64)
         for i, k in zip(owner, total.tolist()):
             out[i] += k
         return out
