@@ -135,9 +135,9 @@ class Merger:
             slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         low = 0
         for high in (4, 8, 12, 16, 24, 32, SHORT):
@@ -146,7 +146,7 @@ class Merger:
                 self._merge(pieces, some[k : k + 8192], sizes, high, out)
             low = high
         for i in np.flatnonzero(sizes > SHORT).tolist():
-            out[i] = np.array([self.ids[t] for t in merged(pieces[i], self.by_bytes)], np.int64)
+            out[i] = np.array([self.ids[t] for t in merged(pieces[i], self.by_bytes)], "<u4").tobytes()
         return out
 
     def _merge(self, pieces, some, sizes, width, out) -> None:
@@ -161,8 +161,11 @@ class Merger:
             best = order[rows, at]
             done = best == _NEVER
             if done.any():
-                for i, row in zip(some[done].tolist(), ids[done]):
-                    out[i] = row[row >= 0]
+                rows_done = ids[done]
+                there = rows_done >= 0
+                flat, ends = rows_done[there].astype("<u4").tobytes(), np.cumsum(4 * there.sum(1)).tolist()
+                for i, a, b in zip(some[done].tolist(), [0, *ends], ends):
+                    out[i] = flat[a:b]
                 some, ids, order, at, best = some[~done], ids[~done], order[~done], at[~done], best[~done]
                 rows = np.arange(len(some))
             if not len(some):

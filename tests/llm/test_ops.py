@@ -240,15 +240,15 @@ def test_token_counts(spark):
         assert [got[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
 
 
-@pytest.mark.parametrize("chunk_chars", [8, 50, 1 << 16])
-def test_codec(spark, chunk_chars):
+@pytest.mark.parametrize(("chunk_chars", "dealt_chars"), [(8, 1 << 16), (50, 120), (8, 16), (1 << 16, 1 << 16)])
+def test_codec(spark, chunk_chars, dealt_chars):
     import public_tokenizers
     import tiktoken
 
     texts = fuzz_texts() + ["same text that is long enough"] * 2
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(bpe_codec.RANKS), special_tokens={})
     rows = spark.createDataFrame([(min(i, 405), t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = bpe_codec.coded(rows, chunk_chars=chunk_chars).collect()
+    out = bpe_codec.coded(rows, chunk_chars=chunk_chars, dealt_chars=dealt_chars).collect()
     got = sorted((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in out)
     want = sorted((min(i, 405), np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts))
     assert got == want
