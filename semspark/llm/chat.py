@@ -13,15 +13,18 @@ strings in it are escaped, each by one backslash behind its first character
 (``</s>`` becomes ``<\/s>``, ``<\/s>`` becomes ``<\\/s>``), which the parser takes
 off.  A turn's rendering can be told apart without its neighbours, because no
 closing mark overlaps itself; the whole conversation is parsed once more all the
-same, and where it does not give back its turns every text in it is escaped.
+same, and where it does not give back its turns every text in it is escaped and the
+result is parsed and compared again.  A conversation that even so did not come back
+would raise an error; nothing is given out that was not found identical.
 
 The loss mask covers the assistant's texts: one span for each, in characters of
-the formatted text.
+the formatted text.  What the mask covers is cut out of the formatted text by these
+offsets; each turn's own part of it is cut, so that this takes time in proportion.
 
 Defined results: a null text or role is an empty string; turns are ordered by
 turn (null first), role and text, and equal rows are all kept; rows without a
-conversation id form one conversation without an id; no rows give no rows; extra
-columns are ignored.  A conversation is one row of the result, so that its turns
+conversation id form one conversation without an id; texts of any length are kept
+whole; no rows give no rows; extra columns are ignored.  A conversation is one row of the result, so that its turns
 meet in one task; whatever is done for a turn alone is done before that.
 """
 
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from semspark.llm import common as C
 
-_TURN = r"(?s)\[INST\] (.*?) \[/INST\]|<s> (.*?) </s>|\[ROLE:([^\]]*)\] (.*?) \[/ROLE\]"
+#: A turn, which begins where the one before ended: from any other place nothing is tried.
+_TURN = r"(?s)\G(?:\[INST\] (.*?) \[/INST\]|<s> (.*?) </s>|\[ROLE:([^\]]*)\] (.*?) \[/ROLE\])"
 
 #: The conversation that every run formats besides those of the table.
 EXTRA = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -97,30 +101,48 @@ def formatted(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("at_escaped", F.coalesce(F.sum(F.length("escaped").cast("long")).over(before), F.lit(0)))
     every = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "shown", "escaped", "at", "at_escaped"))).alias("all"))
     source = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    joined = every.withColumn("first", F.array_join(F.col("all.shown"), "")).withColumn("ok", _same(F.col("first"), source))
-    joined = joined.select(
+    first = every.withColumn("first", F.array_join(F.col("all.shown"), "")).withColumn("ok", _same(F.col("first"), source))
+    escaped = F.array_join(F.col("all.escaped"), "")
+    checked = F.when(_same(escaped, source), escaped).otherwise(F.raise_error(F.lit("a conversation does not come back from its formatted text")).cast("string"))
+    joined = first.select(
         "conv_id",
-        F.when(F.col("ok"), F.col("first")).otherwise(F.array_join(F.col("all.escaped"), "")).alias("formatted"),
+        F.when(F.col("ok"), F.col("first")).otherwise(checked).alias("formatted"),
         F.when(F.col("ok"), F.col("all.at")).otherwise(F.col("all.at_escaped")).alias("at"),
     )
     parsed = joined.withColumn("turns", parse(F.col("formatted")))
-    spans = F.zip_with("turns", "at", lambda t, at: F.struct(t["role"].alias("role"), (at + t["head"]).alias("start"), t["size"].alias("size")))
-    loss = F.transform(F.filter(spans, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"], s["size"]))
-    return parsed.select("conv_id", "formatted", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), loss.alias("loss"))
+    mask = F.zip_with("turns", "at", lambda t, at: F.when(t["role"] == "assistant", F.struct((at + t["head"]).alias("start"), t["size"].alias("size"))))
+    masked = parsed.select("conv_id", "formatted", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), mask.alias("mask"))
+    return masked.withColumn("loss", F.filter("mask", lambda s: s.isNotNull()))
+
+
+def under_mask(chats: DataFrame, *carried: str) -> DataFrame:
+    """(conv_id, said, and columns carried along): all text that the loss mask covers in ``formatted``, unescaped, in order.
+
+    Each span is cut by its offset from the part of the formatted text in which it
+    should lie; what a wrong span covers comes out, right or not.
+    """
+    parts = F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0))
+    rows = chats.select("conv_id", *carried, F.posexplode(F.arrays_zip(parts.alias("part"), F.col("mask").alias("span"))).alias("nth", "turn"))
+    before = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("conv_id", *carried, "nth", "turn.*").withColumn("begin", F.coalesce(F.sum(F.length("part").cast("long")).over(before), F.lit(0)))
+    cut = F.substring(F.col("part"), (F.col("span.start") - F.col("begin") + 1).cast("int"), F.col("span.size").cast("int"))
+    kept = rows.select("conv_id", *carried, "nth", F.when(F.col("span").isNotNull(), unescape(cut)).otherwise("").alias("said"))
+    return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "said"))), lambda x: x["said"]), "").alias("said"), *(F.first(c).alias(c) for c in carried))
 
 
 def digests(chats: DataFrame) -> DataFrame:
     """Counts and hashes, read back from the formatted text alone."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return chats.select(
+    whole = chats.select(
         "conv_id",
+        "formatted",
+        "mask",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
-        F.length(said).cast("long").alias("loss_chars"),
-        F.sha2(said.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    said = under_mask(whole, "n_turns", "turns_sha256", "formatted_chars")
+    return said.select("conv_id", "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,20 @@ def test_chat_round_trip(spark):
         undone = spark.createDataFrame([(s,) for s in spans] or [("",)], "s string").select(chat.unescape(F.col("s")).alias("s")).collect()
         assert [u.s for u in undone if spans] == [x for _, r, x in mine if r == "assistant"]
     assert chat.formatted(df.limit(0)).count() == 0
+    said = {r.conv_id: r.said for r in chat.under_mask(chat.formatted(df)).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda v: (v[0] is not None, v[0] or 0, v[1], v[2]))
+        assert said[conv] == "".join(x for _, r, x in mine if r == "assistant")
+
+
+def test_chat_digests_show_a_wrong_mask(spark):
+    long = "[INST] </s> \\ é" * 40_000
+    rows = [(1, 0, "user", "hi", "clash"), (1, 1, "assistant", "well </s> then", "clash"), (1, 2, "assistant", long, "clash")]
+    chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
+    right = chat.digests(chats).first()
+    assert right.loss_chars == len("well </s> then" + long) and right.loss_sha256 == hashlib.sha256(("well </s> then" + long).encode()).hexdigest()
+    moved = chats.withColumn("mask", F.transform("mask", lambda s: F.when(s.isNotNull(), F.struct((s["start"] + 1).alias("start"), s["size"].alias("size")))))
+    assert chat.digests(moved).first().loss_sha256 != right.loss_sha256
 
 
 PAGES = "page_id long, url string, html string, start long, bytes string"
