@@ -8,16 +8,22 @@ alone are extended to the whole length, which is level 2; all others have no
 candidate left and end there.  A window that also starts in a document of a
 smaller id is removed, that is, the words that it covers.
 
-Documents are dealt once into groups of bounded size, by a mix of their ids, and
+Documents are dealt once into groups of bounded size, by their place in the table, and
 every level reads that same exchange.  Between the levels only hashes travel: a
 group sends each distinct hash once, so that a passage in a third of all documents
 is one entry a group, to the bucket that the hash belongs to; the bucket answers
 the groups.  Windows are matched by 96 bits of hash.
 
+``longest_repeats`` goes on beyond.  A text is cut into segments at borders that its
+words set, and that lie the same wherever a passage stands; runs of one segment
+that several documents have are extended to two, those that repeat to four, and so on,
+until no candidate survives.
+
 Defined results: words are runs of anything but ASCII white space, taken as they
-are; a null or empty text has none, and keeps none; a document without an id
-neither loses words nor causes losses; rows with equal ids are no smaller than one
-another; repeated rows are each answered; extra columns are kept by ``deduplicated``.
+are; a null or empty text has none, and keeps none; texts of any length take part
+whole; a document without an id neither loses words nor causes losses; rows with equal
+ids are no smaller than one another; repeated rows are each answered; no rows give no
+rows; extra columns are kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semspark.llm import common as C
 
 HALF = 7
+#: A segment begins at a word where the byte lengths of it and the next ones, so weighed, sum up to a multiple of ``EVERY``.
+WEIGHTS, EVERY = (31, 17, 7, 1), 32
 GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 512, 2 << 20, 1 << 20
 
 _BUCKETED = "bucket int, home int, payload binary"
@@ -64,10 +72,9 @@ class Words:
     def minimisers(self, half: int, at: np.ndarray) -> np.ndarray:
         """Smallest hash of a half window inside each window that starts at ``at``."""
         low = C.window_hashes(self.hashes, half)
-        span = half  # half windows inside one window
         have = 1
-        while have < span:
-            step = min(have, span - have)
+        while have < half:  # half windows inside one window
+            step = min(have, half - have)
             low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
             have += step
         return low[at]
@@ -235,18 +242,16 @@ def _dealt(docs: DataFrame, rows: int, bytes_: int, bucket_bytes: int) -> tuple[
     key, text = key.cast("long"), text.cast("string")
     size = flat.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
     groups = max(1, -(-size.n // rows), -(-(size.bytes or 0) // bytes_)) | 1
-    mixed = key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 19))
-    home = F.pmod(F.coalesce(mixed, F.xxhash64(text)), F.lit(groups)).cast("int")
+    home = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     own = [f"c{i}" for i, c in enumerate(names) if c != "text"]
     return flat.select(*own, key.alias("_id"), text.alias("_text"), home.alias("_home")), max(1, (size.bytes or 0) // bucket_bytes)
 
 
-def deduplicated(docs: DataFrame, half: int = HALF, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` with ``text`` cut, and ``n_words``, ``n_removed`` and ``kept_sha256`` of each.
+def deduplicated(docs: DataFrame, counts: str = "counts", half: int = HALF, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``docs`` with ``text`` cut, and a struct ``counts`` of n_words, n_removed and kept_sha256.
 
     A text that loses nothing stays as it is; another is its kept words, joined by
-    one space.  Columns of the table that bear one of the added names keep it, and
-    the added one is left out.
+    one space.  The struct's name must be free in the table (see ``common.free_name``).
     """
     n = 2 * half - 1
     dealt, buckets = _dealt(docs, group_rows, group_bytes, bucket_bytes)
@@ -257,13 +262,60 @@ def deduplicated(docs: DataFrame, half: int = HALF, group_rows: int = GROUP_ROWS
     kept = T.StructType([*(f for f in dealt.schema if f.name not in ("_text", "_home")), *(T.StructField(c, T.StringType()) for c in ("_left", "_digest")), *(T.StructField(c, T.LongType()) for c in ("_total", "_removed"))])
     out = dealt.groupBy("_home").cogroup(repeats.groupBy("home")).applyInArrow(lambda a, b: _kept(a, b, n).select(kept.names), kept)
     names = docs.columns
-    added = {"n_words": "_total", "n_removed": "_removed", "kept_sha256": "_digest"}
-    return out.select(*(F.col("_left" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(c).alias(a) for a, c in added.items() if a not in names))
+    own = F.struct(F.col("_total").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_digest").alias("kept_sha256"))
+    return out.select(*(F.col("_left" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)), own.alias(counts))
+
+
+def _segments(batches, every: int):
+    """(row, id, k, h, n) of each whole segment of a text: its number, the hash and the number of its words."""
+    for batch, data, at in C.pieces(batches, "text"):
+        starts, ends, first = C.word_spans(data, at, C.SPACE_WORDS)
+        words, size = C.span_hashes(data, starts, ends), ends - starts
+        four = np.flatnonzero(C.window_starts(first, len(WEIGHTS)))
+        border = four[sum(w * size[four + i] for i, w in enumerate(WEIGHTS)) % every == 0]
+        doc = np.searchsorted(first, border, "right") - 1
+        whole = np.flatnonzero(doc[1:] == doc[:-1])
+        a, b, d = border[whole], border[whole + 1], doc[whole]
+        mixed = C.mix(words.copy())
+        plain = np.append(np.uint64(0), np.cumsum(mixed))
+        placed = np.append(np.uint64(0), np.cumsum(mixed * np.arange(1, len(mixed) + 1, dtype=np.uint64)))
+        h = C.mix((placed[b] - placed[a]) - a.astype(np.uint64) * (plain[b] - plain[a]))  # words weighed by their place in the segment
+        k = np.arange(len(d)) - np.searchsorted(d, d)
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(d)), batch.column("id").take(pa.array(d)), pa.array(k, pa.int64()), pa.array(h.view(np.int64)), pa.array(b - a, pa.int64())], ["row", "id", "k", "h", "n"])
+
+
+def longest_repeats(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """(row, id, longest): words of the longest run of 1, 2, 4, ... segments that a document shares with one of another id.
+
+    ``row`` is ``row_key()``; documents that share no segment have no row.
+    """
+    C.bounded_batches(docs.sparkSession)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(row_key().alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    level, width, found = rows.mapInArrow(lambda it: _segments(it, every), "row long, id long, k long, h long, n long"), 1, None
+    while True:
+        several = C.stored(level.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h"), "several")
+        alive = C.stored(level.join(several, "h", "left_semi"), "alive")
+        longest = alive.groupBy("row", "id").agg(F.max("n").alias("longest"))
+        found = longest if found is None else found.unionByName(longest)
+        if alive.isEmpty():
+            return found.groupBy("row", "id").agg(F.max("longest").alias("longest"))
+        # runs that repeat are extended to twice their length by the run that follows, if it repeats too
+        follows = Window.partitionBy("row", "id").orderBy("k").rangeBetween(width, width)
+        both = alive.withColumns({"h2": F.first("h").over(follows), "n2": F.first("n").over(follows)}).where("h2 IS NOT NULL")
+        level, width = both.select("row", "id", "k", F.xxhash64("h", "h2").alias("h"), (F.col("n") + F.col("n2")).alias("n")), 2 * width
+
+
+def row_key():
+    """What tells apart the texts of one id."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", row_key().alias("row"))
+    kept = deduplicated(docs).select("doc_id", "row", "counts.*")
+    longest = C.stored(longest_repeats(docs).select("row", F.col("id").alias("_id"), "longest"), "longest")
+    both = kept.join(longest, (kept["row"] == longest["row"]) & (kept["doc_id"] == longest["_id"]), "left")
+    return both.select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest", F.lit(0)).cast("long").alias("longest_repeat"))
 
 
 OP2_SQL = r"""
@@ -271,9 +323,17 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
 low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
 gone AS (SELECT DISTINCT r, k FROM (SELECT r, unnest(range(i, i + 13)) AS k FROM win JOIN low USING (s) WHERE doc_id > first)),
-g AS (SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r)
+g AS (SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r),
+border AS (SELECT r, doc_id, w, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4 AND doc_id IS NOT NULL)
+           WHERE (31 * strlen(w[i]) + 17 * strlen(w[i + 1]) + 7 * strlen(w[i + 2]) + strlen(w[i + 3])) % 32 = 0),
+seg AS (SELECT r, any_value(doc_id) AS doc_id, list(array_to_string(w[i:j - 1], ' ') ORDER BY i) AS ss, list(j - i ORDER BY i) AS ns FROM border WHERE j IS NOT NULL GROUP BY r),
+run AS (SELECT r, doc_id, list_sum(ns[k:k + p - 1]) AS n, array_to_string(ss[k:k + p - 1], chr(10)) AS s
+        FROM (SELECT r, doc_id, ss, ns, p, unnest(range(1, len(ss) - p + 2)) AS k FROM seg, (SELECT 1 << unnest(range(20)) AS p) WHERE len(ss) >= p)),
+shared AS (SELECT s FROM run GROUP BY s HAVING min(doc_id) < max(doc_id)),
+far AS (SELECT r, max(n)::BIGINT AS longest FROM run SEMI JOIN shared USING (s) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
        sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
-                   ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i)), ' '), '') END) AS kept_sha256
-FROM d LEFT JOIN g USING (r)
+                   ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i)), ' '), '') END) AS kept_sha256,
+       coalesce(longest, 0)::BIGINT AS longest_repeat
+FROM d LEFT JOIN g USING (r) LEFT JOIN far USING (r)
 """

@@ -64,14 +64,32 @@ def brute_removed(rows):
 @pytest.mark.parametrize("options", [{}, {"group_rows": 3, "bucket_bytes": 500}])
 def test_substrings(docs, options):
     rows = docs.select("doc_id", "text", "lang")
-    got = [tuple(r) for r in substrings.deduplicated(rows, **options).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    got = [tuple(r) for r in substrings.deduplicated(rows, **options).select("doc_id", "counts.*").collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_removed(awkward())))
 
 
 def test_substrings_keep_columns_that_clash(docs, none):
-    out = substrings.deduplicated(docs)
-    assert out.columns == [*docs.columns, "n_removed", "kept_sha256"] and out.count() == docs.count()
-    assert substrings.deduplicated(none).count() == 0
+    out = substrings.deduplicated(docs.withColumn("counts", F.lit("clash")), C.free_name(docs.withColumn("counts", F.lit(1)), "counts"))
+    assert out.columns == [*docs.columns, "counts", "counts_"] and out.count() == docs.count()
+    assert substrings.deduplicated(none).count() == 0 and substrings.longest_repeats(none).count() == 0
+
+
+def test_substrings_tell_the_texts_of_one_id_apart(spark):
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(n))
+    shared, own = make(40), [make(30) for _ in range(6)]
+    rows = [(5, f"{own[0]} {shared}"), (5, f"{shared} {own[1]}"), (5, own[2]), (2, f"{own[3]} {own[2]}"), (9, f"{shared} {shared}"), (5, own[2])] + [(7, shared)] * 30
+    got = sorted(str(tuple(r)) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=4).select("doc_id", "counts.*").collect())
+    assert got == sorted(str(x) for x in brute_removed(rows))
+
+
+def test_longest_repeats_double_until_none_survives(spark):
+    rng = random.Random(2)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, copy = make(1500), make(9000)
+    rows = [(1, f"{make(50)} {passage} {make(300)}"), (2, f"{make(700)} {passage}"), (3, make(2000)), (4, copy), (6, copy), (None, copy), (7, None), (8, "short text"), (9, passage[:4000])]
+    got = {r.id: r.longest for r in substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 4, 6, 9} and got[1] == got[2] and 750 < got[1] <= 1500 and got[4] == got[6] and 3600 < got[4] <= 9000 and 200 < got[9] < 700
 
 
 def test_shingle_join(docs, none):
