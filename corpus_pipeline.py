@@ -23,9 +23,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a document of a smaller id has; ``n_chars`` follows the text."""
-    names = docs.columns
-    cut = substrings.deduplicated(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
+    names, counts = docs.columns, C.free_name(docs, "counts")
+    cut = substrings.deduplicated(docs, counts)
+    if "n_chars" in names:
+        cut = cut.withColumn("n_chars", F.when(F.col(counts)["n_removed"] > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
+    return cut.select(*names)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
