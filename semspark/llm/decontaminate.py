@@ -13,11 +13,13 @@ are lower-cased and nothing else is.
 Defined results: a null or empty document has no words and no hits; a null or
 wordless item has no pattern; repeated items give one pattern under each id; an
 item without an id marks words but has no id to list; repeated rows are each
-answered; extra columns of either table are ignored.
+answered; texts of any length are searched whole; no documents give no rows, and
+without items no document is hit; extra columns of either table are ignored.
 
 The documents are never shuffled.  The patterns go to the tasks in blocks of at
-most ``block_words`` words, one pass over the documents for each, so that what
-is broadcast has a fixed bound whatever the benchmark's size.
+most ``block_words`` words, one pass over the documents for each.  A pass is written
+to the shared folder before the next one starts, so that one block is broadcast and
+one worker runs in a task at a time, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -178,6 +180,9 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
         more = following is not None or keep_text
         shared = spark.sparkContext.broadcast(Patterns(block))
         out = out.mapInArrow(lambda it, s=shared, m=more: _scan(it, s.value, m), f"key {kind}, {'text string, ' * more}n long, bits binary, items array<string>")
+        if following is not None:
+            out = C.stored(out, "searched")
+            shared.destroy()
         block = following
     return out.withColumnRenamed("key", key)
 
@@ -193,10 +198,15 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             total = np.append(0, np.cumsum(hit))
             yield batch.filter(pa.array(total[first[1:]] == total[first[:-1]]))
 
-    out = docs
-    for block in pattern_blocks(benchmark, window, block_words):
+    out, blocks = docs, pattern_blocks(benchmark, window, block_words)
+    block = next(blocks)
+    while block is not None:
         shared = docs.sparkSession.sparkContext.broadcast(Patterns(block))
         out = out.mapInArrow(lambda it, s=shared: clean(it, s.value), docs.schema)
+        block = next(blocks, None)
+        if block is not None:
+            out = C.stored(out, "searched")
+            shared.destroy()
     return out
 
 

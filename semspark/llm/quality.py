@@ -10,7 +10,8 @@ chunks at a time.
 
 Defined results: a null or empty text is one chunk of padding, and gets what the
 network says of that; without labels the network is untrained and says 1/2, so
-that nothing is rejected; repeated rows are each scored; extra columns are ignored.
+that nothing is rejected; repeated rows are each scored; texts of any length are
+scored whole; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from semspark.llm import common as C
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[DataFrame, float]:
+#: A training text is of so many bytes at most; longer ones are scored like all others, but not learned from.
+TEXT_BYTES = 1 << 18
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, text_bytes: int = TEXT_BYTES) -> tuple[DataFrame, float]:
     """(text, y) of at most ``per_class`` labelled documents of either class, as a hash of the id orders them;
     and the share of label 1 among all that may be drawn.
 
     Ids whose crc32 modulo ``folds`` is ``held_out`` are never drawn.  The largest
     label counts where an id is labelled twice; nulls and other values are no
-    labels.  Whole texts are taken.
+    labels.  Whole texts are taken, one for each id however many rows share it, and
+    none of more than ``text_bytes``: so the sample is bounded in rows and in bytes.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (C.crc_bucket("doc_id", folds) != held_out))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("_order", F.xxhash64("doc_id", F.lit(17)))
@@ -24,7 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         some = rows.where(F.col("y") == y).orderBy("_order", "doc_id").limit(per_class).select("doc_id", "y")
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y"), share
+    found = texts.where(F.octet_length("text") <= text_bytes).join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), share
 
 
 def balance(labels: list[int], share: float | None) -> tuple[float, float]:

@@ -13,7 +13,8 @@ shuffle.
 
 Defined results: a null or empty text has no sentence and gets probability 0; rows
 without labels, or with labels of one kind only, train a model that says what its
-sample says; repeated rows are each scored; extra columns are ignored.
+sample says; repeated rows are each scored; texts of any length are scored whole; no
+rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -389,6 +389,81 @@ def test_classifiers_without_labels(spark):
     assert toxicity.toxicity(few, labels.limit(0)).count() == 5 and quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_scores_against_plain_loops(spark):
+    """The noisy-or over sentences and the network over chunks, one byte and one word at a time."""
+    rng, np_rng = random.Random(4), np.random.default_rng(4)
+    texts = ["", "one", "You are. A scum! Really scum scum\nyes", "é漢 x" * 400, "".join(chr(rng.randrange(32, 127)) for _ in range(1700)), "a b. " * 300]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    net = quality.Network(3)
+    net.p["out"][:], net.p["conv_b"][:], net.p["hidden_b"][:] = (np_rng.normal(size=net.p[k].shape) for k in ("out", "conv_b", "hidden_b"))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for text, got in zip(texts, net.score(data, at)):
+        raw, start, described = list(text.encode()), 0, []
+        while True:
+            chunk = [raw[i] if i < len(raw) else 256 for i in range(start, start + quality.CHUNK)]
+            best = [-np.inf] * quality.FILTERS
+            for cell in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP):
+                seen = np.concatenate([p["embed"][c] for c in chunk[cell : cell + quality.WIDTH]])
+                best = [max(b, float(seen @ p["conv"][:, f])) for f, b in enumerate(best)]
+            pooled = [max(0.0, b + p["conv_b"][f]) for f, b in enumerate(best)]
+            described.append([max(0.0, sum(pooled[f] * p["hidden"][f, h] for f in range(quality.FILTERS)) + p["hidden_b"][h]) for h in range(quality.HIDDEN)])
+            if start + quality.CHUNK >= len(raw):
+                break
+            start += quality.STRIDE
+        both = [max(d[h] for d in described) for h in range(quality.HIDDEN)] + [sum(d[h] for d in described) / len(described) for h in range(quality.HIDDEN)]
+        z = sum(b * w for b, w in zip(both, p["out"])) + p["out_b"][0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4, text[:20]
+    model = toxicity.Model(np.abs(np_rng.normal(size=toxicity.BUCKETS + 1)) * 0.2, -2.0)
+    score, doc, start, end, prob = model.score(data, at)
+    features, sentence, _, _, _ = toxicity.featurise(data, at)
+    said, before = [], [1.0] * len(texts)
+    for d, text in enumerate(texts):
+        raw, here = text.encode(), at[d]
+        for m in re.finditer(rb"[^.!?\n]+", raw):
+            words = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", m[0]))
+            if words:
+                said.append((d, here + m.start() + words[0].start(), here + m.start() + words[-1].end()))
+    assert said == list(zip(doc.tolist(), start.tolist(), end.tolist()))
+    for i, d in enumerate(doc.tolist()):
+        z = sum(float(model.weights[f]) for row in features[sentence == i] for f in row) - 2.0
+        assert abs(prob[i] - 1 / (1 + np.exp(-z))) < 1e-6
+        before[d] *= 1 - 1 / (1 + np.exp(-z))
+    assert all(abs(score[d] - (1 - q)) < 1e-6 for d, q in enumerate(before))
+
+
+def test_training_samples_are_bounded_in_rows_and_bytes(spark):
+    from semspark.llm import samples
+
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(4000)] + [(50, "x" * 300_000), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    drawn, share = samples.labelled_sample(docs, labels, "toxic", 4, 2, 15)
+    rows = drawn.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) <= 30 and all(len(r.text) < 300_000 for r in rows) and 0 < share < 1
+
+
+def test_empty_tables_and_clashing_names(spark):
+    """Of those operators that have no test of these by themselves."""
+    bare = spark.createDataFrame([], "doc_id long, text string, n_tokens string, key int, ids int, _text int, n_bytes int")
+    assert token_counts.token_counts(bare).count() == 0 and bpe_codec.coded(bare).count() == 0
+    vector = spark.createDataFrame([], "vec_id long, embedding array<double>, node int, leaf int, component_id int")
+    assert vectors.linked(vector).count() == 0
+    row = spark.createDataFrame([(1, "a b", "x", 1, 1, 1, 1)], bare.schema)
+    assert token_counts.token_counts(row).first().n_tokens == 2 and len(bpe_codec.coded(row).first().ids) == 8
+    one = spark.createDataFrame([(1, [1.0, 0.0], 1, 1, 1), (2, [1.0, 0.01], 1, 1, 1)], vector.schema)
+    assert {(r.vec_id, r.n_links, r.component_id) for r in vectors.linked(one).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_long_texts_are_searched_and_joined_whole(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-10] + ["end"] * 10)), (3, " ".join(words[10_000:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words[4090:4102])), (2, " ".join(words[-10:]))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (20_000, 22, 2), 2: (20_000, 12, 1), 3: (10_000, 10, 1)}
+    assert {r.doc_id: (r.n_links, r.class_id) for r in shingles.joined(docs).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = quality.Network(1)
