@@ -16,6 +16,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors differ in length"))))
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Dot product of two maps of slots to values."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0.0)))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

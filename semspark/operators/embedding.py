@@ -33,11 +33,29 @@ def cache_miss(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.join(cache, [c for c in ("model_id", "text") if c in texts.columns and c in cache.columns], "left_anti")
 
 
+def _bucket(token: Column) -> Column:
+    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(id, bucket, n): how many lower-cased tokens of a text fall into each hash bucket; the id is the text's digest, so that no text travels with its tokens."""
     tokens = texts.select(F.md5("text").alias("id"), F.explode(X.words(F.lower("text"))).alias("token"))
-    bucket = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
-    return tokens.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    # equal tokens of a text are counted first, so that each is digested once
+    tokens = tokens.groupBy("id", "token").agg(F.count("*").alias("n"))
+    return tokens.groupBy("id", _bucket(F.col("token")).alias("bucket")).agg(F.sum("n").alias("n"))
+
+
+def hash_sparse(texts: DataFrame) -> DataFrame:
+    """(text, embedding, norm) as by ``hash_encode``, unscaled, each embedding a map of the slots that are not zero.
+
+    For texts that are compared only: a line's map is a hundredth of its vector, and
+    it comes from the text's own row.
+    """
+    rows = texts.select("text", F.transform(X.words(F.lower("text")), _bucket).alias("_b")).where(F.size("_b") > 0)
+    rows = rows.select("text", "_b", F.array_distinct("_b").alias("_slots"))
+    counts = F.transform("_slots", lambda s: F.size(F.filter("_b", lambda b: b == s)).cast("double"))
+    rows = rows.select("text", F.map_from_arrays("_slots", counts).alias("embedding"))
+    return rows.select("text", "embedding", F.sqrt(F.aggregate(F.map_values("embedding"), F.lit(0.0), lambda s, n: s + n * n)).alias("norm"))
 
 
 def hash_encode(texts: DataFrame) -> DataFrame:
@@ -80,9 +98,9 @@ def attach(rows: DataFrame, vectors: DataFrame, text: str, prefix: str) -> DataF
     return rows.join(found, text, "left")
 
 
-def similarity(a: str, b: str, scale: int | None = None) -> Column:
+def similarity(a: str, b: str, scale: int | None = None, dot: Callable[[Column, Column], Column] = V.dot) -> Column:
     """Cosine of two attached texts; norms are those of the vectors, reckoned once a text."""
-    value = V.cosine_of(V.dot(F.col(f"{a}_vec"), F.col(f"{b}_vec")), F.col(f"{a}_norm"), F.col(f"{b}_norm"))
+    value = V.cosine_of(dot(F.col(f"{a}_vec"), F.col(f"{b}_vec")), F.col(f"{a}_norm"), F.col(f"{b}_norm"))
     return value if scale is None else F.round(value, scale)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
+from semspark.functions import vectors as V
 from semspark.operators import embedding as E
 from semspark.operators import labels as L
 from semspark.operators import ranking as R
@@ -80,12 +81,13 @@ def movement_prompt(movements: DataFrame, expected: int = EXPECTED, reference_te
 def movement_candidates(answered: DataFrame, expected: int = EXPECTED) -> DataFrame:
     """Movements (with ``raw``) exploded into candidates, with the number of equals in the same answer."""
     parsed = answered.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
-    rows = parsed.select("*", F.posexplode("candidates").alias("ordinal", "candidate"))
+    # outer, or the optimizer tests for empty lists on the answers and so parses each again
+    rows = parsed.select("*", F.posexplode_outer("candidates").alias("ordinal", "candidate")).where(F.col("candidate").isNotNull())
     return rows.withColumn("ordinal", F.col("ordinal") + 1).withColumn("copies", L.duplicate_count(F.col("candidates"), F.col("candidate"))).drop("candidates", "raw")
 
 
 def _embedded(rows: DataFrame, *columns: str) -> DataFrame:
-    vectors = E.hash_encode(E.text_dedupe(E.text_set(*((rows, c) for c in columns))))
+    vectors = E.hash_sparse(E.text_dedupe(E.text_set(*((rows, c) for c in columns))))
     for c in columns:
         rows = E.attach(rows, vectors, c, c)
     return rows
@@ -94,7 +96,7 @@ def _embedded(rows: DataFrame, *columns: str) -> DataFrame:
 def score_influence(candidates: DataFrame, scale: int | None = None, **limits) -> DataFrame:
     """Candidates with baseline, similarity to the target, improvement, reason and ``is_valid``."""
     rows = _embedded(candidates, "candidate", "current", "target")
-    rows = rows.withColumn("baseline", E.similarity("current", "target", scale)).withColumn("similarity", E.similarity("candidate", "target", scale))
+    rows = rows.withColumn("baseline", E.similarity("current", "target", scale, V.sparse_dot)).withColumn("similarity", E.similarity("candidate", "target", scale, V.sparse_dot))
     gain = F.col("similarity") - F.col("baseline")
     rows = rows.withColumn("improvement", gain if scale is None else F.round(gain, scale))
     base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), F.col("target"))
@@ -104,7 +106,7 @@ def score_influence(candidates: DataFrame, scale: int | None = None, **limits) -
 
 def score_turbulence(candidates: DataFrame, scale: int | None = None, **limits) -> DataFrame:
     """Candidates with similarity to the current text, diversity, reason and ``is_valid``."""
-    rows = _embedded(candidates, "candidate", "current").withColumn("similarity", E.similarity("candidate", "current", scale))
+    rows = _embedded(candidates, "candidate", "current").withColumn("similarity", E.similarity("candidate", "current", scale, V.sparse_dot))
     rows = rows.withColumn("diversity", 1 - F.col("similarity") if scale is None else F.round(1 - F.col("similarity"), scale))
     base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), None)
     rows = rows.withColumn("reason", L.reason_turbulence(base, F.col("similarity"), **limits))
@@ -124,6 +126,8 @@ def selected(scored: DataFrame, operator: str, seed: int = SEED) -> DataFrame:
 
 
 def score(candidates: DataFrame, operator: str, scale: int | None = None) -> DataFrame:
+    """Candidates scored as the operator asks; they are written first, as they are read once for their texts and once for each vector."""
+    candidates = stored(candidates, "candidates")
     return score_influence(candidates, scale) if operator == "influence" else score_turbulence(candidates, scale)
 
 

@@ -12,9 +12,9 @@ def best_per(rows: DataFrame, *group: str, order: str = "ordinal") -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
-def best_overall(runs: DataFrame, order: str = "run_number") -> DataFrame:
-    """The run of the highest similarity; of equals the lowest number."""
-    return runs.orderBy(F.desc("similarity"), order).limit(1)
+def best_overall(runs: DataFrame, *order: str) -> DataFrame:
+    """The run of the highest similarity; of equals the first by ``order`` (``run_number``)."""
+    return runs.orderBy(F.desc("similarity"), *(order or ("run_number",))).limit(1)
 
 
 def random_per(rows: DataFrame, seed: int, group: str, order: str = "ordinal") -> DataFrame:

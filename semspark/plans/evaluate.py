@@ -8,6 +8,7 @@ from semspark.functions import vectors as V
 from semspark.operators import embedding as E
 from semspark.operators import labels as L
 from semspark.operators import ranking as R
+from semspark.sources.sinks import stored
 
 # Fixed value: the status of a run whose completion has no candidate.
 UNPARSED = "sin candidatos parseables"
@@ -29,24 +30,25 @@ def pair_report(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def baseline(jobs: DataFrame, scale: int | None = None) -> DataFrame:
     """Jobs (job_id, current, target) with the similarity that a candidate has to better, once a job."""
-    vectors = E.hash_encode(E.text_dedupe(E.text_set((jobs, "current"), (jobs, "target"))))
+    vectors = E.hash_sparse(E.text_dedupe(E.text_set((jobs, "current"), (jobs, "target"))))
     rows = E.attach(E.attach(jobs, vectors, "current", "current"), vectors, "target", "target")
-    return rows.select(*jobs.columns, E.similarity("current", "target", scale).alias("baseline"))
+    return rows.select(*jobs.columns, E.similarity("current", "target", scale, V.sparse_dot).alias("baseline"))
 
 
 def run_candidates(runs: DataFrame, expected: int | None = None) -> DataFrame:
     """Runs (job_id, run_number, raw) exploded into candidates with their ordinal and number of equals."""
     parsed = runs.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
-    rows = parsed.select("*", F.posexplode("candidates").alias("ordinal", "candidate"))
+    # outer, or the optimizer tests for empty lists on the runs and so parses each again
+    rows = parsed.select("*", F.posexplode_outer("candidates").alias("ordinal", "candidate")).where(F.col("candidate").isNotNull())
     return rows.withColumn("ordinal", F.col("ordinal") + 1).withColumn("copies", L.duplicate_count(F.col("candidates"), F.col("candidate"))).drop("candidates", "raw")
 
 
 def scored(runs: DataFrame, jobs: DataFrame, expected: int, scale: int | None = None, **limits) -> DataFrame:
     """Candidates of all good runs, scored against their job's target; ``jobs`` have their baseline."""
-    rows = run_candidates(runs.where(F.col("error").isNull()), expected).join(jobs, "job_id")
-    vectors = E.hash_encode(E.text_dedupe(E.text_set((rows, "candidate"), (jobs, "target"))))
+    rows = stored(run_candidates(runs.where(F.col("error").isNull()), expected).join(jobs, "job_id"), "candidates")
+    vectors = E.hash_sparse(E.text_dedupe(E.text_set((rows, "candidate"), (jobs, "target"))))
     rows = E.attach(E.attach(rows, vectors, "candidate", "candidate"), vectors, "target", "target")
-    rows = rows.withColumn("similarity", E.similarity("candidate", "target", scale))
+    rows = rows.withColumn("similarity", E.similarity("candidate", "target", scale, V.sparse_dot))
     gain = F.col("similarity") - F.col("baseline")
     rows = rows.withColumn("improvement", gain if scale is None else F.round(gain, scale))
     base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), F.col("target"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
@@ -26,22 +26,22 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document beside the next one of the same language; every seventh beside a blank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    following = F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id"))
-    return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a"), F.when(F.col("doc_id") % 7 == 0, " \t").otherwise(following).alias("text_b"))
+    """Each document beside the one of the next id; every seventh beside a blank."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("following"))
+    beside = F.when(F.col("doc_id") % 7 == 0, " \t").otherwise(F.col("following"))
+    return docs.join(following, "doc_id", "left").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a"), beside.alias("text_b"))
 
 
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words 1-5, 6-10 and 11-15 of each document; the next document's as its best, the language's first good one's as its leader."""
-    w = X.words(F.col("text"))
+    """Words 1-5, 6-10 and 11-15 of each document; those of the next id as its best, the language's first good one's as its leader."""
     part = lambda k: F.array_join(F.slice("w", 5 * k + 1, 5), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(w, 1, 15).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(X.words(F.col("text")), 1, 15).alias("w"))
     docs = docs.select("doc_id", "lang", F.size("w").alias("n"), F.struct(part(0).alias("rol"), part(1).alias("topico"), part(2).alias("accion")).alias("own"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     leaders = docs.where("n = 15").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by("own", "doc_id").alias("lider"))
-    following = F.lead("own").over(Window.partitionBy("lang").orderBy("doc_id"))
-    rows = docs.withColumn("pbest", following).join(F.broadcast(leaders), "lang", "left")
+    best = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("pbest"))
+    rows = docs.join(best, "doc_id", "left").join(leaders, "lang", "left")
     return rows.select(F.col("doc_id").alias("position"), F.concat(F.lit("ind-"), F.col("doc_id").cast("string")).alias("id"), "own.*", "pbest", "lider", "doc_id")
 
 

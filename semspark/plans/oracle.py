@@ -1,7 +1,8 @@
 """Pieces of SQL that the oracles are put together from.
 
 ``with_(final)`` puts the common table expressions that ``final`` needs, directly
-or by way of others, before it.
+or by way of others, before it.  They are materialised: several are read more than
+once, and a join of texts and buckets must not be reordered to one of buckets alone.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def similar(name: str, pairs: str) -> dict[str, str]:
         f"{name}_t": f"SELECT a AS t FROM {name}_p UNION SELECT b FROM {name}_p",
         f"{name}_b": buckets(f"{name}_t"),
         f"{name}_n": f"SELECT t, sqrt(sum(n * n)::DOUBLE) AS len FROM {name}_b GROUP BY t",
-        f"{name}_d": f"SELECT p.a, p.b, sum(x.n * y.n)::DOUBLE AS d FROM {name}_p p JOIN {name}_b x ON x.t = p.a JOIN {name}_b y ON y.t = p.b AND y.bucket = x.bucket GROUP BY p.a, p.b",
+        f"{name}_x": f"SELECT p.a, p.b, x.bucket, x.n FROM {name}_p p JOIN {name}_b x ON x.t = p.a",
+        f"{name}_d": f"SELECT x.a, x.b, sum(x.n * y.n)::DOUBLE AS d FROM {name}_x x JOIN {name}_b y ON y.t = x.b AND y.bucket = x.bucket GROUP BY x.a, x.b",
         name: f"SELECT p.a, p.b, round(least(1.0, greatest(-1.0, coalesce(d, 0.0) / (x.len * y.len))), 9) AS sim FROM {name}_p p LEFT JOIN {name}_d USING (a, b) JOIN {name}_n x ON x.t = p.a JOIN {name}_n y ON y.t = p.b",
     }
 
@@ -141,12 +143,12 @@ CTES: dict[str, str] = {
     "doc_words": f"SELECT doc_id, lang, {words('text')} AS w FROM documents",
     "doc_parts": "SELECT doc_id, lang, len(w) AS n, array_to_string(w[1:5], ' ') AS rol, array_to_string(w[6:10], ' ') AS topico, array_to_string(w[11:15], ' ') AS accion FROM doc_words",
     "leaders": "SELECT lang, arg_min(rol, doc_id) AS l_rol, arg_min(topico, doc_id) AS l_topico, arg_min(accion, doc_id) AS l_accion FROM doc_parts WHERE n >= 15 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
-    "individuals": "SELECT doc_id, 'ind-' || doc_id AS id, rol, topico, accion, lead(rol) OVER w AS p_rol, lead(topico) OVER w AS p_topico, lead(accion) OVER w AS p_accion, l_rol, l_topico, l_accion FROM doc_parts LEFT JOIN leaders USING (lang) WINDOW w AS (PARTITION BY lang ORDER BY doc_id)",
+    "individuals": "SELECT a.doc_id, 'ind-' || a.doc_id AS id, a.rol, a.topico, a.accion, b.rol AS p_rol, b.topico AS p_topico, b.accion AS p_accion, l_rol, l_topico, l_accion FROM doc_parts a LEFT JOIN doc_parts b ON b.doc_id = a.doc_id + 1 LEFT JOIN leaders l ON l.lang = a.lang",
     "checked": "SELECT *, " + " AND ".join(f"coalesce({trim(c)}, '') <> ''" for c in ["id", *(p + k for p in ("", "p_", "l_") for k in KEYS.values())]) + " AS valid FROM individuals",
     "people": "SELECT * FROM checked WHERE valid",
     "components": "SELECT * FROM (VALUES " + ", ".join(f"({o}, {text(k)}, {text(n)}, {text(d)})" for o, k, n, d in catalogue.COMPONENTS) + ") t(component_ord, key, prompt_name, definition)",
     "draws": f"SELECT i.*, k.*, {draw('id', 'key', text('change'))} AS change_draw, {draw('id', 'key', text('source'))} AS source_draw FROM people i, components k",
-    "text_docs": "SELECT doc_id AS pair_id, text AS text_a, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) ELSE lead(text) OVER (PARTITION BY lang ORDER BY doc_id) END AS text_b FROM documents",
+    "text_docs": "SELECT a.doc_id AS pair_id, a.text AS text_a, CASE WHEN a.doc_id % 7 = 0 THEN ' ' || chr(9) ELSE b.text END AS text_b FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1",
     "calls": "SELECT event_id, user_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS elapsed_ms, CASE WHEN event_type = 'error' THEN 'timeout' END AS error FROM events",
     "jobs": "SELECT doc_id AS job_id, rol AS current, p_rol AS target FROM people",
     "job_raws": "SELECT j.*, r.run_number, CASE r.run_number WHEN 1 THEN array_to_string(ls[1:4], chr(10)) WHEN 2 THEN array_to_string(ls[5:8], chr(10)) WHEN 3 THEN '' END AS raw, CASE WHEN r.run_number = 4 THEN 'timeout' END AS error FROM (SELECT *, [" + ", ".join(_influence_lines("cw", "tw", "job_id")[:8]) + f"] AS ls FROM (SELECT *, {words('current')} AS cw, {words('target')} AS tw FROM jobs)) j, (VALUES (1), (2), (3), (4)) r(run_number)",
@@ -154,7 +156,8 @@ CTES: dict[str, str] = {
     "job_candidates": "SELECT job_id, current, target, run_number, i AS ordinal, cs[i] AS candidate, len(list_filter(cs, lambda c_: lower(c_) = lower(cs[i]))) AS copies FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM job_lists)",
     "job_pairs": "SELECT candidate AS a, target AS b FROM job_candidates UNION ALL SELECT current, target FROM jobs",
     **similar("job_sim", "job_pairs"),
-    "job_scored": f"SELECT c.*, s.sim AS similarity, round(s.sim - z.sim, 9) AS improvement, {influence('(' + base('c.candidate', 'c.copies', 'c.current', 'c.target') + ')', 's.sim', 'round(s.sim - z.sim, 9)')} AS reason FROM job_candidates c JOIN job_sim s ON s.a = c.candidate AND s.b = c.target JOIN job_sim z ON z.a = c.current AND z.b = c.target",
+    "job_based": "SELECT c.*, z.sim AS baseline FROM job_candidates c JOIN job_sim z ON z.a = c.current AND z.b = c.target",
+    "job_scored": f"SELECT c.* EXCLUDE (baseline), s.sim AS similarity, round(s.sim - baseline, 9) AS improvement, {influence('(' + base('c.candidate', 'c.copies', 'c.current', 'c.target') + ')', 's.sim', 'round(s.sim - baseline, 9)')} AS reason FROM job_based c JOIN job_sim s ON s.a = c.candidate AND s.b = c.target",
     "job_best": "SELECT * FROM job_scored WHERE reason = 'valid' QUALIFY row_number() OVER (PARTITION BY job_id, run_number ORDER BY similarity DESC, ordinal) = 1",
     "job_counts": "SELECT job_id, run_number, count(*) AS candidate_count, count(*) FILTER (reason = 'valid') AS valid_count FROM job_scored GROUP BY ALL",
     "job_results": "SELECT r.job_id, r.run_number, coalesce(candidate_count, 0) AS candidate_count, coalesce(valid_count, 0) AS valid_count, b.candidate AS best, b.similarity AS best_similarity, b.improvement AS best_improvement, CASE WHEN error IS NULL AND candidate_count IS NULL THEN 'sin candidatos parseables' END AS status, error FROM job_raws r LEFT JOIN job_counts USING (job_id, run_number) LEFT JOIN job_best b USING (job_id, run_number)",
@@ -183,8 +186,9 @@ def _movements(op: str) -> dict[str, str]:
             **similar(f"{tag}_sim", f"{tag}_pairs"),
         }
         if op == "influence":
-            gain = "round(s.sim - z.sim, 9)"
-            ctes[f"{tag}_scored"] = f"SELECT c.*, z.sim AS baseline, s.sim AS similarity, {gain} AS improvement, NULL::DOUBLE AS diversity, {influence('(' + reason + ')', 's.sim', gain)} AS reason FROM {tag}_cand c JOIN {tag}_sim s ON s.a = c.candidate AND s.b = c.target JOIN {tag}_sim z ON z.a = c.current AND z.b = c.target"
+            gain = "round(s.sim - baseline, 9)"
+            ctes[f"{tag}_based"] = f"SELECT c.*, z.sim AS baseline FROM {tag}_cand c JOIN {tag}_sim z ON z.a = c.current AND z.b = c.target"
+            ctes[f"{tag}_scored"] = f"SELECT c.*, s.sim AS similarity, {gain} AS improvement, NULL::DOUBLE AS diversity, {influence('(' + reason + ')', 's.sim', gain)} AS reason FROM {tag}_based c JOIN {tag}_sim s ON s.a = c.candidate AND s.b = c.target"
             order = "similarity DESC, ordinal"
         else:
             ctes[f"{tag}_scored"] = f"SELECT c.*, NULL::DOUBLE AS baseline, s.sim AS similarity, NULL::DOUBLE AS improvement, round(1 - s.sim, 9) AS diversity, {turbulence('(' + reason + ')', 's.sim')} AS reason FROM {tag}_cand c JOIN {tag}_sim s ON s.a = c.candidate AND s.b = c.current"
@@ -220,4 +224,4 @@ def with_(final: str) -> str:
                 needed.append(name)
 
     visit(final)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" if needed else "") + final
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in needed) + "\n" if needed else "") + final

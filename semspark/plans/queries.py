@@ -419,7 +419,7 @@ def evaluation_summary(spark, sf):
 @query("SELECT job_id, run_number, best, best_similarity FROM job_results WHERE best IS NOT NULL QUALIFY row_number() OVER (ORDER BY best_similarity DESC, run_number, job_id) <= 1")
 def best_overall(spark, sf):
     r = _results(spark, sf)[1].where("best IS NOT NULL").select("job_id", "run_number", F.col("best.candidate").alias("best"), F.col("best.similarity").alias("similarity"))
-    return r.orderBy(F.desc("similarity"), "run_number", "job_id").limit(1).withColumnRenamed("similarity", "best_similarity")
+    return R.best_overall(r, "run_number", "job_id").withColumnRenamed("similarity", "best_similarity")
 
 
 @query("SELECT job_id, run_number, count(*) FILTER (error IS NULL) OVER w AS completed, round(100.0 * count(best) OVER w / nullif(count(*) FILTER (error IS NULL) OVER w, 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity) OVER w, 6) AS mean_best_similarity FROM job_results WINDOW w AS (PARTITION BY job_id ORDER BY run_number)")

@@ -43,4 +43,4 @@ def population_validate(individuals: DataFrame, strict: bool = True) -> DataFram
 
 def population_head(individuals: DataFrame, n: int) -> DataFrame:
     """The first ``n`` in the order of the file."""
-    return individuals.where(F.col("position") < n)
+    return individuals.orderBy("position").limit(n)

@@ -1,5 +1,6 @@
 """Result tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; in one of our own only where it names none."""
+    """A new path in the folder that the cluster shares; in one of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
