@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semspark.functions import arrays as A
 from semspark.functions import text as X
 from semspark.functions import vectors as V
 
@@ -23,66 +25,167 @@ def text_set(*columns: tuple[DataFrame, str]) -> DataFrame:
     return out
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text as a key, so that no text is one."""
+    return F.unhex(F.md5(text))
+
+
+def _digested(texts: DataFrame) -> DataFrame:
+    """Texts with ``digest`` and, against a second text of that digest, an unrelated hash as ``check``."""
+    have = {"digest": digest(F.col("text")), "check": F.xxhash64("text")}
+    return texts.withColumns({c: v for c, v in have.items() if c not in texts.columns})
+
+
 def text_dedupe(texts: DataFrame) -> DataFrame:
-    """Each exact, case-sensitive text once."""
-    return texts.distinct()
+    """Each exact, case-sensitive text once (of each of the table's other columns); texts meet by digest, and two of one digest would be an error."""
+    others = [c for c in texts.columns if c not in ("text", "digest", "check")]
+    found = texts.where(F.col("text").isNotNull()).groupBy(*others, digest(F.col("text")).alias("digest")).agg(F.min("text").alias("text"), F.max("text").alias("_last"))
+    return found.select(*others, F.when(F.col("text") == F.col("_last"), F.col("text")).otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("text"))
 
 
 def cache_miss(texts: DataFrame, cache: DataFrame) -> DataFrame:
-    """Texts that the cache does not have; by all of ``text`` and ``model_id`` that both tables hold."""
-    return texts.join(cache, [c for c in ("model_id", "text") if c in texts.columns and c in cache.columns], "left_anti")
+    """Texts that the cache does not have; by digest, and by ``model_id`` where both tables hold it.
+
+    Of the cache only digests travel, none of its texts or vectors; two unrelated
+    hashes, of 192 bits together, stand for its text.
+    """
+    keys = [c for c in ("model_id",) if c in texts.columns and c in cache.columns] + ["digest", "check"]
+    return _digested(texts).join(_digested(cache).select(*keys), keys, "left_anti").select(*texts.columns)
 
 
 def _bucket(token: Column) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(id, bucket, n): how many lower-cased tokens of a text fall into each hash bucket; the id is the text's digest, so that no text travels with its tokens."""
-    tokens = texts.select(F.md5("text").alias("id"), F.explode(X.words(F.lower("text"))).alias("token"))
-    # equal tokens of a text are counted first, so that each is digested once
-    tokens = tokens.groupBy("id", "token").agg(F.count("*").alias("n"))
-    return tokens.groupBy("id", _bucket(F.col("token")).alias("bucket")).agg(F.sum("n").alias("n"))
+def slots(text: Column) -> Column:
+    """Hash slots of a text's lower-cased tokens, sorted, one for each token."""
+    return F.sort_array(F.transform(X.words(F.lower(text)), _bucket))
 
 
-def hash_sparse(texts: DataFrame) -> DataFrame:
-    """(text, embedding, norm) as by ``hash_encode``, unscaled, each embedding a map of the slots that are not zero.
+def slot_norm(sorted_slots: Column) -> Column:
+    """Length of the vector of slot counts: the k-th of a run of equal slots adds 2k - 1 to its square."""
+
+    def step(s: Column, b: Column) -> Column:
+        k = F.when(s["slot"] == b, s["k"] + 1).otherwise(1)
+        return F.struct(b.alias("slot"), k.alias("k"), (s["sum"] + 2 * k.cast("double") - 1).alias("sum"))
+
+    none = F.struct(F.lit(-1).alias("slot"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"))
+    return F.aggregate(sorted_slots, none, step, lambda s: F.sqrt(s["sum"]))
+
+
+def slot_counts(text: Column) -> Column:
+    """(slot, n) of a text, in the order of slots: equal tokens are counted as runs of the sorted ones, and each distinct one is digested once."""
+    one = lambda v, at, n: F.struct(_bucket(F.get(v, at)).alias("slot"), n.cast("double").alias("n"))
+    tokens = A.runs(F.sort_array(X.words(F.lower(text))), lambda t: t, one)
+    total = lambda v, at, n: F.aggregate(A.span(at, n), F.lit(0.0), lambda s, j: s + F.get(v, j)["n"])
+    return A.runs(F.sort_array(tokens), lambda e: e["slot"], lambda v, at, n: F.struct(F.get(v, at)["slot"].alias("slot"), total(v, at, n).alias("n")))
 
-    For texts that are compared only: a line's map is a hundredth of its vector, and
-    it comes from the text's own row.
-    """
-    rows = texts.select("text", F.transform(X.words(F.lower("text")), _bucket).alias("_b")).where(F.size("_b") > 0)
-    rows = rows.select("text", "_b", F.array_distinct("_b").alias("_slots"))
-    counts = F.transform("_slots", lambda s: F.size(F.filter("_b", lambda b: b == s)).cast("double"))
-    rows = rows.select("text", F.map_from_arrays("_slots", counts).alias("embedding"))
-    return rows.select("text", "embedding", F.sqrt(F.aggregate(F.map_values("embedding"), F.lit(0.0), lambda s, n: s + n * n)).alias("norm"))
+
+def hashed(text: Column) -> Column:
+    """A text's hash vector as (slots, counts by slot, norm), made in the row."""
+
+    def of(some: Column) -> Column:
+        counts = slot_counts(text)
+        by_slot = A.let(counts, lambda c: F.map_from_arrays(F.transform(c, lambda e: e["slot"]), F.transform(c, lambda e: e["n"])))
+        return F.struct(some.alias("slots"), by_slot.alias("counts"), slot_norm(some).alias("norm"))
+
+    return A.let(slots(text), of)
+
+
+def hash_similarity(some: Column, other: Column) -> Column:
+    """Cosine of the hash vectors of a text, given by its slots, and of a ``hashed`` one; null where either has no token."""
+    product = F.aggregate(some, F.lit(0.0), lambda s, b: s + F.coalesce(F.element_at(other["counts"], b), F.lit(0.0)))
+    return A.let(F.struct(product.alias("p"), slot_norm(some).alias("n")), lambda x: V.cosine_of(x["p"], x["n"], other["norm"], strict=False))
 
 
 def hash_encode(texts: DataFrame) -> DataFrame:
     """(text, embedding, norm) of distinct texts: the mean of one-hot token vectors, of length 1.
 
-    A deterministic stand-in for a model, made of columns alone; texts without a
-    token have no row.
+    A deterministic stand-in for a model, made of columns alone and in the text's own
+    row.  Texts without a token have no row.
     """
-    sparse = token_counts(texts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
-    # each value and the zeros up to the next one, so that a vector is written once from left to right
     zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
-    following = lambda i: F.coalesce(F.get("s", i + 1)["bucket"], F.lit(DIMENSIONS))
-    run = lambda e, i: F.concat(F.array(e["n"] / F.col("length")), zeros(following(i) - e["bucket"] - 1))
-    dense = F.concat(zeros(F.get("s", 0)["bucket"]), F.flatten(F.transform("s", run)))
-    vectors = sparse.select("id", dense.alias("embedding")).join(texts.select("text", F.md5("text").alias("id")), "id")
-    return vectors.select("text", "embedding", V.norm(F.col("embedding")).alias("norm"))
 
+    def dense(s: Column) -> Column:
+        """Each value and the zeros up to the next one, so that a vector is written once from left to right."""
+        length = F.sqrt(F.aggregate(s, F.lit(0.0), lambda t, e: t + e["n"] * e["n"]))
+        following = lambda i: F.coalesce(F.get(s, i + 1)["slot"], F.lit(DIMENSIONS))
+        values = A.let(length, lambda z: F.transform(s, lambda e, i: F.concat(F.array(e["n"] / z), zeros(following(i) - e["slot"] - 1))))
+        return F.concat(zeros(F.get(s, F.lit(0))["slot"]), F.flatten(values))
+
+    vector = A.let(slot_counts(F.col("text")), lambda s: F.when(F.size(s) > 0, dense(s)))
+    rows = A.settled(texts.select("text"), "embedding", vector).where(F.col("embedding").isNotNull())
+    return rows.select("text", "embedding", V.norm(F.col("embedding")).alias("norm"))
+
+
+def hash_model() -> Callable[[list[str]], list[list[float]]]:
+    """A model in numpy that gives what ``hash_encode`` gives; a stand-in for a caller's own."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    blank, known = re.compile(X.SPACE + "+"), {}
+
+    def slot(token: str) -> int:
+        if token not in known:
+            known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
+        return known[token]
 
-def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """(text, embedding) by a caller's encoder, loaded once a task; what it gives a text must not depend on the others in its batch."""
+    def run(texts: list[str]) -> list[list[float]]:
+        known.clear()
+        out = []
+        for t in texts:
+            v = np.bincount([slot(w) for w in blank.split(t.lower()) if w], minlength=DIMENSIONS).astype(float)
+            out.append((v / np.linalg.norm(v)).tolist() if v.any() else None)
+        return out
+
+    return run
+
+
+#: Models that this Python worker has loaded, by their names.
+_MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+BATCH_BYTES, BATCH_TEXTS = 1 << 20, 256
+
+
+def _model(encoder: Callable[[], Callable], name: str | None) -> Callable:
+    if name is None:
+        return encoder()
+    if name not in _MODELS:
+        _MODELS[name] = encoder()
+    return _MODELS[name]
+
+
+def bounded(texts: list[str], most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes, or of one text, and of at most so many rows."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        n = len(t.encode())
+        if k > first and (size + n > most or k - first == rows):
+            yield first, k
+            first, size = k, 0
+        size += n
+    if len(texts) > first:
+        yield first, len(texts)
+
+
+def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], name: str | None = None, batch_bytes: int = BATCH_BYTES, batch_texts: int = BATCH_TEXTS) -> DataFrame:
+    """(text, embedding, norm) by a caller's model; what it gives a text must not depend on the others in its batch.
+
+    The model is loaded once for each Python worker under its ``name``, or once a task
+    if it has none, and is handed batches bounded in bytes and in texts.  A text that it
+    gives None has no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = encoder()
+        model = _model(encoder, name)
         for pdf in batches:
-            yield pd.DataFrame({"text": pdf["text"], "embedding": model(pdf["text"].tolist())})
+            some = pdf["text"].tolist()
+            for a, b in bounded(some, batch_bytes, batch_texts):
+                yield pd.DataFrame({"text": some[a:b], "embedding": model(some[a:b])})
 
-    return texts.select("text").mapInPandas(run, "text string, embedding array<double>")
+    found = texts.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "text string, embedding array<double>").where(F.col("embedding").isNotNull())
+    return found.withColumn("norm", V.norm(F.col("embedding")))
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
@@ -93,17 +196,49 @@ def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 
 
 def attach(rows: DataFrame, vectors: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Rows with ``<prefix>_vec`` and ``<prefix>_norm`` of the text in that column (null where it has none)."""
-    found = vectors.select(F.col("text").alias(text), F.col("embedding").alias(f"{prefix}_vec"), F.col("norm").alias(f"{prefix}_norm"))
-    return rows.join(found, text, "left")
+    """Rows with ``<prefix>_vec`` and ``<prefix>_norm`` of the text in that column (null where it has none).
+
+    They meet by digest, and the whole texts are compared where they meet.  A text that
+    very many rows have makes a skewed join, which Spark splits on the rows' side.
+    """
+    found = _digested(vectors).select(F.col("digest").alias("_digest"), F.col("text").alias("_text"), F.col("embedding").alias(f"{prefix}_vec"), F.col("norm").alias(f"{prefix}_norm"))
+    mine = rows.withColumn("_mine", digest(F.col(text)))
+    # equal by two prefix tests, as an equality would make the text a key of the exchange
+    same = F.startswith(F.col(text), F.col("_text")) & F.startswith(F.col("_text"), F.col(text))
+    return mine.join(found, (F.col("_mine") == F.col("_digest")) & same, "left").drop("_mine", "_digest", "_text")
 
 
-def similarity(a: str, b: str, scale: int | None = None, dot: Callable[[Column, Column], Column] = V.dot) -> Column:
+def similarity(a: str, b: str, scale: int | None = None) -> Column:
     """Cosine of two attached texts; norms are those of the vectors, reckoned once a text."""
-    value = V.cosine_of(dot(F.col(f"{a}_vec"), F.col(f"{b}_vec")), F.col(f"{a}_norm"), F.col(f"{b}_norm"))
+    value = V.cosine_of(V.dot(F.col(f"{a}_vec"), F.col(f"{b}_vec")), F.col(f"{a}_norm"), F.col(f"{b}_norm"))
     return value if scale is None else F.round(value, scale)
 
 
-def cache_append(vectors: DataFrame, path: str, model_id: str) -> None:
-    """Add vectors to the cache table, which is partitioned by model."""
-    vectors.withColumn("model_id", F.lit(model_id)).write.mode("append").partitionBy("model_id").parquet(path)
+# --- the cache: <path>/model_id=<model>/epoch=<epoch>/ ------------------------------
+
+CACHE = "text string, digest binary, check long, embedding array<double>, norm double, model_id string, epoch string"
+
+
+def cached(spark: SparkSession, path: str, model_id: str | None = None, without: str | None = None) -> DataFrame:
+    """The cache table, or one model's part of it; ``without`` leaves out what one epoch has written, as when that epoch is run again."""
+    spark.createDataFrame([], CACHE).drop("model_id", "epoch").write.mode("ignore").parquet(f"{path}/model_id=none/epoch=none")
+    rows = spark.read.schema(CACHE).parquet(path).where("epoch <> 'none'")
+    if model_id is not None:
+        rows = rows.where(F.col("model_id") == model_id)
+    return rows if without is None else rows.where(F.col("epoch") != without)
+
+
+def cache_append(vectors: DataFrame, path: str, model_id: str, epoch: str) -> None:
+    """Add vectors (text, embedding, norm) to the cache as one epoch; an epoch that is written again replaces its own rows and no others."""
+    rows = _digested(vectors).select("text", "digest", "check", "embedding", "norm")
+    rows.write.mode("overwrite").parquet(f"{path}/model_id={quote(model_id, safe='')}/epoch={quote(epoch, safe='')}")
+
+
+def cache_add(texts: DataFrame, path: str, model_id: str, epoch: str, encode: Callable[[DataFrame], DataFrame] = hash_encode) -> None:
+    """One chain: each text once, those that the cache lacks, their vectors, appended.
+
+    What this epoch may have written before, in full or in part, counts as absent, so
+    that running it again leaves the same rows.
+    """
+    lacking = cache_miss(text_dedupe(texts), cached(texts.sparkSession, path, model_id, without=epoch))
+    cache_append(encode(lacking), path, model_id, epoch)

@@ -1,8 +1,9 @@
 """One label for each candidate; the first rule that holds decides."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from semspark.functions import arrays as A
 from semspark.functions import text as X
 
 MIN_WORDS, MAX_WORDS = 2, 8
@@ -10,14 +11,17 @@ COPY_THRESHOLD, MARGIN = 0.94, 0.0
 NEAR, FAR = 0.9, 0.55
 
 
-def duplicate_count(candidates: Column, candidate: Column) -> Column:
-    """How many of a run's candidates equal one when case is folded; needs no shuffle, as the array travels with the row."""
-    return F.size(F.filter(candidates, lambda c: F.lower(c) == F.lower(candidate)))
+def counted(candidates: Column) -> Column:
+    """An array of texts as one of (ordinal from 1, candidate, copies), in its order.
 
-
-def duplicate_window(rows: DataFrame, *run: str) -> DataFrame:
-    """The same over exploded rows."""
-    return rows.withColumn("copies", F.count("*").over(Window.partitionBy(*run, F.lower("candidate"))))
+    ``copies`` is how many of the array are equal when case is folded.  The array is
+    sorted once and its runs measured, with no shuffle and no state, so that it holds for
+    tables and streams alike and a completion of a hundred thousand lines is no burden.
+    """
+    entries = F.transform(candidates, lambda c, i: F.struct(F.lower(c).alias("low"), (i + 1).alias("ordinal"), c.alias("candidate")))
+    entry = lambda e, n: F.struct(e["ordinal"].alias("ordinal"), e["candidate"].alias("candidate"), n.alias("copies"))
+    of_run = lambda v, at, n: F.transform(A.span(at, n), lambda j: entry(F.get(v, j), n))
+    return F.sort_array(F.flatten(A.runs(F.sort_array(entries), lambda e: e["low"], of_run)))
 
 
 def reason_base(candidate: Column, copies: Column, current: Column, target: Column | None, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:

@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
-from semspark.functions import vectors as V
-from semspark.operators import embedding as E
-from semspark.operators import labels as L
 from semspark.operators import ranking as R
+from semspark.operators import scoring as S
 from semspark.sources import catalogue
 from semspark.sources.sinks import stored
 
@@ -78,70 +76,42 @@ def movement_prompt(movements: DataFrame, expected: int = EXPECTED, reference_te
     return movements.withColumn("prompt", X.render_template(template, variables))
 
 
-def movement_candidates(answered: DataFrame, expected: int = EXPECTED) -> DataFrame:
-    """Movements (with ``raw``) exploded into candidates, with the number of equals in the same answer."""
-    parsed = answered.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
-    # outer, or the optimizer tests for empty lists on the answers and so parses each again
-    rows = parsed.select("*", F.posexplode_outer("candidates").alias("ordinal", "candidate")).where(F.col("candidate").isNotNull())
-    return rows.withColumn("ordinal", F.col("ordinal") + 1).withColumn("copies", L.duplicate_count(F.col("candidates"), F.col("candidate"))).drop("candidates", "raw")
+def score(answered: DataFrame, operator: str, expected: int | None = EXPECTED, scale: int | None = None, vectors: DataFrame | None = None, **limits) -> DataFrame:
+    """Movements (with ``raw``) with ``baseline`` and ``scored``: influence against the target, turbulence against the current text.
 
-
-def _embedded(rows: DataFrame, *columns: str) -> DataFrame:
-    vectors = E.hash_sparse(E.text_dedupe(E.text_set(*((rows, c) for c in columns))))
-    for c in columns:
-        rows = E.attach(rows, vectors, c, c)
-    return rows
-
-
-def score_influence(candidates: DataFrame, scale: int | None = None, **limits) -> DataFrame:
-    """Candidates with baseline, similarity to the target, improvement, reason and ``is_valid``."""
-    rows = _embedded(candidates, "candidate", "current", "target")
-    rows = rows.withColumn("baseline", E.similarity("current", "target", scale, V.sparse_dot)).withColumn("similarity", E.similarity("candidate", "target", scale, V.sparse_dot))
-    gain = F.col("similarity") - F.col("baseline")
-    rows = rows.withColumn("improvement", gain if scale is None else F.round(gain, scale))
-    base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), F.col("target"))
-    rows = rows.withColumn("reason", L.reason_influence(base, F.col("similarity"), F.col("improvement"), **limits))
-    return _scored(rows.withColumn("diversity", F.lit(None).cast("double")).withColumn("reference", F.col("target")))
-
-
-def score_turbulence(candidates: DataFrame, scale: int | None = None, **limits) -> DataFrame:
-    """Candidates with similarity to the current text, diversity, reason and ``is_valid``."""
-    rows = _embedded(candidates, "candidate", "current").withColumn("similarity", E.similarity("candidate", "current", scale, V.sparse_dot))
-    rows = rows.withColumn("diversity", 1 - F.col("similarity") if scale is None else F.round(1 - F.col("similarity"), scale))
-    base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), None)
-    rows = rows.withColumn("reason", L.reason_turbulence(base, F.col("similarity"), **limits))
-    none = F.lit(None).cast("double")
-    return _scored(rows.withColumn("baseline", none).withColumn("improvement", none).withColumn("reference", F.col("current")))
+    By hash vectors in the row, or by ``vectors`` (text, embedding, norm) of a model.
+    """
+    if "error" in answered.columns:  # a failed call has no candidates
+        answered = answered.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw")))
+    rows = S.parsed(answered, expected).drop("raw")
+    against = "target" if operator == "influence" else "current"
+    rows = S.hash_similarities(rows, against, scale) if vectors is None else S.attached_similarities(rows, against, vectors, "number", scale=scale)
+    if operator == "influence":
+        return S.influence_scored(S.baseline(rows, scale), scale, **limits)
+    return S.turbulence_scored(rows.withColumn("baseline", F.lit(None).cast("double")), scale, **limits)
 
 
-def _scored(rows: DataFrame) -> DataFrame:
-    keep = [c for c in rows.columns if not c.endswith(("_vec", "_norm"))]
-    return rows.select(*keep, L.is_valid(F.col("reason")).alias("is_valid"))
+def movement_candidates(scored: DataFrame) -> DataFrame:
+    """Scored movements as one row a candidate, with the ``reference`` that it was held against."""
+    rows = scored.withColumn("reference", F.when(F.col("operator") == "influence", F.col("target")).otherwise(F.col("current")))
+    return S.exploded(rows, "scored")
 
 
 def selected(scored: DataFrame, operator: str, seed: int = SEED) -> DataFrame:
-    """Of each movement the candidate that is applied: the best valid one, or for turbulence one drawn."""
-    valid = scored.where("is_valid")
-    return R.best_per(valid, "number") if operator == "influence" else R.random_per(valid, seed, "number")
-
+    """Movements with ``chosen``, the candidate that is applied: the best valid one, or for turbulence one drawn."""
+    return scored.withColumn("chosen", S.best_valid() if operator == "influence" else S.random_valid(seed, F.col("number")))
 
-def score(candidates: DataFrame, operator: str, scale: int | None = None) -> DataFrame:
-    """Candidates scored as the operator asks; they are written first, as they are read once for their texts and once for each vector."""
-    candidates = stored(candidates, "candidates")
-    return score_influence(candidates, scale) if operator == "influence" else score_turbulence(candidates, scale)
 
-
-def movement_result(movements: DataFrame, scored: DataFrame, chosen: DataFrame, operator: str) -> DataFrame:
-    """One row a movement (number, individual_id, error): counts, selected candidate, and why there is none."""
-    counts = scored.groupBy("number").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("valid"), F.max("baseline").alias("baseline"))
-    best = chosen.select("number", F.col("candidate").alias("selected"), F.col("similarity").alias("selected_similarity"))
-    rows = movements.join(counts, "number", "left").join(best, "number", "left")
-    why = F.when(F.col("error").isNotNull(), FAILED).when(F.col("selected").isNotNull(), None).when(F.col("n").isNull(), UNPARSED).otherwise(NO_PROGRESS if operator == "influence" else OUT_OF_RANGE)
-    return rows.withColumns({"candidate_count": F.coalesce("n", F.lit(0)), "valid_count": F.coalesce("valid", F.lit(0)), "applied": F.col("selected").isNotNull(), "failure_reason": why}).drop("n", "valid")
+def movement_result(chosen: DataFrame, operator: str) -> DataFrame:
+    """One row a movement: counts, selected candidate, and why there is none; all in the row."""
+    n, why_not = S.candidate_count(), NO_PROGRESS if operator == "influence" else OUT_OF_RANGE
+    why = F.when(F.col("error").isNotNull(), FAILED).when(F.col("chosen").isNotNull(), None).when(n == 0, UNPARSED).otherwise(why_not)
+    counts = {"candidate_count": n, "valid_count": S.valid_count(), "selected": F.col("chosen.candidate"), "selected_similarity": F.col("chosen.similarity"), "applied": F.col("chosen").isNotNull(), "failure_reason": why}
+    return chosen.withColumns(counts).drop("scored", "chosen")
 
 
 def swarm_summary(results: DataFrame, *by: str) -> DataFrame:
-    """Counts, rates and times over movement results (``applied``, ``error``, ``elapsed_ms``, ``valid_count``)."""
+    """Counts, rates and times over movement results (``applied``, ``error``, ``elapsed_ms``, ``valid_count``); a failed call counts as processed and as failed."""
     finite = F.col("elapsed_ms").isNotNull() & ~F.isnan("elapsed_ms")
     applied, failed = F.count_if("applied"), F.count_if(~F.col("applied"))
     return results.groupBy(*by).agg(
@@ -158,6 +128,20 @@ def swarm_summary(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+SKETCH = 14
+
+
+def affected_sketch(results: DataFrame, *by: str) -> DataFrame:
+    """A mergeable sketch of the distinct individuals with an applied move, beside the exact count, for each group."""
+    who = F.when(F.col("applied"), F.col("individual_id"))
+    return results.groupBy(*by).agg(F.hll_sketch_agg(who, SKETCH).alias("sketch"), F.countDistinct(who).alias("affected"))
+
+
+def merged_sketch(sketches: DataFrame, *by: str) -> DataFrame:
+    """Stored sketches of stages or batches put together: an estimate of the distinct individuals of them all, with no pass over results."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("affected_about"))
+
+
 def apply_to_position(positions: DataFrame, chosen: DataFrame) -> DataFrame:
     """Positions with a stage's choices written into them; an individual moves at most one component a stage."""
     moves = chosen.select(F.col("individual_id").alias("id"), F.col("component_key").alias("_key"), F.col("candidate").alias("_new"))
@@ -176,8 +160,8 @@ def staged_apply(individuals: DataFrame, operator: str, responder: Responder, sc
     for stage in range(1, len(PARTS) + 1):
         movements = movement_prompt(bind_movement(plans.where(F.col("component_ord") == stage), positions), expected)
         answered = stored(responder(movements), "answers")
-        chosen = selected(score(movement_candidates(answered, expected), operator, scale), operator, seed)
-        chosen = stored(chosen.select("number", "individual_id", "component_key", "current", "candidate", "similarity", "other_components").withColumn("stage", F.lit(stage)), "chosen")
+        chosen = selected(score(answered, operator, expected, scale), operator, seed).where(F.col("chosen").isNotNull())
+        chosen = stored(chosen.select("number", "individual_id", "component_key", "current", F.col("chosen.candidate").alias("candidate"), F.col("chosen.similarity").alias("similarity"), "other_components").withColumn("stage", F.lit(stage)), "chosen")
         applied = chosen if applied is None else applied.unionByName(chosen)
         positions = stored(apply_to_position(positions, chosen), "positions")
     return applied, positions

@@ -38,6 +38,34 @@ def numbered(rows: DataFrame, position: str, *within: str, bucket: int = 4096, n
     return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before")
 
 
+_KINDS = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "max": (F.max, lambda a, b: F.greatest(a, b)), "min": (F.min, lambda a, b: F.least(a, b))}
+
+
+def carried(rows: DataFrame, group: tuple[str, ...], order: str, parts: dict[str, str], block: int = 4096) -> DataFrame:
+    """Rows with each column of ``parts`` (column to sum, max or min) replaced by its running value over the group, in the order of a whole-numbered column.
+
+    A group's rows are run up in blocks of ``block`` numbers, each of which may be a
+    task of its own; what the blocks before bring in is run up in the same way over the
+    blocks' values, level by level.  So a group of any size is spread, and no window
+    spans more than one block.  Nulls add nothing.
+    """
+    return _run_up(rows, group, order, parts, block, Window.currentRow)
+
+
+def _run_up(rows: DataFrame, group: tuple[str, ...], order: str, parts: dict[str, str], block: int, last: int) -> DataFrame:
+    place = f"_{order}"  # the number of the block, under a name that no level below has
+    blocked = rows.withColumn(place, F.floor(F.col(order) / block))
+    inside = Window.partitionBy(*group, place).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    out = blocked.withColumns({c: _KINDS[f][0](c).over(inside) for c, f in parts.items()})
+    ends = blocked.agg(F.min(place), F.max(place)).first()
+    if ends[0] == ends[1]:
+        return out.drop(place)
+    sums = blocked.groupBy(*group, place).agg(*(_KINDS[f][0](c).alias(c) for c, f in parts.items()))
+    before = _run_up(sums, group, place, parts, block, -1).select(*group, place, *(F.col(c).alias(f"_before_{c}") for c in parts))
+    out = out.join(before, [*group, place])
+    return out.withColumns({c: _KINDS[f][1](F.col(f"_before_{c}"), F.col(c)) for c, f in parts.items()}).drop(place, *(f"_before_{c}" for c in parts))
+
+
 def movement_number(plans: DataFrame) -> DataFrame:
     """Plans with their ``number``, over individuals and then components, and ``movement_id``."""
     return numbered(plans, "position", "component_ord").withColumn("movement_id", X.movement_id(F.col("number")))

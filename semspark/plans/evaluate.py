@@ -1,14 +1,14 @@
 """Template evaluation: runs of a job, their candidates, and the summaries."""
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
 from semspark.functions import vectors as V
-from semspark.operators import embedding as E
-from semspark.operators import labels as L
 from semspark.operators import ranking as R
-from semspark.sources.sinks import stored
+from semspark.operators import scoring as S
 
 # Fixed value: the status of a run whose completion has no candidate.
 UNPARSED = "sin candidatos parseables"
@@ -30,44 +30,42 @@ def pair_report(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def baseline(jobs: DataFrame, scale: int | None = None) -> DataFrame:
     """Jobs (job_id, current, target) with the similarity that a candidate has to better, once a job."""
-    vectors = E.hash_sparse(E.text_dedupe(E.text_set((jobs, "current"), (jobs, "target"))))
-    rows = E.attach(E.attach(jobs, vectors, "current", "current"), vectors, "target", "target")
-    return rows.select(*jobs.columns, E.similarity("current", "target", scale, V.sparse_dot).alias("baseline"))
-
-
-def run_candidates(runs: DataFrame, expected: int | None = None) -> DataFrame:
-    """Runs (job_id, run_number, raw) exploded into candidates with their ordinal and number of equals."""
-    parsed = runs.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
-    # outer, or the optimizer tests for empty lists on the runs and so parses each again
-    rows = parsed.select("*", F.posexplode_outer("candidates").alias("ordinal", "candidate")).where(F.col("candidate").isNotNull())
-    return rows.withColumn("ordinal", F.col("ordinal") + 1).withColumn("copies", L.duplicate_count(F.col("candidates"), F.col("candidate"))).drop("candidates", "raw")
-
-
-def scored(runs: DataFrame, jobs: DataFrame, expected: int, scale: int | None = None, **limits) -> DataFrame:
-    """Candidates of all good runs, scored against their job's target; ``jobs`` have their baseline."""
-    rows = stored(run_candidates(runs.where(F.col("error").isNull()), expected).join(jobs, "job_id"), "candidates")
-    vectors = E.hash_sparse(E.text_dedupe(E.text_set((rows, "candidate"), (jobs, "target"))))
-    rows = E.attach(E.attach(rows, vectors, "candidate", "candidate"), vectors, "target", "target")
-    rows = rows.withColumn("similarity", E.similarity("candidate", "target", scale, V.sparse_dot))
-    gain = F.col("similarity") - F.col("baseline")
-    rows = rows.withColumn("improvement", gain if scale is None else F.round(gain, scale))
-    base = L.reason_base(F.col("candidate"), F.col("copies"), F.col("current"), F.col("target"))
-    rows = rows.withColumn("reason", L.reason_influence(base, F.col("similarity"), F.col("improvement"), **limits))
-    return rows.select("job_id", "run_number", "ordinal", "candidate", "similarity", "improvement", "reason", L.is_valid(F.col("reason")).alias("is_valid"))
-
-
-def run_result(runs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row a run, those without candidates and those that failed included."""
-    counts = candidates.groupBy("job_id", "run_number").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("valid"))
-    best = R.best_per(candidates.where("is_valid"), "job_id", "run_number")
-    best = best.select("job_id", "run_number", F.struct("candidate", "similarity", "improvement", "ordinal").alias("best"))
-    rows = runs.select("job_id", "run_number", "error").join(counts, ["job_id", "run_number"], "left").join(best, ["job_id", "run_number"], "left")
-    status = F.when(F.col("error").isNull() & F.col("n").isNull(), UNPARSED)
-    return rows.select("job_id", "run_number", F.coalesce("n", F.lit(0)).alias("candidate_count"), F.coalesce("valid", F.lit(0)).alias("valid_count"), "best", status.alias("status"), "error")
-
-
-def evaluation_summary(results: DataFrame, *by: str) -> DataFrame:
-    """Success rate over completed runs, means over the best candidates, and counts."""
+    return S.baseline(jobs, scale)
+
+
+def run_candidates(runs: DataFrame, expected: int | None = None, lead: int = 0) -> DataFrame:
+    """Runs (job_id, run_number, raw) exploded into candidates with their ordinal and number of equals; ``first`` has the ``lead`` first of the run."""
+    rows = S.parsed(runs, expected)
+    if lead:
+        rows = rows.withColumn("first", F.transform(F.slice("candidates", 1, lead), lambda c: c["candidate"]))
+    return S.exploded(rows, "candidates", "raw")
+
+
+def scored(runs: DataFrame, jobs: DataFrame, expected: int | None = None, scale: int | None = None, vectors: DataFrame | None = None, **limits) -> DataFrame:
+    """Runs (job_id, run_number, raw, error) with ``scored`` against their job's target; ``jobs`` have their baseline.
+
+    A failed run has no candidates.  By hash vectors, or by ``vectors`` (text,
+    embedding, norm) of a model, which must have all candidates and targets.
+    """
+    rows = S.parsed(runs.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw"))).join(jobs, "job_id"), expected)
+    rows = S.hash_similarities(rows, "target", scale) if vectors is None else S.attached_similarities(rows, "target", vectors, "job_id", "run_number", scale=scale)
+    return S.influence_scored(rows, scale, **limits).select("job_id", "run_number", "error", "scored")
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """Scored runs as one row a candidate, invalid ones included."""
+    return S.exploded(runs, "scored", "error")
+
+
+def run_result(runs: DataFrame) -> DataFrame:
+    """One row a scored run, those without candidates and those that failed included; counted and chosen in the row."""
+    n = S.candidate_count()
+    status = F.when(F.col("error").isNull() & (n == 0), UNPARSED)
+    return runs.select("job_id", "run_number", n.alias("candidate_count"), S.valid_count().alias("valid_count"), S.best_valid().alias("best"), status.alias("status"), "error")
+
+
+def evaluation_summary(results: DataFrame, *by: str, also: Iterable[Column] = ()) -> DataFrame:
+    """Success rate over completed runs, means over the best candidates, and counts; ``also`` names further aggregates."""
     done = F.count_if(F.col("error").isNull())
     good = F.count_if(F.col("best").isNotNull())
     return results.groupBy(*by).agg(
@@ -77,6 +75,7 @@ def evaluation_summary(results: DataFrame, *by: str) -> DataFrame:
         F.avg("best.similarity").alias("mean_best_similarity"),
         F.avg("best.improvement").alias("mean_best_improvement"),
         F.coalesce(F.sum("valid_count"), F.lit(0)).alias("valid_candidates"),
+        *also,
     )
 
 
@@ -85,12 +84,13 @@ def completed_runs(results: DataFrame) -> DataFrame:
     return results.where(F.col("error").isNull())
 
 
-def cumulative_summary(results: DataFrame) -> DataFrame:
-    """The summary of each job after each of its runs."""
-    upto = Window.partitionBy("job_id").orderBy("run_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = F.count_if(F.col("error").isNull()).over(upto)
-    good = F.count_if(F.col("best").isNotNull()).over(upto)
-    return results.select("job_id", "run_number", done.alias("completed"), F.try_divide(100.0 * good, done).alias("success_rate"), F.avg("best.similarity").over(upto).alias("mean_best_similarity"))
+def cumulative_summary(results: DataFrame, block: int = 4096) -> DataFrame:
+    """The summary of each job after each of its runs, with no task over all runs of a job (see ``ranking.carried``)."""
+    none = F.col("error").isNull().cast("long")
+    parts = {"completed": none, "good": F.col("best").isNotNull().cast("long"), "total": F.col("best.similarity"), "top": F.col("best.similarity")}
+    rows = results.select("job_id", "run_number", *(c.alias(n) for n, c in parts.items()))
+    rows = R.carried(rows, ("job_id",), "run_number", {"completed": "sum", "good": "sum", "total": "sum", "top": "max"}, block)
+    return rows.select("job_id", "run_number", "completed", F.try_divide(100.0 * F.col("good"), F.col("completed")).alias("success_rate"), F.try_divide("total", F.col("good")).alias("mean_best_similarity"), F.col("top").alias("best_similarity"))
 
 
 def elapsed_stats(calls: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
+from semspark.operators import ranking as R
+from semspark.sources.sinks import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,27 +35,47 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(following, "doc_id", "left").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a"), beside.alias("text_b"))
 
 
+PASSAGE = 15
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, part, position, lang, n, own): every fifteen words of every whole text as role, topic and action; the short rest of a text too.
+
+    ``position`` numbers them all, by document and part.  Written once: texts are split
+    once, whoever reads the passages.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words(F.col("text")).alias("w"))
+    parts = F.greatest(F.lit(1), F.ceil(F.size("w") / PASSAGE)).cast("int")
+    slot = lambda k, i: F.array_join(F.slice("w", PASSAGE * k + 5 * i + 1, 5), " ")
+    own = lambda k: F.struct(slot(k, 0).alias("rol"), slot(k, 1).alias("topico"), slot(k, 2).alias("accion"))
+    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("part"), own(k).alias("own")))
+    rows = stored(docs.select("doc_id", "lang", F.size("w").alias("n"), F.inline(each)), "passages")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("parts"))
+    before = R.carried(counts.withColumn("upto", F.col("parts")), (), "doc_id", {"upto": "sum"}).select("doc_id", (F.col("upto") - F.col("parts")).alias("before"))
+    return rows.join(before, "doc_id").select("doc_id", "part", (F.col("before") + F.col("part")).alias("position"), "lang", "n", "own")
+
+
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words 1-5, 6-10 and 11-15 of each document; those of the next id as its best, the language's first good one's as its leader."""
-    part = lambda k: F.array_join(F.slice("w", 5 * k + 1, 5), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(X.words(F.col("text")), 1, 15).alias("w"))
-    docs = docs.select("doc_id", "lang", F.size("w").alias("n"), F.struct(part(0).alias("rol"), part(1).alias("topico"), part(2).alias("accion")).alias("own"))
+    """Every passage as an individual; the same part of the next document is its best, the first passage of the language's first good document its leader."""
+    rows = passages(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    leaders = docs.where("n = 15").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by("own", "doc_id").alias("lider"))
-    best = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("pbest"))
-    rows = docs.join(best, "doc_id", "left").join(leaders, "lang", "left")
-    return rows.select(F.col("doc_id").alias("position"), F.concat(F.lit("ind-"), F.col("doc_id").cast("string")).alias("id"), "own.*", "pbest", "lider", "doc_id")
+    first = rows.where((F.col("part") == 0) & (F.col("n") >= PASSAGE))
+    leaders = first.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by("own", "doc_id").alias("lider"))
+    best = rows.select((F.col("doc_id") - 1).alias("doc_id"), "part", F.col("own").alias("pbest"))
+    rows = rows.join(best, ["doc_id", "part"], "left").join(leaders, "lang", "left")
+    name = F.concat_ws("-", F.lit("ind"), F.col("doc_id").cast("string"), F.col("part").cast("string"))
+    return rows.select("position", name.alias("id"), "own.*", "pbest", "lider", "doc_id", "part")
 
 
-def _wrapped(lines: list[Column], doc_id: Column) -> Column:
+def _wrapped(lines: list[Column], place: Column) -> Column:
     """Lines as an answer would bear them: numbered, quoted or named in turn; every fifth answer fenced, every tenth empty."""
     shown = []
     for j, line in enumerate(lines, 1):
         form = (F.concat(F.lit(f"{j}) <"), line, F.lit(">")), F.concat(F.lit('- "'), line, F.lit('"')), F.concat(F.lit(f"Candidate {j}: "), line))[(j - 1) % 3]
         shown.append(F.when(line.isNotNull(), form))
     text = F.concat_ws("\n", *shown)
-    text = F.when(doc_id % 5 == 0, F.concat(F.lit("```text\n"), text, F.lit("\n```"))).otherwise(text)
-    return F.when(doc_id % 10 == 9, "").otherwise(text)
+    text = F.when(place % 5 == 0, F.concat(F.lit("```text\n"), text, F.lit("\n```"))).otherwise(text)
+    return F.when(place % 10 == 9, "").otherwise(text)
 
 
 def _joined(*parts: Column) -> Column:
@@ -61,37 +83,37 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def influence_lines(c: Column, t: Column, doc_id: Column) -> list[Column]:
+def influence_lines(c: Column, t: Column, place: Column) -> list[Column]:
     """Answers to an influence, of the words of current (``c``) and target (``t``)."""
     cw, tw = (lambda i: F.get(c, i)), (lambda i: F.get(t, i))
     plain = lambda w: F.array_join(w, " ")
     first = _joined(tw(0), cw(1), cw(2), cw(3), cw(4))
     lines = [first, _joined(tw(0), tw(1), cw(2), cw(3), cw(4)), _joined(tw(0), tw(1), tw(2), tw(3), cw(4)), plain(F.reverse(t)), plain(F.reverse(c)), X.ascii_upper(plain(c)), plain(t), tw(0)]
-    return [*lines, F.when(doc_id % 2 == 0, X.ascii_upper(first))]
+    return [*lines, F.when(place % 2 == 0, X.ascii_upper(first))]
 
 
-def turbulence_lines(c: Column, o: Column, doc_id: Column) -> list[Column]:
+def turbulence_lines(c: Column, o: Column, place: Column) -> list[Column]:
     """Answers to a turbulence, of the words of current (``c``) and of the component that follows (``o``)."""
     cw, ow = (lambda i: F.get(c, i)), (lambda i: F.get(o, i))
     plain = lambda w: F.array_join(w, " ")
     first = _joined(ow(0), cw(1), cw(2), cw(3), cw(4))
     lines = [first, _joined(ow(0), ow(1), cw(2), cw(3), cw(4)), _joined(ow(0), ow(1), ow(2), cw(3), cw(4)), plain(F.reverse(c)), X.ascii_upper(plain(c)), cw(0)]
-    return [*lines, F.when(doc_id % 2 == 0, X.ascii_upper(first))]
+    return [*lines, F.when(place % 2 == 0, X.ascii_upper(first))]
 
 
 def responder(movements: DataFrame) -> DataFrame:
-    """Answers made of the words at hand: those of current and target, or of the component that follows in turn."""
-    doc_id = F.regexp_extract("individual_id", r"(\d+)$", 1).cast("long")
+    """Answers made of the words at hand: those of current and target, or of the component that follows in turn; one call in seventeen fails."""
     following = F.when(F.col("component_key") == "rol", F.col("topico")).when(F.col("component_key") == "topico", F.col("accion")).otherwise(F.col("rol"))
-    rows = movements.withColumns({"_c": X.words(F.col("current")), "_o": X.words(F.when(F.col("operator") == "influence", F.col("target")).otherwise(following)), "_doc": doc_id})
-    c, o, doc = F.col("_c"), F.col("_o"), F.col("_doc")
-    raw = F.when(F.col("operator") == "influence", _wrapped(influence_lines(c, o, doc), doc)).otherwise(_wrapped(turbulence_lines(c, o, doc), doc))
-    return rows.withColumn("raw", raw).withColumn("error", F.lit(None).cast("string")).drop("_c", "_o", "_doc")
+    rows = movements.withColumns({"_c": X.words(F.col("current")), "_o": X.words(F.when(F.col("operator") == "influence", F.col("target")).otherwise(following))})
+    c, o, place = F.col("_c"), F.col("_o"), F.col("position")
+    raw = F.when(F.col("operator") == "influence", _wrapped(influence_lines(c, o, place), place)).otherwise(_wrapped(turbulence_lines(c, o, place), place))
+    error = F.when(place % 17 == 3, "timeout")
+    return rows.withColumn("raw", F.when(error.isNull(), raw)).withColumn("error", error).drop("_c", "_o")
 
 
 def eval_jobs(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs, runs): each individual moves its role to its best's, in two runs of four lines, one empty and one that timed out."""
-    jobs = people.select(F.col("doc_id").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
+    jobs = people.select(F.col("position").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
     split = jobs.withColumns({"_c": X.words(F.col("current")), "_t": X.words(F.col("target"))})
     lines = influence_lines(F.col("_c"), F.col("_t"), F.col("job_id"))
     none = F.lit(None).cast("string")

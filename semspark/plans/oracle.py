@@ -141,16 +141,16 @@ CTES: dict[str, str] = {
     "anchors": "SELECT label, min(vec_id) AS anchor_id FROM embeddings GROUP BY label",
     "anchored": "SELECT e.vec_id, e.label, a.anchor_id, round(least(1.0, greatest(-1.0, list_dot_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]))))), 6) AS similarity FROM embeddings e JOIN anchors a USING (label) JOIN embeddings x ON x.vec_id = a.anchor_id",
     "doc_words": f"SELECT doc_id, lang, {words('text')} AS w FROM documents",
-    "doc_parts": "SELECT doc_id, lang, len(w) AS n, array_to_string(w[1:5], ' ') AS rol, array_to_string(w[6:10], ' ') AS topico, array_to_string(w[11:15], ' ') AS accion FROM doc_words",
-    "leaders": "SELECT lang, arg_min(rol, doc_id) AS l_rol, arg_min(topico, doc_id) AS l_topico, arg_min(accion, doc_id) AS l_accion FROM doc_parts WHERE n >= 15 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
-    "individuals": "SELECT a.doc_id, 'ind-' || a.doc_id AS id, a.rol, a.topico, a.accion, b.rol AS p_rol, b.topico AS p_topico, b.accion AS p_accion, l_rol, l_topico, l_accion FROM doc_parts a LEFT JOIN doc_parts b ON b.doc_id = a.doc_id + 1 LEFT JOIN leaders l ON l.lang = a.lang",
+    "doc_parts": "SELECT doc_id, lang, part, len(w) AS n, row_number() OVER (ORDER BY doc_id, part) - 1 AS position, array_to_string(w[15 * part + 1:15 * part + 5], ' ') AS rol, array_to_string(w[15 * part + 6:15 * part + 10], ' ') AS topico, array_to_string(w[15 * part + 11:15 * part + 15], ' ') AS accion FROM (SELECT *, unnest(range(greatest(1, ceil(len(w) / 15))::BIGINT)) AS part FROM doc_words)",
+    "leaders": "SELECT lang, arg_min(rol, doc_id) AS l_rol, arg_min(topico, doc_id) AS l_topico, arg_min(accion, doc_id) AS l_accion FROM doc_parts WHERE part = 0 AND n >= 15 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
+    "individuals": "SELECT a.position, a.doc_id, a.part, 'ind-' || a.doc_id || '-' || a.part AS id, a.rol, a.topico, a.accion, b.rol AS p_rol, b.topico AS p_topico, b.accion AS p_accion, l_rol, l_topico, l_accion FROM doc_parts a LEFT JOIN doc_parts b ON b.doc_id = a.doc_id + 1 AND b.part = a.part LEFT JOIN leaders l ON l.lang = a.lang",
     "checked": "SELECT *, " + " AND ".join(f"coalesce({trim(c)}, '') <> ''" for c in ["id", *(p + k for p in ("", "p_", "l_") for k in KEYS.values())]) + " AS valid FROM individuals",
     "people": "SELECT * FROM checked WHERE valid",
     "components": "SELECT * FROM (VALUES " + ", ".join(f"({o}, {text(k)}, {text(n)}, {text(d)})" for o, k, n, d in catalogue.COMPONENTS) + ") t(component_ord, key, prompt_name, definition)",
     "draws": f"SELECT i.*, k.*, {draw('id', 'key', text('change'))} AS change_draw, {draw('id', 'key', text('source'))} AS source_draw FROM people i, components k",
     "text_docs": "SELECT a.doc_id AS pair_id, a.text AS text_a, CASE WHEN a.doc_id % 7 = 0 THEN ' ' || chr(9) ELSE b.text END AS text_b FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1",
     "calls": "SELECT event_id, user_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS elapsed_ms, CASE WHEN event_type = 'error' THEN 'timeout' END AS error FROM events",
-    "jobs": "SELECT doc_id AS job_id, rol AS current, p_rol AS target FROM people",
+    "jobs": "SELECT position AS job_id, rol AS current, p_rol AS target FROM people",
     "job_raws": "SELECT j.*, r.run_number, CASE r.run_number WHEN 1 THEN array_to_string(ls[1:4], chr(10)) WHEN 2 THEN array_to_string(ls[5:8], chr(10)) WHEN 3 THEN '' END AS raw, CASE WHEN r.run_number = 4 THEN 'timeout' END AS error FROM (SELECT *, [" + ", ".join(_influence_lines("cw", "tw", "job_id")[:8]) + f"] AS ls FROM (SELECT *, {words('current')} AS cw, {words('target')} AS tw FROM jobs)) j, (VALUES (1), (2), (3), (4)) r(run_number)",
     "job_lists": f"SELECT job_id, current, target, run_number, {parsed('raw', 9)} AS cs FROM job_raws WHERE error IS NULL",
     "job_candidates": "SELECT job_id, current, target, run_number, i AS ordinal, cs[i] AS candidate, len(list_filter(cs, lambda c_: lower(c_) = lower(cs[i]))) AS copies FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM job_lists)",
@@ -169,7 +169,7 @@ def _movements(op: str) -> dict[str, str]:
     pick = "CASE WHEN source_draw < 0.5 THEN 'pbest' ELSE 'lider' END" if op == "influence" else "'turbulence'"
     aim = f"CASE source WHEN 'pbest' THEN {_own('p_')} WHEN 'lider' THEN {_own('l_')} END" if op == "influence" else "NULL::VARCHAR"
     out = {
-        f"{op}_plan": f"SELECT doc_id, id AS individual_id, component_ord, key, prompt_name, definition, source, change_draw AS random_value, {aim} AS target, row_number() OVER (ORDER BY doc_id, component_ord) AS number FROM (SELECT *, {pick} AS source FROM draws WHERE change_draw > 0.7) k",
+        f"{op}_plan": f"SELECT position, id AS individual_id, component_ord, key, prompt_name, definition, source, change_draw AS random_value, {aim} AS target, row_number() OVER (ORDER BY position, component_ord) AS number FROM (SELECT *, {pick} AS source FROM draws WHERE change_draw > 0.7) k",
     }
 
     def stage(plan: str, position: str, tag: str) -> dict[str, str]:
@@ -179,7 +179,7 @@ def _movements(op: str) -> dict[str, str]:
         reason = base("c.candidate", "c.copies", "c.current", "c.target" if op == "influence" else None)
         ctes = {
             f"{tag}_mv": f"SELECT k.*, {_own('p.')} AS current, {others('k.key', 'p.')} AS other_components, {following} AS following FROM {plan} k JOIN {position} p ON p.id = k.individual_id",
-            f"{tag}_raw": f"SELECT *, {answer(op, 'current', other, 'doc_id')} AS raw FROM {tag}_mv",
+            f"{tag}_raw": f"SELECT *, CASE WHEN position % 17 = 3 THEN 'timeout' END AS error, CASE WHEN position % 17 <> 3 THEN {answer(op, 'current', other, 'position')} END AS raw FROM {tag}_mv",
             f"{tag}_list": f"SELECT *, {parsed('raw', 9)} AS cs FROM {tag}_raw",
             f"{tag}_cand": f"SELECT * EXCLUDE (cs, raw, i), i AS ordinal, cs[i] AS candidate, len(list_filter(cs, lambda c_: lower(c_) = lower(cs[i]))) AS copies FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM {tag}_list)",
             f"{tag}_pairs": f"SELECT candidate AS a, {against} AS b FROM {tag}_cand" + (f" UNION ALL SELECT current, target FROM {tag}_mv" if op == "influence" else ""),
@@ -199,7 +199,7 @@ def _movements(op: str) -> dict[str, str]:
     out |= stage(f"{op}_plan", "people", op)
     none = "sin candidato con progreso semántico" if op == "influence" else "sin candidato en rango de turbulencia"
     out[f"{op}_count"] = f"SELECT number, count(*) AS candidate_count, count(*) FILTER (reason = 'valid') AS valid_count FROM {op}_scored GROUP BY number"
-    out[f"{op}_result"] = f"SELECT m.number, m.individual_id, m.source, coalesce(candidate_count, 0) AS candidate_count, coalesce(valid_count, 0) AS valid_count, c.candidate AS selected, c.similarity AS selected_similarity, c.candidate IS NOT NULL AS applied, CASE WHEN c.candidate IS NOT NULL THEN NULL WHEN candidate_count IS NULL THEN 'sin candidatos parseables' ELSE '{none}' END AS failure_reason FROM {op}_mv m LEFT JOIN {op}_count USING (number) LEFT JOIN {op}_chosen c USING (number)"
+    out[f"{op}_result"] = f"SELECT m.number, m.individual_id, m.source, m.error, CASE WHEN m.error IS NULL THEN m.number % 500 ELSE 1000 + m.number % 7 END::DOUBLE AS elapsed_ms, coalesce(candidate_count, 0) AS candidate_count, coalesce(valid_count, 0) AS valid_count, c.candidate AS selected, c.similarity AS selected_similarity, c.candidate IS NOT NULL AS applied, CASE WHEN m.error IS NOT NULL THEN 'error de ejecución' WHEN c.candidate IS NOT NULL THEN NULL WHEN candidate_count IS NULL THEN 'sin candidatos parseables' ELSE '{none}' END AS failure_reason FROM {op}_raw m LEFT JOIN {op}_count USING (number) LEFT JOIN {op}_chosen c USING (number)"
     before = "people"
     for s in KEYS:
         out[f"{op}_plan{s}"] = f"SELECT * FROM {op}_plan WHERE component_ord = {s}"

@@ -18,6 +18,7 @@ from semspark.operators import jobs as J
 from semspark.operators import labels as L
 from semspark.operators import movement as M
 from semspark.operators import ranking as R
+from semspark.operators import scoring as S
 from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
 from semspark.plans import oracle as O
@@ -195,8 +196,7 @@ def duplicate_count(spark, sf):
 @query(f"SELECT job_id, run_number, ordinal, {O.base('candidate', 'copies', 'cs[1]', 'cs[2]')} AS reason FROM run_candidates")
 def reason_base(spark, sf):
     """A run's first candidate stands for the current text and its second for the target."""
-    runs = FX.runs(spark, sf).withColumn("first", X.parse_candidates(F.col("raw"), 2))
-    rows = EV.run_candidates(runs)
+    rows = EV.run_candidates(FX.runs(spark, sf), lead=2)
     reason = L.reason_base(F.col("candidate"), F.col("copies"), F.get("first", 0), F.get("first", 1))
     return rows.select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), reason.alias("reason"))
 
@@ -220,11 +220,18 @@ def template_body(spark, sf):
     return _templates(spark, sf).select("doc_id", X.template_body(F.col("t")).alias("body"))
 
 
-@query(f"SELECT t.doc_id, replace(replace(replace({_BODY}, '{{rol}}', rol), '{{topico}}', topico), '{{accion}}', accion) AS prompt FROM (SELECT doc_id, {_TEMPLATE} AS t FROM documents) t JOIN individuals i ON i.doc_id = t.doc_id")
+_THIRDS = f"(SELECT doc_id, array_to_string(w[1:len(w) // 3], ' ') AS rol, array_to_string(w[len(w) // 3 + 1:2 * (len(w) // 3)], ' ') AS topico, array_to_string(w[2 * (len(w) // 3) + 1:len(w)], ' ') AS accion FROM (SELECT doc_id, {O.words('text')} AS w FROM documents))"
+
+
+@query(f"SELECT t.doc_id, replace(replace(replace({_BODY}, '{{rol}}', rol), '{{topico}}', topico), '{{accion}}', accion) AS prompt FROM (SELECT doc_id, {_TEMPLATE} AS t FROM documents) t JOIN {_THIRDS} i ON i.doc_id = t.doc_id")
 def render_template(spark, sf):
-    people = FX.individuals(spark, sf).select("doc_id", "rol", "topico", "accion")
-    variables = F.create_map(*(x for c in ("rol", "topico", "accion") for x in (F.lit(c), F.col(c))))
-    return _templates(spark, sf).join(people, "doc_id").select("doc_id", X.render_template(F.col("t"), variables).alias("prompt"))
+    """The thirds of each whole text are the values of its own template."""
+    third = F.floor(F.size("w") / 3).cast("int")
+    rest = F.size("w") - 2 * third
+    values = {"rol": F.slice("w", 1, third), "topico": F.slice("w", third + 1, third), "accion": F.slice("w", 2 * third + 1, rest)}
+    variables = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.array_join(v, " "))))
+    rows = _templates(spark, sf).withColumn("w", X.words(F.col("text"))).withColumn("v", variables)
+    return rows.select("doc_id", X.render_template(F.col("t"), F.col("v")).alias("prompt"))
 
 
 # --- catalogue and settings --------------------------------------------------
@@ -255,12 +262,12 @@ def unsupported_model(spark, sf):
 _PRESETS = ", ".join("(" + ", ".join(O.text(x) for x in p) + ")" for p in catalogue.PRESETS)
 
 
-@query(f"SELECT doc_id, t.name AS prompt_name, coalesce(p.current, t.rol) AS current, coalesce(p.target, t.topico) AS target, coalesce(p.other, t.accion) AS other_components FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'role' WHEN 1 THEN 'topic' WHEN 2 THEN 'action' ELSE 'custom' END AS name FROM individuals) t LEFT JOIN (VALUES {_PRESETS}) p(name, current, target, other) ON p.name = t.name")
+@query(f"SELECT position, t.name AS prompt_name, coalesce(p.current, t.rol) AS current, coalesce(p.target, t.topico) AS target, coalesce(p.other, t.accion) AS other_components FROM (SELECT *, CASE position % 4 WHEN 0 THEN 'role' WHEN 1 THEN 'topic' WHEN 2 THEN 'action' ELSE 'custom' END AS name FROM individuals) t LEFT JOIN (VALUES {_PRESETS}) p(name, current, target, other) ON p.name = t.name")
 def component_catalogue(spark, sf):
     """Every individual's form filled from the preset of its kind; the custom ones keep what they have."""
-    kind = F.when(F.col("doc_id") % 4 == 0, "role").when(F.col("doc_id") % 4 == 1, "topic").when(F.col("doc_id") % 4 == 2, "action").otherwise("custom")
-    forms = FX.individuals(spark, sf).select("doc_id", kind.alias("prompt_name"), F.col("rol").alias("current"), F.col("topico").alias("target"), F.col("accion").alias("other_components"))
-    return catalogue.with_preset(forms).select("doc_id", "prompt_name", "current", "target", "other_components")
+    kind = F.when(F.col("position") % 4 == 0, "role").when(F.col("position") % 4 == 1, "topic").when(F.col("position") % 4 == 2, "action").otherwise("custom")
+    forms = FX.individuals(spark, sf).select("position", kind.alias("prompt_name"), F.col("rol").alias("current"), F.col("topico").alias("target"), F.col("accion").alias("other_components"))
+    return catalogue.with_preset(forms).select("position", "prompt_name", "current", "target", "other_components")
 
 
 _DEFAULTS = [O.text(catalogue.INFLUENCE_TEMPLATE), O.text(catalogue.TURBULENCE_TEMPLATE)]
@@ -351,16 +358,39 @@ def join_text_embedding(spark, sf):
 
 @query("SELECT md5(t) AS text_md5, count(*) AS slots FROM enc_b GROUP BY t")
 def cache_append(spark, sf):
-    """Half of the texts are cached, then the misses of all are added; read back, every text is there once."""
+    """Half of the texts are cached, then the misses of all are added, and that again; read back, every text is there once."""
     rows = _lines(spark, sf)
     path = sinks.shared_path(spark, "cache")
-    every = E.text_dedupe(E.text_set((rows, "candidate")))
-    E.cache_append(E.hash_encode(E.text_dedupe(E.text_set((rows.where("job_id % 2 = 0"), "candidate")))), path, "hash")
-    E.cache_append(E.hash_encode(E.cache_miss(every, spark.read.parquet(path))), path, "hash")
-    back = spark.read.parquet(path)
+    E.cache_add(E.text_set((rows.where("job_id % 2 = 0"), "candidate")), path, "hash", "half")
+    for _ in range(2):
+        E.cache_add(E.text_set((rows, "candidate")), path, "hash", "all")
+    back = E.cached(spark, path, "hash")
     return back.select(F.md5("text").alias("text_md5"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("slots"))
 
 
+@query("SELECT md5(t) AS text_md5, bucket, round(n / len, 6) AS value FROM doc_b JOIN doc_n USING (t)")
+def encoder(spark, sf):
+    """Every distinct document through a caller's model: what the cache lacks is encoded and appended, in two epochs of which one is run twice."""
+    docs = FX.table(spark, sf, "documents")
+    path = sinks.shared_path(spark, "encoded")
+    model = lambda texts: E.encode(texts, E.hash_model, name="hash-model")
+    for epoch, some in (("first", docs.where("doc_id % 3 = 0")), ("all", docs), ("first", docs.where("doc_id % 3 = 0"))):
+        E.cache_add(E.text_set((some, "text")), path, "hash-model", epoch, model)
+    rows = E.cached(spark, path, "hash-model").select(F.md5("text").alias("text_md5"), F.posexplode("embedding").alias("bucket", "value"))
+    return rows.where("value <> 0").select("text_md5", "bucket", r6("value", "value"))
+
+
+@query("SELECT number, ordinal, candidate, baseline, similarity, improvement, reason FROM influence_scored")
+def score_by_model(spark, sf):
+    """Movements scored by the vectors of a caller's model: each distinct text encoded once, cached, and met by its digest."""
+    answered = sinks.stored(FX.responder(M.movement_prompt(_bound(spark, sf, "influence"))), "answers")
+    texts = E.text_set((S.exploded(S.parsed(answered, M.EXPECTED), "candidates"), "candidate"), (answered, "target"))
+    path = sinks.shared_path(spark, "vectors")
+    E.cache_add(texts, path, "hash-model", "1", lambda t: E.encode(t, E.hash_model, name="hash-model"))
+    scored = M.score(answered, "influence", M.EXPECTED, SCALE, E.cached(spark, path, "hash-model"))
+    return M.movement_candidates(scored).select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "baseline", "similarity", "improvement", "reason")
+
+
 @query(f"SELECT pair_id, {O.trim('text_a')} AS text_a, {O.trim('coalesce(text_b, ' + chr(39) * 2 + ')')} AS text_b, CASE WHEN {O.trim('text_a')} = '' OR {O.trim('coalesce(text_b, ' + chr(39) * 2 + ')')} = '' THEN 'both texts are required' END AS problem FROM text_docs")
 def pair_validate(spark, sf):
     return EV.pair_validate(FX.text_pairs(spark, sf)).select("pair_id", "text_a", "text_b", "problem")
@@ -374,11 +404,13 @@ def _people(spark, sf) -> DataFrame:
     return sinks.stored(FX.individuals(spark, sf).where(population.complete()), "people")
 
 
-def _results(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _scored(spark, sf) -> DataFrame:
     jobs, runs = FX.eval_jobs(_people(spark, sf))
-    jobs = sinks.stored(EV.baseline(jobs, SCALE), "jobs")
-    cands = sinks.stored(EV.scored(runs, jobs, 9, SCALE), "scored")
-    return cands, EV.run_result(runs, cands)
+    return EV.scored(runs, EV.baseline(jobs, SCALE), 9, SCALE)
+
+
+def _results(spark, sf) -> DataFrame:
+    return EV.run_result(_scored(spark, sf))
 
 
 @query("SELECT j.job_id, sim AS baseline FROM jobs j JOIN job_sim ON a = current AND b = target")
@@ -388,43 +420,43 @@ def baseline(spark, sf):
 
 @query("SELECT job_id, run_number, ordinal, similarity, improvement, reason FROM job_scored")
 def reason_influence(spark, sf):
-    return _results(spark, sf)[0].select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "similarity", "improvement", "reason")
+    return EV.candidates(_scored(spark, sf)).select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "similarity", "improvement", "reason")
 
 
 @query("SELECT job_id, run_number, ordinal, reason = 'valid' AS is_valid FROM job_scored")
 def is_valid(spark, sf):
-    return _results(spark, sf)[0].select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "is_valid")
+    return EV.candidates(_scored(spark, sf)).select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "is_valid")
 
 
 @query("SELECT job_id, run_number, candidate_count, valid_count, best, best_similarity, status, error FROM job_results")
 def run_result(spark, sf):
-    r = _results(spark, sf)[1]
+    r = _results(spark, sf)
     return r.select("job_id", "run_number", "candidate_count", "valid_count", F.col("best.candidate").alias("best"), F.col("best.similarity").alias("best_similarity"), "status", "error")
 
 
 @query("SELECT job_id, run_number, candidate_count FROM job_results WHERE error IS NULL")
 def completed_runs(spark, sf):
-    return EV.completed_runs(_results(spark, sf)[1]).select("job_id", "run_number", "candidate_count")
+    return EV.completed_runs(_results(spark, sf)).select("job_id", "run_number", "candidate_count")
 
 
-_SUMMARY = "count(*) AS runs, count(*) FILTER (error IS NULL) AS completed, round(100.0 * count(best) / nullif(count(*) FILTER (error IS NULL), 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity), 6) AS mean_best_similarity, round(avg(best_improvement), 6) AS mean_best_improvement, sum(valid_count)::BIGINT AS valid_candidates"
+SUMMARY = "count(*) AS runs, count(*) FILTER (error IS NULL) AS completed, round(100.0 * count(best) / nullif(count(*) FILTER (error IS NULL), 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity), 6) AS mean_best_similarity, round(avg(best_improvement), 6) AS mean_best_improvement, sum(valid_count)::BIGINT AS valid_candidates"
 
 
-@query(f"SELECT job_id, {_SUMMARY} FROM job_results GROUP BY job_id")
+@query(f"SELECT job_id, {SUMMARY} FROM job_results GROUP BY job_id")
 def evaluation_summary(spark, sf):
-    s = EV.evaluation_summary(_results(spark, sf)[1], "job_id")
+    s = EV.evaluation_summary(_results(spark, sf), "job_id")
     return s.select("job_id", "runs", "completed", r6("success_rate", "success_rate"), r6("mean_best_similarity", "mean_best_similarity"), r6("mean_best_improvement", "mean_best_improvement"), "valid_candidates")
 
 
 @query("SELECT job_id, run_number, best, best_similarity FROM job_results WHERE best IS NOT NULL QUALIFY row_number() OVER (ORDER BY best_similarity DESC, run_number, job_id) <= 1")
 def best_overall(spark, sf):
-    r = _results(spark, sf)[1].where("best IS NOT NULL").select("job_id", "run_number", F.col("best.candidate").alias("best"), F.col("best.similarity").alias("similarity"))
+    r = _results(spark, sf).where("best IS NOT NULL").select("job_id", "run_number", F.col("best.candidate").alias("best"), F.col("best.similarity").alias("similarity"))
     return R.best_overall(r, "run_number", "job_id").withColumnRenamed("similarity", "best_similarity")
 
 
-@query("SELECT job_id, run_number, count(*) FILTER (error IS NULL) OVER w AS completed, round(100.0 * count(best) OVER w / nullif(count(*) FILTER (error IS NULL) OVER w, 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity) OVER w, 6) AS mean_best_similarity FROM job_results WINDOW w AS (PARTITION BY job_id ORDER BY run_number)")
+@query("SELECT job_id, run_number, count(*) FILTER (error IS NULL) OVER w AS completed, round(100.0 * count(best) OVER w / nullif(count(*) FILTER (error IS NULL) OVER w, 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity) OVER w, 6) AS mean_best_similarity, max(best_similarity) OVER w AS best_similarity FROM job_results WINDOW w AS (PARTITION BY job_id ORDER BY run_number)")
 def cumulative_summary(spark, sf):
-    return EV.cumulative_summary(_results(spark, sf)[1]).select("job_id", "run_number", "completed", r6("success_rate", "success_rate"), r6("mean_best_similarity", "mean_best_similarity"))
+    return EV.cumulative_summary(_results(spark, sf)).select("job_id", "run_number", "completed", r6("success_rate", "success_rate"), r6("mean_best_similarity", "mean_best_similarity"), "best_similarity")
 
 
 @query("SELECT job_id, run_number, row_number() OVER (PARTITION BY job_id ORDER BY run_number) AS rank, coalesce(error, status, 'ok') AS label FROM job_results")
@@ -432,7 +464,7 @@ def order_results(spark, sf):
     """Results in the order in which they are shown, as a rank."""
     from pyspark.sql import Window
 
-    rows = _results(spark, sf)[1].withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("run_number")).cast("long"))
+    rows = _results(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("run_number")).cast("long"))
     return rows.select("job_id", "run_number", "rank", X.status_label(F.col("error"), F.lit(False), F.col("status")).alias("label"))
 
 
@@ -458,12 +490,23 @@ def population_validate(spark, sf):
     return population.population_validate(FX.individuals(spark, sf), strict=False).select("id", "valid")
 
 
-@query("SELECT count(*) AS individuals, min(CASE WHEN NOT valid THEN doc_id + 1 END) AS first_bad FROM checked")
+_FIRST_BAD = "CASE " + " ".join(f"WHEN coalesce({O.trim(c)}, '') = '' THEN '{n}'" for c, n in [("id", "id"), *((p + k, q + k) for p, q in (("", ""), ("p_", "pbest."), ("l_", "lider.")) for k in O.KEYS.values())]) + " END"
+
+
+@query(f"SELECT id, rol, bad_field, CASE WHEN bad_field IS NOT NULL THEN position + 1 ELSE 0 END AS file_position FROM (SELECT *, {_FIRST_BAD} AS bad_field FROM individuals)")
+def population_quarantine(spark, sf):
+    """Both parts, read back: together they are the population."""
+    valid, rejected = population.population_quarantine(FX.individuals(spark, sf), sinks.shared_path(spark, "parted"))
+    none = valid.withColumns({"bad_field": F.lit(None).cast("string"), "file_position": F.lit(0).cast("long")})
+    return none.unionByName(rejected).select("id", "rol", "bad_field", "file_position")
+
+
+@query("SELECT count(*) AS individuals, min(CASE WHEN NOT valid THEN position + 1 END) AS first_bad FROM checked")
 def population_check(spark, sf):
     return population.population_check(FX.individuals(spark, sf))
 
 
-@query("SELECT id, rol FROM individuals WHERE doc_id < 20")
+@query("SELECT id, rol FROM individuals WHERE position < 20")
 def population_head(spark, sf):
     """The head of the file is the feature: its first twenty."""
     return population.population_head(FX.individuals(spark, sf), 20).select("id", "rol")
@@ -543,40 +586,42 @@ def movement_prompt(spark, sf):
     return both[0].unionByName(both[1])
 
 
-def _moves(spark, sf, operator: str) -> tuple[DataFrame, DataFrame]:
-    """(movements with answers, scored candidates), from the first positions."""
+def _scored_moves(spark, sf, operator: str) -> DataFrame:
+    """Movements from the first positions, answered and scored; answers are written first, so that nothing asks again."""
     answered = sinks.stored(FX.responder(M.movement_prompt(_bound(spark, sf, operator))), "answers")
-    return answered, M.score(M.movement_candidates(answered), operator, SCALE)
+    return M.score(answered, operator, M.EXPECTED, SCALE)
 
 
 @query("SELECT number, ordinal, candidate, baseline, similarity, improvement, reason FROM influence_scored")
 def score_influence(spark, sf):
-    return _moves(spark, sf, "influence")[1].select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "baseline", "similarity", "improvement", "reason")
+    rows = M.movement_candidates(_scored_moves(spark, sf, "influence"))
+    return rows.select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "baseline", "similarity", "improvement", "reason")
 
 
 @query("SELECT number, ordinal, candidate, similarity, diversity, reason FROM turbulence_scored")
 def score_turbulence(spark, sf):
-    return _moves(spark, sf, "turbulence")[1].select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "similarity", "diversity", "reason")
+    rows = M.movement_candidates(_scored_moves(spark, sf, "turbulence"))
+    return rows.select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "similarity", "diversity", "reason")
 
 
 @query("SELECT reason, count(*) AS n FROM turbulence_scored GROUP BY reason")
 def reason_turbulence(spark, sf):
-    return _moves(spark, sf, "turbulence")[1].groupBy("reason").agg(F.count("*").alias("n"))
+    return M.movement_candidates(_scored_moves(spark, sf, "turbulence")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT number, ordinal, candidate FROM turbulence_chosen")
 def random_valid(spark, sf):
-    return M.selected(_moves(spark, sf, "turbulence")[1], "turbulence").select("number", F.col("ordinal").cast("long").alias("ordinal"), "candidate")
+    rows = M.selected(_scored_moves(spark, sf, "turbulence"), "turbulence").where("chosen IS NOT NULL")
+    return rows.select("number", F.col("chosen.ordinal").cast("long").alias("ordinal"), F.col("chosen.candidate").alias("candidate"))
 
 
 def _movement_results(spark, sf, operator: str) -> DataFrame:
-    answered, scored = _moves(spark, sf, operator)
-    scored = sinks.stored(scored, "scored")
-    movements = answered.select("number", "individual_id", "source", "error", (F.col("number") % 500).cast("double").alias("elapsed_ms"))
-    return M.movement_result(movements, scored, M.selected(scored, operator), operator)
+    """Good calls bear the time of their completion, failed ones the longer time since they began."""
+    results = M.movement_result(M.selected(_scored_moves(spark, sf, operator), operator), operator)
+    return results.withColumn("elapsed_ms", F.when(F.col("error").isNull(), F.col("number") % 500).otherwise(1000 + F.col("number") % 7).cast("double"))
 
 
-_RESULT = "number, individual_id, candidate_count, valid_count, selected, selected_similarity, applied, failure_reason"
+_RESULT = "number, individual_id, error, candidate_count, valid_count, selected, selected_similarity, applied, failure_reason"
 
 
 @query(f"SELECT {_RESULT} FROM influence_result")
@@ -584,12 +629,12 @@ def movement_result(spark, sf):
     return _movement_results(spark, sf, "influence").select(*_RESULT.split(", "))
 
 
-@query("SELECT number, coalesce(CASE WHEN applied THEN 'aplicado' END, failure_reason) AS label FROM turbulence_result")
+@query("SELECT number, coalesce(error, CASE WHEN applied THEN 'aplicado' END, failure_reason) AS label FROM turbulence_result")
 def status_label(spark, sf):
     return _movement_results(spark, sf, "turbulence").select("number", X.status_label(F.col("error"), F.col("applied"), F.col("failure_reason")).alias("label"))
 
 
-_SWARM = "count(*) AS processed, count(*) FILTER (applied) AS applied, count(*) FILTER (NOT applied) AS failed, round(100.0 * count(*) FILTER (NOT applied) / count(*), 6)::DOUBLE AS failure_rate, count(DISTINCT individual_id) FILTER (applied) AS affected, sum(number % 500)::DOUBLE AS elapsed_total, round(avg((number % 500)::DOUBLE), 6) AS elapsed_mean, sum(valid_count)::BIGINT AS valid_candidates, count(*) FILTER (NOT applied) AS candidate_failures, 0::BIGINT AS errors"
+_SWARM = "count(*) AS processed, count(*) FILTER (applied) AS applied, count(*) FILTER (NOT applied) AS failed, round(100.0 * count(*) FILTER (NOT applied) / count(*), 6)::DOUBLE AS failure_rate, count(DISTINCT individual_id) FILTER (applied) AS affected, sum(elapsed_ms) AS elapsed_total, round(avg(elapsed_ms), 6) AS elapsed_mean, sum(valid_count)::BIGINT AS valid_candidates, count(*) FILTER (NOT applied AND error IS NULL) AS candidate_failures, count(error) AS errors"
 
 
 @query(f"SELECT source, {_SWARM} FROM influence_result GROUP BY source")
@@ -603,6 +648,17 @@ def affected_individuals(spark, sf):
     return _movement_results(spark, sf, "turbulence").where("applied").groupBy("individual_id").agg(F.count("*").alias("applied"))
 
 
+@query("SELECT coalesce(source, 'all') AS source, count(DISTINCT individual_id) AS affected, true AS within_two_percent FROM influence_result WHERE applied GROUP BY ROLLUP(source)")
+def affected_sketch(spark, sf):
+    """Sketches stored for each source and merged over all, held against the exact counts."""
+    results = sinks.stored(_movement_results(spark, sf, "influence"), "results")
+    sketches = sinks.stored(M.affected_sketch(results, "source"), "sketches")
+    each = M.merged_sketch(sketches, "source").join(sketches.select("source", "affected"), "source")
+    exact = results.agg(F.countDistinct(F.when(F.col("applied"), F.col("individual_id"))).alias("affected"))
+    both = each.unionByName(M.merged_sketch(sketches).crossJoin(exact).withColumn("source", F.lit("all")))  # one row beside one
+    return both.where("affected > 0").select("source", "affected", (F.abs(F.col("affected_about") - F.col("affected")) <= 0.02 * F.col("affected") + 1).alias("within_two_percent"))
+
+
 @query("SELECT stage, number, individual_id, key, current, candidate, similarity, other_components FROM turbulence_applied")
 def staged_apply(spark, sf):
     applied, _ = M.staged_apply(_people(spark, sf), "turbulence", FX.responder, SCALE)
@@ -643,7 +699,7 @@ def request_body(spark, sf):
 
 @query("SELECT job_id, run_number, CASE WHEN job_id % 9 = 0 THEN NULL ELSE lower(raw) END AS raw, CASE WHEN job_id % 9 = 0 THEN 'no answer' END AS error FROM runs")
 def completions_batch(spark, sf):
-    """Every run's text is a prompt; the responder lower-cases it, and fails for every ninth job."""
+    """Every run's text is a prompt; the responder lower-cases it, and fails for every ninth job.  A first call asks for the even jobs, a second for what is left."""
 
     def responder(prompt: str) -> str:
         if prompt.startswith("!"):
@@ -652,15 +708,38 @@ def completions_batch(spark, sf):
 
     mark = F.when(F.col("job_id") % 9 == 0, "!").otherwise("")
     prompts = FX.runs(spark, sf).select("job_id", "run_number", F.concat(mark, F.col("raw")).alias("prompt"))
-    return payloads.completions_batch(prompts, responder, sinks.shared_path(spark, "completions"), 8).select("job_id", "run_number", "raw", "error")
+    path = sinks.shared_path(spark, "completions")
+    payloads.completions_batch(prompts.where("job_id % 2 = 0"), responder, path)
+    return payloads.completions_batch(prompts, responder, path).select("job_id", "run_number", "raw", "error")
 
 
-@query("SELECT job_id, run_number, candidate_count, valid_count, status, error FROM job_results")
-def sink_results(spark, sf):
-    """Results written in two appends, partitioned, and read back."""
-    results = _results(spark, sf)[1].withColumn("part", F.pmod("job_id", F.lit(8)))
+def _sunk(spark, sf, name: str, rows: DataFrame, key: str) -> DataFrame:
+    """Written twice, as after a failure, partitioned, and read back by the manifest."""
+    rows = sinks.stored(rows.withColumn("part", F.pmod(key, F.lit(8))), name)
     path = sinks.shared_path(spark, "results")
-    results = sinks.stored(results, "results")
-    for odd in (0, 1):
-        sinks.sink_results({"run_results": results.where(F.col("run_number") % 2 == odd)}, path, by="part")
-    return spark.read.parquet(f"{path}/run_results").select("job_id", "run_number", "candidate_count", "valid_count", "status", "error")
+    for _ in range(2):
+        sinks.sink_results({name: rows}, path, by="part")
+    return sinks.read_results(spark, path, name, by="part").drop("part")
+
+
+@query("SELECT job_id, run_number, candidate_count, valid_count, best, status, error FROM job_results")
+def sink_results(spark, sf):
+    rows = _sunk(spark, sf, "run_results", _results(spark, sf), "job_id")
+    return rows.select("job_id", "run_number", "candidate_count", "valid_count", F.col("best.candidate").alias("best"), "status", "error")
+
+
+@query("SELECT job_id, run_number, ordinal, candidate, similarity, improvement, reason, reason = 'valid' AS is_valid FROM job_scored")
+def sink_candidates(spark, sf):
+    rows = _sunk(spark, sf, "candidates", EV.candidates(_scored(spark, sf)), "job_id")
+    return rows.select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "similarity", "improvement", "reason", "is_valid")
+
+
+@query("SELECT number, individual_id, ordinal, current, current AS reference, candidate, similarity, diversity, reason FROM turbulence_scored")
+def sink_movement_candidates(spark, sf):
+    rows = _sunk(spark, sf, "movement_candidates", M.movement_candidates(_scored_moves(spark, sf, "turbulence")), "number")
+    return rows.select("number", "individual_id", F.col("ordinal").cast("long").alias("ordinal"), "current", "reference", "candidate", "similarity", "diversity", "reason")
+
+
+@query(f"SELECT {_RESULT}, elapsed_ms FROM influence_result")
+def sink_movement_results(spark, sf):
+    return _sunk(spark, sf, "movement_results", _movement_results(spark, sf, "influence"), "number").select(*_RESULT.split(", "), "elapsed_ms")

@@ -63,11 +63,16 @@ def completion_error(status: Column, payload: Column, timed_out: Column) -> Colu
     return F.when(timed_out, "timeout").when(status.between(200, 299), None).otherwise(F.coalesce(said, F.concat(F.lit("HTTP "), status.cast("string"))))
 
 
-def completions_batch(prompts: DataFrame, responder: Callable[[str], str], path: str, partitions: int = 64) -> DataFrame:
-    """One completion for each prompt (job_id, run_number, prompt), written to ``path`` and read back.
-
-    The table is keyed by job and run, so that nothing computed from it asks again;
-    a prompt that fails gives a row with its error.
+def completions_batch(prompts: DataFrame, responder: Callable[[str], str], path: str, shard_prompts: int = 512) -> DataFrame:
+    """One completion for each prompt (job_id, run_number, prompt), kept at ``path`` and read back from there.
+
+    ``path`` is a store of answers.  Prompts that it answers are not asked again; the rest
+    is dealt into shards of about ``shard_prompts``, a task each, and a shard's answers
+    are committed when its task is, whatever becomes of the job (the committer's second
+    algorithm: one file a task, moved into place by a rename).  So a task that dies asks
+    its own shard again and no other, and after a failed job the same call goes on where it
+    stopped.  A prompt that fails gives a row with its error, and counts as answered.
+    Prompts of one job and run are one request; of several texts any one is asked.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,6 +91,12 @@ def completions_batch(prompts: DataFrame, responder: Callable[[str], str], path:
                 rows.append((job, number, raw, 1000 * (time.perf_counter() - began), error))
             yield pd.DataFrame(rows, columns=["job_id", "run_number", "raw", "elapsed_ms", "error"])
 
-    asked = prompts.select("job_id", "run_number", "prompt").repartition(partitions, "job_id", "run_number")
-    asked.mapInPandas(run, COMPLETIONS).write.mode("errorifexists").parquet(path)
-    return prompts.sparkSession.read.schema(COMPLETIONS).parquet(path)
+    spark, keys = prompts.sparkSession, ["job_id", "run_number"]
+    spark.createDataFrame([], COMPLETIONS).write.mode("ignore").parquet(path)
+    left = prompts.select(*keys, "prompt").join(spark.read.schema(COMPLETIONS).parquet(path).select(*keys), keys, "left_anti").dropDuplicates(keys)
+    n = left.count()
+    if n:
+        # a fixed number of partitions is not merged at run time, so that a task is a shard
+        shards = left.repartition(-(-n // shard_prompts), *keys)
+        shards.mapInPandas(run, COMPLETIONS).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return spark.read.schema(COMPLETIONS).parquet(path)

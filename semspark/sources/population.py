@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semspark.functions import text as X
 
@@ -16,13 +17,17 @@ def population_scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode("individuals").alias("position", "i")).select("position", "i.*")
 
 
-def complete(row: str = "") -> Column:
-    """Whether id, own vector, best and leader are all there and none is blank."""
-    names = ["id", *PARTS, *(f"pbest.{p}" for p in PARTS), *(f"lider.{p}" for p in PARTS)]
-    out = F.lit(True)
-    for n in names:
-        out = out & (F.coalesce(X.js_trim(F.col(row + n)), F.lit("")) != "")
-    return out
+FIELDS = ("id", *PARTS, *(f"pbest.{p}" for p in PARTS), *(f"lider.{p}" for p in PARTS))
+
+
+def first_bad() -> Column:
+    """The first field that is missing or blank, or null: id, own vector, best and leader must all be there."""
+    return F.coalesce(*(F.when(F.coalesce(X.js_trim(F.col(n)), F.lit("")) == "", n) for n in FIELDS))
+
+
+def complete() -> Column:
+    """Whether no field is missing or blank."""
+    return first_bad().isNull()
 
 
 def population_check(individuals: DataFrame) -> DataFrame:
@@ -41,6 +46,17 @@ def population_validate(individuals: DataFrame, strict: bool = True) -> DataFram
     return out.crossJoin(F.broadcast(check.select(F.coalesce(bad.cast("string"), F.lit("")).alias("_checked")))).where("_checked = ''").drop("_checked")
 
 
+def population_quarantine(individuals: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected), parted in one pass over the population and written below ``path``.
+
+    A rejected individual bears the first bad field and its position in the file, from 1.
+    """
+    rows = individuals.withColumn("bad_field", first_bad()).withColumn("file_position", F.when(F.col("bad_field").isNotNull(), F.col("position") + 1))
+    rows.withColumn("kept", F.col("bad_field").isNull()).write.mode("overwrite").partitionBy("kept").parquet(path)
+    back = individuals.sparkSession.read.schema(T.StructType([*rows.schema, T.StructField("kept", T.BooleanType())])).parquet(path)
+    return back.where("kept").select(*individuals.columns), back.where("NOT kept").drop("kept")
+
+
 def population_head(individuals: DataFrame, n: int) -> DataFrame:
     """The first ``n`` in the order of the file."""
     return individuals.orderBy("position").limit(n)

@@ -1,4 +1,8 @@
-"""Completions as a stream: parsed and labelled as they arrive, summarised as they add up."""
+"""Completions as a stream: parsed and labelled as they arrive, scored and summarised as they add up.
+
+Every sink here is keyed by the batch's epoch and replaces that epoch's own output, so
+that a batch that is run again after a failure neither loses nor doubles anything.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from semspark.functions import text as X
 from semspark.operators import embedding as E
 from semspark.operators import labels as L
+from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
 from semspark.sources.sinks import shared_path
 
@@ -20,7 +25,8 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of the conversations table, read as a stream of files."""
     rows = spark.readStream.schema(CONVERSATIONS).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     stream = rows.parquet(shared_path_copy(spark, sf_dir))
-    return stream.where(F.col("role") == "assistant").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("run_number"), F.col("text").alias("raw"))
+    arrived = F.timestamp_seconds(60 * F.col("conv_id") + F.col("turn")).alias("arrived")
+    return stream.where(F.col("role") == "assistant").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("run_number"), F.col("text").alias("raw"), arrived)
 
 
 def shared_path_copy(spark: SparkSession, sf_dir: str) -> str:
@@ -38,16 +44,19 @@ def finished(writer, path: str) -> None:
 
 def candidates(runs: DataFrame, expected: int | None = None) -> DataFrame:
     """Labelled candidates of a stream of runs; duplicates are told inside a row, so that no state is kept."""
-    parsed = runs.withColumn("candidates", X.parse_candidates(F.col("raw"), expected))
-    rows = parsed.select("*", F.posexplode("candidates").alias("ordinal", "candidate"))
-    copies = L.duplicate_count(F.col("candidates"), F.col("candidate"))
-    reason = L.reason_base(F.col("candidate"), copies, F.get("candidates", 0), F.get("candidates", 1))
-    return rows.select("job_id", "run_number", (F.col("ordinal") + 1).cast("long").alias("ordinal"), "candidate", reason.alias("reason"))
+    rows = EV.run_candidates(runs, expected, lead=2)
+    reason = L.reason_base(F.col("candidate"), F.col("copies"), F.get("first", 0), F.get("first", 1))
+    return rows.select("job_id", "run_number", F.col("ordinal").cast("long").alias("ordinal"), "candidate", reason.alias("reason"))
+
 
+def deduplicated(runs: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each run (job_id, run_number, arrived) once, if its repeats arrive within the time ``late`` of it.
 
-def deduplicated(runs: DataFrame) -> DataFrame:
-    """Each run once, however often it arrives."""
-    return runs.dropDuplicates(["job_id", "run_number"])
+    Keys are forgotten when the watermark has passed them, so that state is bounded by
+    what arrives in that time.  A repeat that is later than that may be dropped as late or
+    come through as new; runs themselves are lost only if they are late by more.
+    """
+    return runs.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["job_id", "run_number"])
 
 
 def summary(runs: DataFrame) -> DataFrame:
@@ -56,16 +65,40 @@ def summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("job_id").agg(F.count("*").alias("runs"), F.count_if(n > 0).alias("parsed"), F.sum(n).cast("long").alias("candidates"))
 
 
-def embedded(stream: DataFrame, text: str, path: str, encode: Callable[[DataFrame], DataFrame] = E.hash_encode) -> Callable[[DataFrame, int], None]:
-    """A batch function that adds to the cache at ``path`` the vectors of texts that it lacks."""
+def evaluation(runs: DataFrame, jobs: DataFrame, expected: int | None = None, scale: int | None = None, **limits) -> DataFrame:
+    """The evaluation summary of each job so far, with its best candidate, of a stream of runs (job_id, run_number, raw, error).
+
+    Runs are joined with the stored jobs (current, target, baseline) and scored in their
+    own row; what is kept for a job is one row of sums and its best candidate, of equals
+    that of the first run.  For update mode.
+    """
+    results = EV.run_result(EV.scored(runs, jobs, expected, scale, **limits))
+    best = F.when(F.col("best").isNotNull(), F.struct(F.col("best.similarity").alias("similarity"), (-F.col("run_number")).alias("back"), F.col("best.candidate").alias("candidate")))
+    rows = results.withColumn("_best", best)
+    out = EV.evaluation_summary(rows, "job_id", also=[F.max("_best").alias("_top")])
+    return out.select(*(c for c in out.columns if c != "_top"), F.col("_top.candidate").alias("best"), F.col("_top.similarity").alias("best_similarity"), (-F.col("_top.back")).alias("best_run"))
+
+
+def by_epoch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps each batch's rows under its epoch; run again, it replaces them."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return run
+
+
+def latest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows kept by epoch, the last of each key."""
+    names = [c for c in rows.columns if c not in (*key, "epoch")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*names), "epoch").alias("_last"))
+    return last.select(*key, "_last.*")
+
+
+def embedded(text: str, path: str, model_id: str = "hash", encode: Callable[[DataFrame], DataFrame] = E.hash_encode) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds to the cache at ``path`` the vectors of texts that it lacks, exactly once (see ``embedding.cache_add``)."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        texts = E.text_dedupe(E.text_set((batch, text)))
-        # a batch that is run again finds its own folder and replaces it
-        cached = spark.read.schema("text string").option("recursiveFileLookup", True).parquet(path)
-        encode(E.cache_miss(texts, cached)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    spark = stream.sparkSession
-    spark.createDataFrame([], "text string").write.mode("ignore").parquet(f"{path}/batch=none")
+        E.cache_add(E.text_set((batch, text)), path, model_id, str(epoch), encode)
+
     return run

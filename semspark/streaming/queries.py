@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from semspark.operators import embedding as E
+from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
 from semspark.plans import oracle as O
-from semspark.plans.queries import query
-from semspark.sources.sinks import shared_path
+from semspark.plans.queries import SCALE, SUMMARY, query
+from semspark.sources import population
+from semspark.sources.sinks import shared_path, stored
 from semspark.streaming import completions as S
 
 
@@ -41,6 +44,41 @@ def stream_dedupe_runs(spark, sf):
 def stream_embed(spark, sf):
     path = shared_path(spark, "embedded")
     rows = S.candidates(S.source(spark, sf))
-    S.finished(rows.writeStream.foreachBatch(S.embedded(rows, "candidate", path)), f"{path}-run")
-    back = spark.read.option("recursiveFileLookup", True).schema("text string, embedding array<double>").parquet(path)
+    S.finished(rows.writeStream.foreachBatch(S.embedded("candidate", path)), f"{path}-run")
+    back = E.cached(spark, path)
     return back.select(F.md5("text").alias("text_md5"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("slots"))
+
+
+def _evaluated(spark, sf):
+    """The summary as it stood after each of four batches, one for each number of a job's runs; the stream stops and goes on between them."""
+    jobs, runs = FX.eval_jobs(stored(FX.individuals(spark, sf).where(population.complete()), "people"))
+    jobs = stored(EV.baseline(jobs, SCALE), "jobs")
+    arrivals, path = shared_path(spark, "arrivals"), shared_path(spark, "evaluated")
+    runs = stored(runs, "runs")
+    for number in range(1, 5):
+        runs.where(F.col("run_number") == number).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(runs.schema).parquet(arrivals)
+        rows = S.evaluation(stream, jobs, None, SCALE)
+        S.finished(rows.writeStream.outputMode("update").foreachBatch(S.by_epoch(path)), path)
+    return spark.read.parquet(path)
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({c: F.round(c, 6) for c in names if c in rows.columns})
+
+
+@query(
+    "SELECT s.*, b.best, b.best_similarity, coalesce(b.run_number, 0)::BIGINT AS best_run FROM (SELECT job_id, " + SUMMARY + " FROM job_results GROUP BY job_id) s"
+    " LEFT JOIN (SELECT * FROM job_results WHERE best IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY best_similarity DESC, run_number) = 1) b USING (job_id)"
+)
+def stream_evaluation(spark, sf):
+    """After the last batch it is the evaluation summary, with each job's best candidate."""
+    rows = S.latest(_evaluated(spark, sf), "job_id").withColumn("best_run", F.coalesce("best_run", F.lit(0)).cast("long"))
+    return _rounded(rows, "success_rate", "mean_best_similarity", "mean_best_improvement")
+
+
+@query("SELECT job_id, count(*) OVER w AS runs, count(*) FILTER (error IS NULL) OVER w AS completed, round(100.0 * count(best) OVER w / nullif(count(*) FILTER (error IS NULL) OVER w, 0), 6)::DOUBLE AS success_rate, round(avg(best_similarity) OVER w, 6) AS mean_best_similarity, max(best_similarity) OVER w AS best_similarity FROM job_results WINDOW w AS (PARTITION BY job_id ORDER BY run_number)")
+def stream_cumulative(spark, sf):
+    """After each batch it is the cumulative summary."""
+    rows = _evaluated(spark, sf).select("job_id", "runs", "completed", "success_rate", "mean_best_similarity", "best_similarity")
+    return _rounded(rows, "success_rate", "mean_best_similarity")

@@ -40,7 +40,7 @@ def test_at_most_one_move_a_component_and_later_prompts_see_it(spark):
 def test_runs_without_candidates_stay_in_the_denominator(spark):
     runs = spark.createDataFrame([(1, 1, "", None), (1, 2, None, "timeout")], "job_id long, run_number long, raw string, error string")
     jobs = EV.baseline(spark.createDataFrame([(1, "a b", "c d")], "job_id long, current string, target string"))
-    results = EV.run_result(runs, EV.scored(runs, jobs, 5))
+    results = EV.run_result(EV.scored(runs, jobs, 5))
     s = EV.evaluation_summary(results, "job_id").first()
     assert (s.runs, s.completed, s.success_rate) == (2, 1, 0.0)
     assert {r.run_number: r.status for r in results.collect()} == {1: EV.UNPARSED, 2: None}
@@ -53,7 +53,7 @@ def test_failed_prompts_are_rows(spark):
         return prompt.upper()
 
     prompts = spark.createDataFrame([(1, 1, "a"), (1, 2, "slow")], "job_id long, run_number long, prompt string")
-    got = {r.run_number: (r.raw, r.error) for r in payloads.completions_batch(prompts, responder, shared_path(spark, "c"), 2).collect()}
+    got = {r.run_number: (r.raw, r.error) for r in payloads.completions_batch(prompts, responder, shared_path(spark, "c"), 1).collect()}
     assert got == {1: ("A", None), 2: (None, "timeout")}
 
 

@@ -3,9 +3,11 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from semspark.plans import fixtures
 from semspark.plans import queries as base
 from semspark.streaming import queries as _streaming  # noqa: F401
 
@@ -13,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def canon(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     return v.item() if hasattr(v, "item") else v
 
@@ -31,6 +33,25 @@ def db():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def once(spark):
+    """The passages and the complete individuals are made once for all queries of this module."""
+    kept = {}
+
+    def memo(f):
+        def run(session, sf):
+            if (f, sf) not in kept:
+                kept[f, sf] = f(session, sf)
+            return kept[f, sf]
+
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fixtures, "passages", memo(fixtures.passages))
+        patch.setattr(base, "_people", memo(base._people))
+        yield
+
+
 @pytest.mark.parametrize("name", list(base.QUERIES))
 def test_query_equals_sql(spark, db, name):
     got, want = base.QUERIES[name](spark, SF).toPandas(), db.sql(base.SQL[name]).df()
