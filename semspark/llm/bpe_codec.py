@@ -209,7 +209,7 @@ def coded(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
     """``key``, ``ids`` (each whole text's, little-endian, 32 bits each) and ``bytes`` (what the ids decode to)."""
     spark = docs.sparkSession
     C.bounded_batches(spark, 512)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = C.fixed(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "texts")
     kind = dict(rows.dtypes)["key"]
     long = F.coalesce(F.length("text") > dealt_chars, F.lit(False))
     here = rows.where(~long).mapInArrow(lambda it: _whole(it, ranks, chunk_chars), f"key {kind}, ids binary, bytes binary")

@@ -56,6 +56,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fixed(df: DataFrame, name: str) -> DataFrame:
+    """``df``, such that a row's place in it is the same whenever it is made: as it is if it is read from files row by row, else stored first.
+
+    What comes out of an exchange or a sample lies differently when a lost executor's part is
+    made again, and then no number of a row's place may be relied on.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, name) if re.search("Exchange|Sample|Cache|InMemory", plan) else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of the table bears it."""
     taken = {c.lower() for c in df.columns}

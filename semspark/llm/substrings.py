@@ -1,23 +1,23 @@
 """Substring dedup by level-wise doubling of repeated windows of words.
 
-A window of ``2 * half - 1`` words (13) repeats only if the windows of ``half``
-words (7) inside it do.  Level 1 looks for repeated half windows, and of those
-only at the minimisers: the half window of the smallest hash among those inside a
-window is the same wherever that window stands.  Windows whose minimiser repeats
-alone are extended to the whole length, which is level 2; all others have no
-candidate left and end there.  A window that also starts in a document of a
+A window repeats only if the shorter windows inside it do.  So windows of 4 words that
+several documents have come first; those alone are extended to twice their length
+(less the word in which the two overlap), which is 7, and of these again those that repeat to
+13, the length asked for.  On the way only the minimisers are looked at: the shorter
+window of the smallest hash among those inside a window of full length is the same
+wherever that window stands, so that one hash stands for many windows.  What has no
+repeated minimiser left ends at that level.  A window that also starts in a document of a
 smaller id is removed, that is, the words that it covers.
 
+``longest_repeats`` doubles on from there: a window of 26 words is a candidate where
+those of 13 at its beginning and its middle both repeat, then 52, and so on until no
+candidate survives; all by the places of words, so that it is exact at each length.
+
 Documents are dealt once into groups of bounded size, by their place in the table, and
 every level reads that same exchange.  Between the levels only hashes travel: a
 group sends each distinct hash once, so that a passage in a third of all documents
 is one entry a group, to the bucket that the hash belongs to; the bucket answers
-the groups.  Windows are matched by 96 bits of hash.
-
-``longest_repeats`` goes on beyond.  A text is cut into segments at borders that its
-words set, and that lie the same wherever a passage stands; runs of one segment
-that several documents have are extended to two, those that repeat to four, and so on,
-until no candidate survives.
+the groups.  Whole windows are matched by 96 bits of hash.
 
 Defined results: words are runs of anything but ASCII white space, taken as they
 are; a null or empty text has none, and keeps none; texts of any length take part
@@ -33,15 +33,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semspark.llm import common as C
 
-HALF = 7
-#: A segment begins at a word where the byte lengths of it and the next ones, so weighed, sum up to a multiple of ``EVERY``.
-WEIGHTS, EVERY = (31, 17, 7, 1), 32
+#: Words of a window, and of the windows that the doubling begins with, at most.
+WINDOW, SHORTEST = 13, 4
 GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 512, 2 << 20, 1 << 20
 
 _BUCKETED = "bucket int, home int, payload binary"
@@ -69,12 +68,12 @@ class Words:
         """Words that start a window of ``n`` words in a document with an id."""
         return np.flatnonzero(C.window_starts(self.first, n) & self.known)
 
-    def minimisers(self, half: int, at: np.ndarray) -> np.ndarray:
-        """Smallest hash of a half window inside each window that starts at ``at``."""
-        low = C.window_hashes(self.hashes, half)
-        have = 1
-        while have < half:  # half windows inside one window
-            step = min(have, half - have)
+    def minimisers(self, length: int, n: int, at: np.ndarray) -> np.ndarray:
+        """Smallest hash of a window of ``length`` words inside each window of ``n`` that starts at ``at``."""
+        low = C.window_hashes(self.hashes, length)
+        have, many = 1, n - length + 1
+        while have < many:  # shorter windows inside one of n
+            step = min(have, many - have)
             low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
             have += step
         return low[at]
@@ -111,11 +110,29 @@ def _read(payloads: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds)]
 
 
-def _half_windows(table: pa.Table, half: int, buckets: int) -> pa.Table:
-    """Level 1, a group's part: its distinct minimisers, and whether several of its documents have each."""
+def levels(n: int, shortest: int = SHORTEST) -> list[int]:
+    """Lengths of the doubling up to ``n``: each is twice the one before it, less at most the words in which two of those overlap."""
+    out = [n]
+    while out[0] > shortest:
+        out.insert(0, out[0] // 2 + 1)
+    return out
+
+
+def _alive(words: Words, answers: pa.Table | None, length: int, n: int, at: np.ndarray) -> np.ndarray:
+    """Those of the windows at ``at`` whose minimiser of ``length`` words repeats."""
+    (low,) = _read(answers.column("answer").to_pylist(), "<u8")
+    return at[np.isin(words.minimisers(length, n, at), low)]
+
+
+def _minimisers(table: pa.Table, answers: pa.Table | None, before: int, length: int, n: int, buckets: int) -> pa.Table:
+    """A group's part of a level: the distinct minimisers of the windows that are still candidates, and whether several of its documents have each."""
+    if not table.num_rows or (answers is not None and not answers.num_rows):
+        return _empty_bucketed()
     words = Words(table)
-    at = words.windows(2 * half - 1)
-    low, doc = words.minimisers(half, at), words.doc[at]
+    at = words.windows(n)
+    if answers is not None:
+        at = _alive(words, answers, before, n, at)
+    low, doc = words.minimisers(length, n, at), words.doc[at]
     if not len(low):
         return _empty_bucketed()
     new = _runs(low, doc)
@@ -127,8 +144,8 @@ def _half_windows(table: pa.Table, half: int, buckets: int) -> pa.Table:
     return _emit(table.column("_home")[0].as_py(), buckets, low[head], (doc[head] != doc[tail]).astype("u1"))
 
 
-def _repeated_halves(table: pa.Table) -> pa.Table:
-    """Level 1, a bucket's part: to each group the minimisers that several documents have."""
+def _repeated(table: pa.Table) -> pa.Table:
+    """A bucket's part of a level: to each group the minimisers that several documents have."""
     home_of = table.column("home").to_numpy()
     payloads = table.column("payload").to_pylist()
     low, several = _read(payloads, "<u8", "u1")
@@ -153,15 +170,13 @@ def _empty_bucketed() -> pa.Table:
     return pa.table({"bucket": pa.array([], pa.int32()), "home": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
 
 
-def _whole_windows(table: pa.Table, answers: pa.Table, half: int, buckets: int) -> pa.Table:
-    """Level 2, a group's part: windows whose minimiser repeats, each with the smallest id that has it here."""
+def _whole_windows(table: pa.Table, answers: pa.Table, length: int, n: int, buckets: int) -> pa.Table:
+    """The last level, a group's part: windows whose minimiser repeats, each with the smallest id that has it here."""
     if not table.num_rows or not answers.num_rows:
         return _empty_bucketed()
     words = Words(table)
-    at = words.windows(2 * half - 1)
-    (alive,) = _read(answers.column("answer").to_pylist(), "<u8")
-    at = at[np.isin(words.minimisers(half, at), alive)]
-    h, check = (x[at] for x in words.whole(2 * half - 1))
+    at = _alive(words, answers, length, n, words.windows(n))
+    h, check = (x[at] for x in words.whole(n))
     check = (check >> np.uint64(32)).astype("<u4")
     order = np.lexsort((check, h))  # stable: documents stay in the order of their ids
     h, check, at = h[order], check[order], at[order]
@@ -172,7 +187,7 @@ def _whole_windows(table: pa.Table, answers: pa.Table, half: int, buckets: int)
 
 
 def _smaller_elsewhere(table: pa.Table) -> pa.Table:
-    """Level 2, a bucket's part: to each group the windows that a smaller id has in another group."""
+    """The last level, a bucket's part: to each group the windows that a smaller id has in another group."""
     home_of = table.column("home").to_numpy()
     payloads = table.column("payload").to_pylist()
     h, check, ids = _read(payloads, "<u8", "<u4", "<i8")
@@ -237,6 +252,7 @@ def _dealt(docs: DataFrame, rows: int, bytes_: int, bucket_bytes: int) -> tuple[
     Columns of the table other than the text are carried as c0, c1 and so on, so that no name can clash.
     """
     names = docs.columns
+    docs = C.fixed(docs, "documents")
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     key, text = key.cast("long"), text.cast("string")
@@ -247,17 +263,35 @@ def _dealt(docs: DataFrame, rows: int, bytes_: int, bucket_bytes: int) -> tuple[
     return flat.select(*own, key.alias("_id"), text.alias("_text"), home.alias("_home")), max(1, (size.bytes or 0) // bucket_bytes)
 
 
-def deduplicated(docs: DataFrame, counts: str = "counts", half: int = HALF, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _with(f, *rest):
+    return lambda table: f(table, *rest)
+
+
+def _with_answers(f, *rest):
+    return lambda table, answers: f(table, answers, *rest)
+
+
+def _candidates(dealt: DataFrame, n: int, buckets: int) -> tuple[DataFrame, int]:
+    """(home, answer) of the last level below ``n``, and that level's length: the minimisers that repeat."""
+    alive, before = None, 0
+    for length in levels(n)[:-1]:
+        if alive is None:
+            sent = dealt.groupBy("_home").applyInArrow(_with(_minimisers, None, 0, length, n, buckets), _BUCKETED)
+        else:
+            sent = dealt.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(_with_answers(_minimisers, before, length, n, buckets), _BUCKETED)
+        alive, before = sent.groupBy("bucket").applyInArrow(_repeated, "home int, answer binary"), length
+    return alive, before
+
+
+def deduplicated(docs: DataFrame, counts: str = "counts", n: int = WINDOW, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``text`` cut, and a struct ``counts`` of n_words, n_removed and kept_sha256.
 
     A text that loses nothing stays as it is; another is its kept words, joined by
     one space.  The struct's name must be free in the table (see ``common.free_name``).
     """
-    n = 2 * half - 1
     dealt, buckets = _dealt(docs, group_rows, group_bytes, bucket_bytes)
-    halves = dealt.groupBy("_home").applyInArrow(lambda t: _half_windows(t, half, buckets), _BUCKETED)
-    alive = halves.groupBy("bucket").applyInArrow(_repeated_halves, "home int, answer binary")
-    wholes = dealt.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(lambda a, b: _whole_windows(a, b, half, buckets), _BUCKETED)
+    alive, length = _candidates(dealt, n, buckets)
+    wholes = dealt.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(lambda a, b: _whole_windows(a, b, length, n, buckets), _BUCKETED)
     repeats = wholes.groupBy("bucket").applyInArrow(_smaller_elsewhere, "home int, answer binary")
     kept = T.StructType([*(f for f in dealt.schema if f.name not in ("_text", "_home")), *(T.StructField(c, T.StringType()) for c in ("_left", "_digest")), *(T.StructField(c, T.LongType()) for c in ("_total", "_removed"))])
     out = dealt.groupBy("_home").cogroup(repeats.groupBy("home")).applyInArrow(lambda a, b: _kept(a, b, n).select(kept.names), kept)
@@ -266,43 +300,106 @@ def deduplicated(docs: DataFrame, counts: str = "counts", half: int = HALF, grou
     return out.select(*(F.col("_left" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)), own.alias(counts))
 
 
-def _segments(batches, every: int):
-    """(row, id, k, h, n) of each whole segment of a text: its number, the hash and the number of its words."""
-    for batch, data, at in C.pieces(batches, "text"):
-        starts, ends, first = C.word_spans(data, at, C.SPACE_WORDS)
-        words, size = C.span_hashes(data, starts, ends), ends - starts
-        four = np.flatnonzero(C.window_starts(first, len(WEIGHTS)))
-        border = four[sum(w * size[four + i] for i, w in enumerate(WEIGHTS)) % every == 0]
-        doc = np.searchsorted(first, border, "right") - 1
-        whole = np.flatnonzero(doc[1:] == doc[:-1])
-        a, b, d = border[whole], border[whole + 1], doc[whole]
-        mixed = C.mix(words.copy())
-        plain = np.append(np.uint64(0), np.cumsum(mixed))
-        placed = np.append(np.uint64(0), np.cumsum(mixed * np.arange(1, len(mixed) + 1, dtype=np.uint64)))
-        h = C.mix((placed[b] - placed[a]) - a.astype(np.uint64) * (plain[b] - plain[a]))  # words weighed by their place in the segment
-        k = np.arange(len(d)) - np.searchsorted(d, d)
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(d)), batch.column("id").take(pa.array(d)), pa.array(k, pa.int64()), pa.array(h.view(np.int64)), pa.array(b - a, pa.int64())], ["row", "id", "k", "h", "n"])
-
-
-def longest_repeats(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """(row, id, longest): words of the longest run of 1, 2, 4, ... segments that a document shares with one of another id.
-
-    ``row`` is ``row_key()``; documents that share no segment have no row.
+def _doubled(words: Words, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash of each window of ``length`` words, n times a power of two: made of its halves' again and again."""
+    h, check = words.whole(n)
+    while n < length:
+        h, check = (C.window_hashes(np.stack([x[:-n], x[n:]], 1).ravel(), 2)[::2] if len(x) > n else x[:0] for x in (h, check))
+        n *= 2
+    return h, check
+
+
+def _alive_windows(words: Words, answers: pa.Table, length: int, n: int) -> np.ndarray:
+    """True at each word that starts a window of ``length`` words that several ids have."""
+    out = np.zeros(len(words.hashes) + 1, bool)
+    at = words.windows(length)
+    if len(at) and answers.num_rows:
+        low, check = _read(answers.column("answer").to_pylist(), "<u8", "<u4")
+        order = np.argsort(low, kind="stable")
+        low, check = low[order], check[order]
+        h, own = (x[at] for x in _doubled(words, length, n))
+        k = np.minimum(np.searchsorted(low, h), len(low) - 1)
+        out[at] = (low[k] == h) & (check[k] == (own >> np.uint64(32)).astype("<u4"))
+    return out
+
+
+def _extended(table: pa.Table, answers: pa.Table, length: int, n: int, buckets: int) -> pa.Table:
+    """A group's part of a level beyond ``n``: windows of twice the length both halves of which repeat, with the least and the largest id that has each here."""
+    if not table.num_rows or not answers.num_rows:
+        return _empty_bucketed()
+    words = Words(table)
+    alive = _alive_windows(words, answers, length, n)
+    at = words.windows(2 * length)
+    at = at[alive[at] & alive[np.minimum(at + length, len(alive) - 1)]]
+    return _with_ids(table, words, at, 2 * length, n, buckets)
+
+
+def _with_ids(table: pa.Table, words: Words, at: np.ndarray, length: int, n: int, buckets: int) -> pa.Table:
+    h, check = (x[at] for x in _doubled(words, length, n))
+    check = (check >> np.uint64(32)).astype("<u4")
+    order = np.lexsort((check, h))  # stable: documents stay in the order of their ids
+    h, check, at = h[order], check[order], at[order]
+    head = np.flatnonzero(_runs(h, check)) if len(h) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(h)) - 1 if len(h) else head
+    ids = np.array([x if x is not None else 0 for x in words.ids], np.int64)
+    low, high = (ids[np.searchsorted(words.first, at[k], "right") - 1].astype("<i8") for k in (head, tail))
+    return _emit(table.column("_home")[0].as_py(), buckets, h[head], check[head], low, high)
+
+
+def _of_several_ids(table: pa.Table) -> pa.Table:
+    """A bucket's part of a level beyond: to each group the windows that documents of several ids have."""
+    home_of, payloads = table.column("home").to_numpy(), table.column("payload").to_pylist()
+    h, check, low, high = _read(payloads, "<u8", "<u4", "<i8", "<i8")
+    home = np.repeat(home_of, [len(p) // 28 for p in payloads])
+    order = np.lexsort((check, h))
+    h, check, low, high, home = h[order], check[order], low[order], high[order], home[order]
+    if not len(h):
+        return _answers(home, h, check)
+    head = np.flatnonzero(_runs(h, check))
+    run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    keep = (np.minimum.reduceat(low, head) < np.maximum.reduceat(high, head))[run]
+    return _answers(home[keep], h[keep], check[keep])
+
+
+def _having(table: pa.Table, answers: pa.Table, length: int, n: int) -> pa.Table:
+    """(row, id, longest) of a group's documents in which a window of this length repeats."""
+    found = np.zeros(0, np.int64)
+    if table.num_rows and answers.num_rows:
+        words = Words(table)
+        found = np.unique(np.searchsorted(words.first, np.flatnonzero(_alive_windows(words, answers, length, n)), "right") - 1)
+        table = table.take(pa.array(words.order[found]))
+    else:
+        table = table.slice(0, 0)
+    return pa.table({"row": table.column("c1").cast(pa.int64()), "id": table.column("_id").cast(pa.int64()), "longest": pa.array(np.full(len(found), length, np.int64))})
+
+
+def longest_repeats(docs: DataFrame, n: int = WINDOW, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(row, id, longest): the largest of n, 2n, 4n, ... words such that a window of so many starts in a document and in one of another id.
+
+    ``row`` is ``row_key()``; documents without such a window have no row.
     """
-    C.bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col("doc_id").isNotNull()).select(row_key().alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    level, width, found = rows.mapInArrow(lambda it: _segments(it, every), "row long, id long, k long, h long, n long"), 1, None
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", row_key().alias("row"), F.col("text"))
+    dealt, buckets = _dealt(rows, group_rows, group_bytes, bucket_bytes)
+    low, short = _candidates(dealt, n, buckets)
+    by_home = lambda answers: dealt.groupBy("_home").cogroup(answers.groupBy("home"))
+
+    def first(t, a):
+        if not t.num_rows or not a.num_rows:
+            return _empty_bucketed()
+        words = Words(t)
+        return _with_ids(t, words, _alive(words, a, short, n, words.windows(n)), n, n, buckets)
+
+    sent, length, found = by_home(low).applyInArrow(first, _BUCKETED), n, None
     while True:
-        several = C.stored(level.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h"), "several")
-        alive = C.stored(level.join(several, "h", "left_semi"), "alive")
-        longest = alive.groupBy("row", "id").agg(F.max("n").alias("longest"))
-        found = longest if found is None else found.unionByName(longest)
+        alive = C.stored(sent.groupBy("bucket").applyInArrow(_of_several_ids, "home int, answer binary"), "alive")
         if alive.isEmpty():
-            return found.groupBy("row", "id").agg(F.max("longest").alias("longest"))
-        # runs that repeat are extended to twice their length by the run that follows, if it repeats too
-        follows = Window.partitionBy("row", "id").orderBy("k").rangeBetween(width, width)
-        both = alive.withColumns({"h2": F.first("h").over(follows), "n2": F.first("n").over(follows)}).where("h2 IS NOT NULL")
-        level, width = both.select("row", "id", "k", F.xxhash64("h", "h2").alias("h"), (F.col("n") + F.col("n2")).alias("n")), 2 * width
+            break
+        longest = C.stored(by_home(alive).applyInArrow(_with_answers(_having, length, n), "row long, id long, longest long"), "longest")
+        found = longest if found is None else found.unionByName(longest)
+        sent, length = by_home(alive).applyInArrow(_with_answers(_extended, length, n, buckets), _BUCKETED), 2 * length
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "row long, id long, longest long")
+    return found.groupBy("row", "id").agg(F.max("longest").alias("longest"))
 
 
 def row_key():
@@ -311,11 +408,7 @@ def row_key():
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", row_key().alias("row"))
-    kept = deduplicated(docs).select("doc_id", "row", "counts.*")
-    longest = C.stored(longest_repeats(docs).select("row", F.col("id").alias("_id"), "longest"), "longest")
-    both = kept.join(longest, (kept["row"] == longest["row"]) & (kept["doc_id"] == longest["_id"]), "left")
-    return both.select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest", F.lit(0)).cast("long").alias("longest_repeat"))
+    return deduplicated(C.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "counts.*")
 
 
 OP2_SQL = r"""
@@ -323,17 +416,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
 low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
 gone AS (SELECT DISTINCT r, k FROM (SELECT r, unnest(range(i, i + 13)) AS k FROM win JOIN low USING (s) WHERE doc_id > first)),
-g AS (SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r),
-border AS (SELECT r, doc_id, w, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4 AND doc_id IS NOT NULL)
-           WHERE (31 * strlen(w[i]) + 17 * strlen(w[i + 1]) + 7 * strlen(w[i + 2]) + strlen(w[i + 3])) % 32 = 0),
-seg AS (SELECT r, any_value(doc_id) AS doc_id, list(array_to_string(w[i:j - 1], ' ') ORDER BY i) AS ss, list(j - i ORDER BY i) AS ns FROM border WHERE j IS NOT NULL GROUP BY r),
-run AS (SELECT r, doc_id, list_sum(ns[k:k + p - 1]) AS n, array_to_string(ss[k:k + p - 1], chr(10)) AS s
-        FROM (SELECT r, doc_id, ss, ns, p, unnest(range(1, len(ss) - p + 2)) AS k FROM seg, (SELECT 1 << unnest(range(20)) AS p) WHERE len(ss) >= p)),
-shared AS (SELECT s FROM run GROUP BY s HAVING min(doc_id) < max(doc_id)),
-far AS (SELECT r, max(n)::BIGINT AS longest FROM run SEMI JOIN shared USING (s) GROUP BY r)
+g AS (SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
        sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
-                   ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i)), ' '), '') END) AS kept_sha256,
-       coalesce(longest, 0)::BIGINT AS longest_repeat
-FROM d LEFT JOIN g USING (r) LEFT JOIN far USING (r)
+                   ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i)), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
 """

@@ -62,7 +62,7 @@ def written(recs: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     counts = recs.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > file_records)
     large = C.stored(counts.select("file", F.ceil(F.col("n") / file_records).cast("int").alias("parts")), "parts")
     # the rows of a large file are dealt out by their place in the table, as many may have one id or be equal
-    rows = recs.withColumn("row", F.monotonically_increasing_id()).join(large, "file", "left")
+    rows = C.fixed(recs, "records").withColumn("row", F.monotonically_increasing_id()).join(large, "file", "left")
     rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int"))
     rows = rows.select("file", "part", "page_id", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha"), "bytes")
     order = Window.partitionBy("file", "part").orderBy(F.col("page_id").asc_nulls_first(), "sha")

@@ -83,13 +83,46 @@ def test_substrings_tell_the_texts_of_one_id_apart(spark):
     assert got == sorted(str(x) for x in brute_removed(rows))
 
 
-def test_longest_repeats_double_until_none_survives(spark):
+def brute_longest(rows):
+    out = {}
+    n = 13
+    while True:
+        seen = {}
+        for i, t, *_ in rows:
+            w = words_of(t)
+            for k in range(len(w) - n + 1 if i is not None else 0):
+                seen.setdefault(tuple(w[k : k + n]), set()).add((i, t))
+        several = [x for x in seen.values() if len({i for i, _ in x}) > 1]
+        if not several:
+            return out
+        out |= dict.fromkeys(set().union(*several), n)
+        n *= 2
+
+
+@pytest.mark.parametrize("kind", ["mixed", "one length", "one word"])
+def test_longest_repeats_double_until_none_survives(spark, kind):
+    """Words of one length too, and a text of one word over and over."""
     rng = random.Random(2)
-    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    passage, copy = make(1500), make(9000)
-    rows = [(1, f"{make(50)} {passage} {make(300)}"), (2, f"{make(700)} {passage}"), (3, make(2000)), (4, copy), (6, copy), (None, copy), (7, None), (8, "short text"), (9, passage[:4000])]
-    got = {r.id: r.longest for r in substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {1, 2, 4, 6, 9} and got[1] == got[2] and 750 < got[1] <= 1500 and got[4] == got[6] and 3600 < got[4] <= 9000 and 200 < got[9] < 700
+    word = {"mixed": lambda: f"w{rng.randrange(10**6)}", "one length": lambda: f"{rng.randrange(10**5):05}", "one word": lambda: "a"}[kind]
+    make = lambda n: " ".join(word() for _ in range(n))
+    passage, copy = make(150), make(600)
+    rows = [(1, f"{make(50)} {passage} {make(300)}"), (2, f"{make(70)} {passage}"), (3, make(200)), (4, copy), (6, copy), (None, copy), (7, None), (8, "short text"), (9, passage[:200]), (3, copy[:300]), (10, make(26)), (11, make(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("*", substrings.row_key().alias("key"))
+    texts = {(r.doc_id, r.key): r.text for r in df.collect()}
+    for options in ({}, {"group_rows": 2, "bucket_bytes": 900}):
+        got = {(r.id, texts[r.id, r.row]): r.longest for r in substrings.longest_repeats(df.drop("key"), **options).collect()}
+        assert got == brute_longest(rows)
+
+
+def test_equal_documents_of_words_of_one_length(spark):
+    for n in (3, 5, 6):
+        text = " ".join("abcdefgh"[(k * k + n) % 8] * n + str(k % 7) for k in range(600))
+        got = substrings.longest_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+        assert [r.longest for r in got] == [416, 416]
+
+
+def test_levels_double():
+    assert substrings.levels(13) == [4, 7, 13] and substrings.levels(4) == [4] and all(b <= 2 * a for n in range(1, 60) for a, b in zip(substrings.levels(n), substrings.levels(n)[1:]))
 
 
 def test_shingle_join(docs, none):
