@@ -20,8 +20,8 @@ add up; of a leaf's links only each vector's smallest linked id goes on.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and neither do vectors of different length; a row
-without an id has no links, no component, and is not kept; rows of equal ids share
-the links of all; repeated rows are copies of one another; no rows give no rows;
+without an id has no links, no component, and is not kept; vectors of one id that
+differ have links of their own; repeated rows are copies of one another; no rows give no rows;
 extra columns are ignored.
 """
 
@@ -194,7 +194,7 @@ def _compare(table: pa.Table, cosine: float) -> pa.Table:
 
 
 def _forest(nodes: DataFrame, count: int, trees: int, sample: int, leaf_rows: int, cosine: float, seed: int) -> dict[int, list[Tree]]:
-    drawn = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).select("vector").toLocalIterator()
+    drawn = nodes.orderBy(F.xxhash64("k1", "k2", F.lit(seed)), "k1", "k2").limit(sample).select("vector").toLocalIterator()
     by_length: dict[int, list[np.ndarray]] = {}
     for r in drawn:
         v = np.frombuffer(r.vector, "<f8")
@@ -236,7 +236,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", c
     fine = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & F.coalesce(fine, F.lit(False))
     same = [F.when(fine, F.xxhash64("vector")).alias("k1"), F.when(fine, F.xxhash64(F.lit(1), "vector")).alias("k2")]
     keyed = rows.where(fine).select("id", "vector", *same)
-    nodes = C.stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")).select("k1", "k2", "node", "copies", "vector").mapInArrow(_pack, "k1 long, k2 long, node long, copies long, vector binary"), "nodes")
+    # each distinct vector is a node with a number of its own, as vectors of one id may differ
+    distinct = keyed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    distinct = distinct.select("k1", "k2", "first", F.monotonically_increasing_id().alias("node"), "copies", "vector")
+    nodes = C.stored(distinct.mapInArrow(_pack, "k1 long, k2 long, first long, node long, copies long, vector binary"), "nodes")
     forest = vectors.sparkSession.sparkContext.broadcast(_forest(nodes, nodes.count(), trees, sample, leaf_rows, cosine, seed))
     placed = C.stored(nodes.select("node", "vector").mapInArrow(lambda it: _assign(it, forest.value), "node long, leaf long").distinct(), "placed")
     placed = _refined(placed, nodes, leaf_rows, rounds, cosine)
@@ -252,8 +255,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", c
     found = C.stored(dealt.groupBy("leaf", "left", "right").applyInArrow(lambda t: _compare(t, cosine), "node long, links long, low long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    known = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(whole.withColumnRenamed("id", "node"), "node", "left")
-    known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
+    classes = whole.withColumnRenamed("id", "node")
+    smallest = classes.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("smallest"))
+    known = nodes.select("k1", "k2", "node", "first", "copies").join(links, "node", "left").join(classes.join(smallest, "component"), "node", "left")
+    known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("smallest", "first").alias("component"))
     out = rows.select("id", *same).join(known, ["k1", "k2"], "left")
     whole_id = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), whole_id.alias("component_id"), F.coalesce(F.col("id") == whole_id, F.lit(False)).alias("kept"))
@@ -266,10 +271,10 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair; right for any table, and quadratic.
 OP4_SQL = r"""
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+pairs AS (SELECT a.r AS i, b.r AS j FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
           WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
 n AS (SELECT i, count(*) AS n FROM pairs GROUP BY i),
-reach AS (WITH RECURSIVE w(i, j) AS (SELECT i, i FROM n UNION SELECT w.i, p.j FROM w JOIN pairs p ON w.j = p.i) SELECT i, min(j) AS c FROM w GROUP BY i)
+reach AS (WITH RECURSIVE w(i, j) AS (SELECT i, i FROM n UNION SELECT w.i, p.j FROM w JOIN pairs p ON w.j = p.i) SELECT i, min(vec_id) AS c FROM w JOIN v ON v.r = w.j GROUP BY i)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
-FROM v LEFT JOIN n ON n.i = vec_id LEFT JOIN reach ON reach.i = vec_id
+FROM v LEFT JOIN n ON n.i = v.r LEFT JOIN reach ON reach.i = v.r
 """

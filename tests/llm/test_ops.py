@@ -234,6 +234,28 @@ def test_vector_links(spark, options):
     assert all(got[i].component_id <= i and got[i].kept == (got[i].component_id == i) for i in want)
 
 
+def test_vectors_of_one_id_keep_their_own_links(spark):
+    near = lambda v: [v[0], v[1], v[2] + 0.05]
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    out = vectors.linked(spark.createDataFrame([(5, a), (5, b), (1, near(a)), (9, near(b))], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (9, 1, 5, False)]
+
+
+def test_planted_pairs_are_found_over_many_leaves(spark):
+    """Pairs at the threshold in 64 dimensions, among vectors enough for several leaves and levels of each tree."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(600, 64))
+    aside -= (aside * base[:600]).sum(1, keepdims=True) * base[:600]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, (600, 1))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, cosine * base[:600] + np.sqrt(1 - cosine**2) * aside]))]
+    out = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=128, sample=1024).collect()
+    linked = {r.vec_id: r for r in out if r.n_links}
+    assert len(linked) >= 0.99 * 1200 and all(r.n_links == 1 and r.component_id == k % 3000 for k, r in linked.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (5, 3)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -117,3 +117,24 @@ def test_queries_without_sql(spark):
     for name in ("op1_toxicity", "op5_quality"):
         rows = queries.QUERIES[name](spark, SF).collect()
         assert {r.doc_id for r in rows} == set(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+ODD = [None, "", " \n\t", "one", "word " * 50_000, "x" * 100_000, "a clean text of some words that nobody else has at all", "a clean text of some words that nobody else has at all"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_any_row(spark, stage):
+    """Null and blank texts, a null id, repeated rows, two texts of one id, long texts, clashing names, and no rows: each stage ends, and keeps the columns of its input."""
+    rows = [(k, t, "en", "s", len(t or ""), "clash", 1) for k, t in enumerate(ODD)] + [(None, "no id here", "en", "s", 10, "clash", 1), (3, "one", "en", "s", 3, "clash", 1), (3, "another text of this id", "en", "s", 3, "clash", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, counts string, key int"
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, spark.createDataFrame(rows, schema), SF)
+    got = out.collect()
+    last = stage == len(corpus_pipeline.STAGES) - 1
+    assert last or out.columns == [c.split()[0] for c in schema.split(", ")]
+    ids = [r.doc_id for r in got]
+    if stage == 1:  # one of each id and text, and of equal texts the first
+        assert sorted(map(str, ids)) == sorted(map(str, [0, 3, 3, 4, 5, 6, None, *[k for k in (1, 2) if k in ids]]))
+    elif stage:
+        assert len(got) == len(rows)
+    assert run(spark, spark.createDataFrame([], schema), SF).count() == 0
