@@ -17,7 +17,8 @@ Documents are dealt once into groups of bounded size, by their place in the tabl
 every level reads that same exchange.  Between the levels only hashes travel: a
 group sends each distinct hash once, so that a passage in a third of all documents
 is one entry a group, to the bucket that the hash belongs to; the bucket answers
-the groups.  Whole windows are matched by 96 bits of hash.
+the groups.  Whole windows are matched by 64 bits of two hashes, beside those that the
+bucket has of the first (of buckets there are as many as megabytes of text).
 
 Defined results: words are runs of anything but ASCII white space, taken as they
 are; a null or empty text has none, and keeps none; texts of any length take part
@@ -91,11 +92,15 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def _emit(home: int, buckets: int, hashes: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """Rows (bucket, home, payload) of entries sorted by hash; a payload is its columns one after another."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    bucket = _bucket(hashes, buckets).astype(np.int32)
     cuts = np.append(np.flatnonzero(_runs(bucket)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    rows = [b"".join(c[a:b].tobytes() for c in (hashes, *columns)) for a, b in zip(cuts, cuts[1:])]
+    rows = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, cuts[1:])]
     return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "home": pa.array([home] * len(rows), pa.int32()), "payload": pa.array(rows, pa.binary())})
 
 
@@ -118,10 +123,16 @@ def levels(n: int, shortest: int = SHORTEST) -> list[int]:
     return out
 
 
-def _alive(words: Words, answers: pa.Table | None, length: int, n: int, at: np.ndarray) -> np.ndarray:
+def _places(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 31 more bits of each hash: what a minimiser is known by.  Two that agree in these make a candidate too many, no more."""
+    return (_bucket(hashes, buckets) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFE))
+
+
+def _alive(words: Words, answers: pa.Table, length: int, n: int, at: np.ndarray, buckets: int) -> np.ndarray:
     """Those of the windows at ``at`` whose minimiser of ``length`` words repeats."""
-    (low,) = _read(answers.column("answer").to_pylist(), "<u8")
-    return at[np.isin(words.minimisers(length, n, at), low)]
+    parts = [np.frombuffer(x, "<u4").astype(np.uint64) for x in answers.column("answer").to_pylist()]
+    low = np.concatenate([(x[0] << np.uint64(32)) | x[1:] for x in parts])  # the first of an answer is its bucket
+    return at[np.isin(_places(words.minimisers(length, n, at), buckets), low)]
 
 
 def _minimisers(table: pa.Table, answers: pa.Table | None, before: int, length: int, n: int, buckets: int) -> pa.Table:
@@ -131,7 +142,7 @@ def _minimisers(table: pa.Table, answers: pa.Table | None, before: int, length:
     words = Words(table)
     at = words.windows(n)
     if answers is not None:
-        at = _alive(words, answers, before, n, at)
+        at = _alive(words, answers, before, n, at, buckets)
     low, doc = words.minimisers(length, n, at), words.doc[at]
     if not len(low):
         return _empty_bucketed()
@@ -141,21 +152,53 @@ def _minimisers(table: pa.Table, answers: pa.Table | None, before: int, length:
     low, doc = low[order], doc[order]
     head = np.flatnonzero(_runs(low))
     tail = np.append(head[1:], len(low)) - 1
-    return _emit(table.column("_home")[0].as_py(), buckets, low[head], (doc[head] != doc[tail]).astype("u1"))
+    low, several = low[head], doc[head] != doc[tail]
+    return _emit(table.column("_home")[0].as_py(), buckets, low, ((low & np.uint64(0xFFFFFFFE)) | several.astype(np.uint64)).astype("<u4"))  # the last bit is for several
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """A bucket's part of a level: to each group the minimisers that several documents have."""
     home_of = table.column("home").to_numpy()
     payloads = table.column("payload").to_pylist()
-    low, several = _read(payloads, "<u8", "u1")
-    home = np.repeat(home_of, [len(p) // 9 for p in payloads])
+    (entry,) = _read(payloads, "<u4")
+    low, several = entry & np.uint32(0xFFFFFFFE), entry & np.uint32(1)
+    home = np.repeat(home_of, [len(p) // 4 for p in payloads])
     order = np.argsort(low, kind="stable")
     low, several, home = low[order], several[order], home[order]
     head = _runs(low) if len(low) else np.zeros(0, bool)
     run = np.cumsum(head) - 1
     keep = (np.bincount(run, several) + np.bincount(run) > 1)[run] if len(low) else head
-    return _answers(home[keep], low[keep])
+    return _from_bucket(table, home[keep], low[keep].astype("<u4"))
+
+
+def _from_bucket(table: pa.Table, home: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Answers to the groups, each led by the number of the bucket that gives it."""
+    out = _answers(home, *columns)
+    bucket = np.uint32(table.column("bucket")[0].as_py()).tobytes() if table.num_rows else b""
+    return out.set_column(1, "answer", pa.array([bucket + x for x in out.column("answer").to_pylist()], pa.binary()))
+
+
+def _repeating(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket and 32 bits of the hash, 32 bits of the other hash) of the whole windows in answers."""
+    parts = [np.frombuffer(x, "<u4") for x in answers.column("answer").to_pylist()]
+    half = [len(x) // 2 for x in parts]
+    places = [(np.uint64(x[0]) << np.uint64(32)) | x[1 : 1 + n].astype(np.uint64) for x, n in zip(parts, half)]
+    return np.concatenate(places), np.concatenate([x[1 + n :] for x, n in zip(parts, half)])
+
+
+def _found(h: np.ndarray, check: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
+    """Which windows (64 bits of one hash, 32 of the other) the answers hold."""
+    low, other = _repeating(answers)
+    order = np.lexsort((other, low))
+    low, other = low[order], other[order]
+    mine = (_bucket(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    both = np.concatenate([np.stack([low, other.astype(np.uint64)], 1), np.stack([mine, check.astype(np.uint64)], 1)])
+    order = np.lexsort((both[:, 1], both[:, 0]))  # stable: of equals the answers come first
+    head = np.flatnonzero(_runs(both[order, 0], both[order, 1]))
+    led = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    out = np.zeros(len(both), bool)
+    out[order] = led < len(low)
+    return out[len(low) :]
 
 
 def _answers(home: np.ndarray, hashes: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -175,7 +218,7 @@ def _whole_windows(table: pa.Table, answers: pa.Table, length: int, n: int, buck
     if not table.num_rows or not answers.num_rows:
         return _empty_bucketed()
     words = Words(table)
-    at = _alive(words, answers, length, n, words.windows(n))
+    at = _alive(words, answers, length, n, words.windows(n), buckets)
     h, check = (x[at] for x in words.whole(n))
     check = (check >> np.uint64(32)).astype("<u4")
     order = np.lexsort((check, h))  # stable: documents stay in the order of their ids
@@ -183,35 +226,31 @@ def _whole_windows(table: pa.Table, answers: pa.Table, length: int, n: int, buck
     head = np.flatnonzero(_runs(h, check)) if len(h) else np.zeros(0, np.int64)
     ids = np.array([x if x is not None else 0 for x in words.ids], np.int64)
     row = np.searchsorted(words.first, at[head], "right") - 1
-    return _emit(table.column("_home")[0].as_py(), buckets, h[head], check[head], ids[row].astype("<i8"))
+    return _emit(table.column("_home")[0].as_py(), buckets, h[head], h[head].astype("<u4"), check[head], ids[row].astype("<i8"))
 
 
 def _smaller_elsewhere(table: pa.Table) -> pa.Table:
     """The last level, a bucket's part: to each group the windows that a smaller id has in another group."""
     home_of = table.column("home").to_numpy()
     payloads = table.column("payload").to_pylist()
-    h, check, ids = _read(payloads, "<u8", "<u4", "<i8")
-    home = np.repeat(home_of, [len(p) // 20 for p in payloads])
+    h, check, ids = _read(payloads, "<u4", "<u4", "<i8")
+    home = np.repeat(home_of, [len(p) // 16 for p in payloads])
     order = np.lexsort((ids, check, h))
     h, check, ids, home = h[order], check[order], ids[order], home[order]
     head = _runs(h, check) if len(h) else np.zeros(0, bool)
     smallest = ids[np.flatnonzero(head)][np.cumsum(head) - 1] if len(h) else ids
     keep = ids > smallest
-    return _answers(home[keep], h[keep], check[keep])
+    return _from_bucket(table, home[keep], h[keep], check[keep])
 
 
-def _covered(words: Words, answers: pa.Table | None, n: int) -> np.ndarray:
+def _covered(words: Words, answers: pa.Table | None, n: int, buckets: int) -> np.ndarray:
     """Words of a group that are to go."""
     at = words.windows(n)
     h, check = (x[at] for x in words.whole(n))
     check = (check >> np.uint64(32)).astype("<u4")
     gone = np.zeros(len(at), bool)
-    if answers is not None and answers.num_rows:
-        there, there_check = _read(answers.column("answer").to_pylist(), "<u8", "<u4")
-        order = np.argsort(there, kind="stable")
-        there, there_check = there[order], there_check[order]
-        k = np.minimum(np.searchsorted(there, h), len(there) - 1)
-        gone = (there[k] == h) & (there_check[k] == check)
+    if answers is not None and answers.num_rows and len(at):
+        gone = _found(h, check, answers, buckets)
     order = np.lexsort((check, h))
     if len(order):
         head = _runs(h[order], check[order])
@@ -223,10 +262,10 @@ def _covered(words: Words, answers: pa.Table | None, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _kept(table: pa.Table, answers: pa.Table | None, n: int) -> pa.Table:
+def _kept(table: pa.Table, answers: pa.Table | None, n: int, buckets: int) -> pa.Table:
     """A group's rows with word counts and what is left of the text."""
     words = Words(table)
-    gone = _covered(words, answers, n)
+    gone = _covered(words, answers, n, buckets)
     raw = words.data.tobytes()
     left, total, removed, digest = [], [], [], []
     for i, (a, b) in enumerate(zip(words.at.tolist(), words.at[1:].tolist())):
@@ -294,7 +333,7 @@ def deduplicated(docs: DataFrame, counts: str = "counts", n: int = WINDOW, group
     wholes = dealt.groupBy("_home").cogroup(alive.groupBy("home")).applyInArrow(lambda a, b: _whole_windows(a, b, length, n, buckets), _BUCKETED)
     repeats = wholes.groupBy("bucket").applyInArrow(_smaller_elsewhere, "home int, answer binary")
     kept = T.StructType([*(f for f in dealt.schema if f.name not in ("_text", "_home")), *(T.StructField(c, T.StringType()) for c in ("_left", "_digest")), *(T.StructField(c, T.LongType()) for c in ("_total", "_removed"))])
-    out = dealt.groupBy("_home").cogroup(repeats.groupBy("home")).applyInArrow(lambda a, b: _kept(a, b, n).select(kept.names), kept)
+    out = dealt.groupBy("_home").cogroup(repeats.groupBy("home")).applyInArrow(lambda a, b: _kept(a, b, n, buckets).select(kept.names), kept)
     names = docs.columns
     own = F.struct(F.col("_total").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_digest").alias("kept_sha256"))
     return out.select(*(F.col("_left" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)), own.alias(counts))
@@ -309,17 +348,13 @@ def _doubled(words: Words, length: int, n: int) -> tuple[np.ndarray, np.ndarray]
     return h, check
 
 
-def _alive_windows(words: Words, answers: pa.Table, length: int, n: int) -> np.ndarray:
+def _alive_windows(words: Words, answers: pa.Table, length: int, n: int, buckets: int) -> np.ndarray:
     """True at each word that starts a window of ``length`` words that several ids have."""
     out = np.zeros(len(words.hashes) + 1, bool)
     at = words.windows(length)
     if len(at) and answers.num_rows:
-        low, check = _read(answers.column("answer").to_pylist(), "<u8", "<u4")
-        order = np.argsort(low, kind="stable")
-        low, check = low[order], check[order]
         h, own = (x[at] for x in _doubled(words, length, n))
-        k = np.minimum(np.searchsorted(low, h), len(low) - 1)
-        out[at] = (low[k] == h) & (check[k] == (own >> np.uint64(32)).astype("<u4"))
+        out[at] = _found(h, (own >> np.uint64(32)).astype("<u4"), answers, buckets)
     return out
 
 
@@ -328,7 +363,7 @@ def _extended(table: pa.Table, answers: pa.Table, length: int, n: int, buckets:
     if not table.num_rows or not answers.num_rows:
         return _empty_bucketed()
     words = Words(table)
-    alive = _alive_windows(words, answers, length, n)
+    alive = _alive_windows(words, answers, length, n, buckets)
     at = words.windows(2 * length)
     at = at[alive[at] & alive[np.minimum(at + length, len(alive) - 1)]]
     return _with_ids(table, words, at, 2 * length, n, buckets)
@@ -343,30 +378,30 @@ def _with_ids(table: pa.Table, words: Words, at: np.ndarray, length: int, n: int
     tail = np.append(head[1:], len(h)) - 1 if len(h) else head
     ids = np.array([x if x is not None else 0 for x in words.ids], np.int64)
     low, high = (ids[np.searchsorted(words.first, at[k], "right") - 1].astype("<i8") for k in (head, tail))
-    return _emit(table.column("_home")[0].as_py(), buckets, h[head], check[head], low, high)
+    return _emit(table.column("_home")[0].as_py(), buckets, h[head], h[head].astype("<u4"), check[head], low, high)
 
 
 def _of_several_ids(table: pa.Table) -> pa.Table:
     """A bucket's part of a level beyond: to each group the windows that documents of several ids have."""
     home_of, payloads = table.column("home").to_numpy(), table.column("payload").to_pylist()
-    h, check, low, high = _read(payloads, "<u8", "<u4", "<i8", "<i8")
-    home = np.repeat(home_of, [len(p) // 28 for p in payloads])
+    h, check, low, high = _read(payloads, "<u4", "<u4", "<i8", "<i8")
+    home = np.repeat(home_of, [len(p) // 24 for p in payloads])
     order = np.lexsort((check, h))
     h, check, low, high, home = h[order], check[order], low[order], high[order], home[order]
     if not len(h):
-        return _answers(home, h, check)
+        return _from_bucket(table, home, h, check)
     head = np.flatnonzero(_runs(h, check))
     run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
     keep = (np.minimum.reduceat(low, head) < np.maximum.reduceat(high, head))[run]
-    return _answers(home[keep], h[keep], check[keep])
+    return _from_bucket(table, home[keep], h[keep], check[keep])
 
 
-def _having(table: pa.Table, answers: pa.Table, length: int, n: int) -> pa.Table:
+def _having(table: pa.Table, answers: pa.Table, length: int, n: int, buckets: int) -> pa.Table:
     """(row, id, longest) of a group's documents in which a window of this length repeats."""
     found = np.zeros(0, np.int64)
     if table.num_rows and answers.num_rows:
         words = Words(table)
-        found = np.unique(np.searchsorted(words.first, np.flatnonzero(_alive_windows(words, answers, length, n)), "right") - 1)
+        found = np.unique(np.searchsorted(words.first, np.flatnonzero(_alive_windows(words, answers, length, n, buckets)), "right") - 1)
         table = table.take(pa.array(words.order[found]))
     else:
         table = table.slice(0, 0)
@@ -387,14 +422,14 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, group_rows: int = GROUP_RO
         if not t.num_rows or not a.num_rows:
             return _empty_bucketed()
         words = Words(t)
-        return _with_ids(t, words, _alive(words, a, short, n, words.windows(n)), n, n, buckets)
+        return _with_ids(t, words, _alive(words, a, short, n, words.windows(n), buckets), n, n, buckets)
 
     sent, length, found = by_home(low).applyInArrow(first, _BUCKETED), n, None
     while True:
         alive = C.stored(sent.groupBy("bucket").applyInArrow(_of_several_ids, "home int, answer binary"), "alive")
         if alive.isEmpty():
             break
-        longest = C.stored(by_home(alive).applyInArrow(_with_answers(_having, length, n), "row long, id long, longest long"), "longest")
+        longest = C.stored(by_home(alive).applyInArrow(_with_answers(_having, length, n, buckets), "row long, id long, longest long"), "longest")
         found = longest if found is None else found.unionByName(longest)
         sent, length = by_home(alive).applyInArrow(_with_answers(_extended, length, n, buckets), _BUCKETED), 2 * length
     if found is None:
