@@ -66,6 +66,18 @@ def fixed(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name) if re.search("Exchange|Sample|Cache|InMemory", plan) else df
 
 
+def once_a_task(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` without rows that repeat the (integer) keys of an earlier row of the same task; what repeats a great deal then goes on once from each task."""
+
+    def first(batches):
+        seen: set = set()
+        for batch in batches:
+            new = [k not in seen and not seen.add(k) for k in zip(*(batch.column(c).to_pylist() for c in keys))]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return df.mapInArrow(first, df.schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of the table bears it."""
     taken = {c.lower() for c in df.columns}

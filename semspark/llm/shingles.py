@@ -294,7 +294,7 @@ def _candidates(nodes: DataFrame, least: float, bucket_rows: int, tries: int) ->
 def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float, length: int, tries: int, block_rows: int) -> DataFrame:
     sizes = C.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "sizes")
     inside = groups.withColumnRenamed("id", "node").join(sizes, "component").join(nodes.select("node", "first.*", "copies"), "node")
-    texts = rows.join(inside, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    texts = C.once_a_task(rows, ["id", "mark"]).join(inside, ["id", "mark"]).dropDuplicates(["id", "mark"])
     whole = texts.select("node", "copies", "component", "blocks", "text").mapInArrow(lambda it: _shingled(it, shingle), "node long, copies long, component long, blocks int, set binary")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -305,6 +305,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
 
 def _answered(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, depth: int = DEPTH, floor: int = FLOOR, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Each row's set digest; and of each distinct set its links and the first (id and mark) of its class."""
+    C.bounded_batches(rows.sparkSession)
     sketched, nodes = _sketches(rows, shingle, tries, depth, floor)
     edges = _candidates(nodes, similarity - SLACK, bucket_rows, tries)
     kinds = edges.groupBy("length", "agree").agg(F.count("*").alias("n")).collect()  # as many rows as there are lengths and agreements
@@ -344,8 +345,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     stay = known.select("first.*").unionByName(bare).distinct()
     others = [c for c in docs.columns if c not in (key, text)]
     order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), order.alias("order"), F.struct(*docs.columns).alias("row"))
-    chosen = rows.join(stay, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", "order").alias("row"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), order.cast("long").alias("order"), F.struct(*docs.columns).alias("row"))
+    same = ["id", "mark", "order"]
+    best = rows.join(stay, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min("order").alias("order"))
+    chosen = C.once_a_task(rows.where("id IS NOT NULL"), same).join(best, same, "left_semi").dropDuplicates(same)
     return chosen.select("row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
