@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 # The white space that trimming and word splitting go by.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
+# The same characters as a list, for what trims by characters and so looks at a text's edges only.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Anything else.  Letters are told by one range, not by a test for each kind of space.
+_DARK = rf"(?:[!-~]|[^{SPACE[1:-1]}])"
+
 # What is taken off a line to get at its candidate, one after another.
 # Repeats are possessive, and a run at the end is tried from its first place only, so
 # that a pattern takes time in proportion to the text whatever runs it holds.
@@ -23,15 +28,21 @@ _TEMPLATE = rf"""(?s)^{SPACE}*+[A-Za-z_][A-Za-z0-9_]*+{SPACE}*+={SPACE}*+(["']{{
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is missing or has nothing but white space; decided at its first other character."""
+    return ~F.coalesce(F.rlike(text, F.lit(_DARK)), F.lit(False))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}++"), lambda w: w != "")
+    """The runs of other characters; every space is first made a plain one, for splitting at a single character needs no pattern."""
+    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(f"{_DARK}++"))
 
 
 def lower_fold(text: Column) -> Column:
@@ -44,7 +55,7 @@ def ascii_upper(text: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Without code fences, wherever they stand."""
-    return js_trim(F.regexp_replace(F.regexp_replace(text, r"```[A-Za-z]*\n?", ""), "```", ""))
+    return js_trim(F.replace(F.regexp_replace(text, r"```[A-Za-z]*\n?", ""), F.lit("```"), F.lit("")))
 
 
 def split_lines(text: Column) -> Column:

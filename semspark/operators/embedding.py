@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,22 +62,6 @@ def _bucket(token: Column) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
 
 
-def slots(text: Column) -> Column:
-    """Hash slots of a text's lower-cased tokens, sorted, one for each token."""
-    return F.sort_array(F.transform(X.words(F.lower(text)), _bucket))
-
-
-def slot_norm(sorted_slots: Column) -> Column:
-    """Length of the vector of slot counts: the k-th of a run of equal slots adds 2k - 1 to its square."""
-
-    def step(s: Column, b: Column) -> Column:
-        k = F.when(s["slot"] == b, s["k"] + 1).otherwise(1)
-        return F.struct(b.alias("slot"), k.alias("k"), (s["sum"] + 2 * k.cast("double") - 1).alias("sum"))
-
-    none = F.struct(F.lit(-1).alias("slot"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"))
-    return F.aggregate(sorted_slots, none, step, lambda s: F.sqrt(s["sum"]))
-
-
 def slot_counts(text: Column) -> Column:
     """(slot, n) of a text, in the order of slots: equal tokens are counted as runs of the sorted ones, and each distinct one is digested once."""
     one = lambda v, at, n: F.struct(_bucket(F.get(v, at)).alias("slot"), n.cast("double").alias("n"))
@@ -81,21 +70,44 @@ def slot_counts(text: Column) -> Column:
     return A.runs(F.sort_array(tokens), lambda e: e["slot"], lambda v, at, n: F.struct(F.get(v, at)["slot"].alias("slot"), total(v, at, n).alias("n")))
 
 
-def hashed(text: Column) -> Column:
-    """A text's hash vector as (slots, counts by slot, norm), made in the row."""
+_TOKEN = re.compile(f"[^{X.SPACE[1:-1]}]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _slot(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
 
-    def of(some: Column) -> Column:
-        counts = slot_counts(text)
-        by_slot = A.let(counts, lambda c: F.map_from_arrays(F.transform(c, lambda e: e["slot"]), F.transform(c, lambda e: e["n"])))
-        return F.struct(some.alias("slots"), by_slot.alias("counts"), slot_norm(some).alias("norm"))
 
-    return A.let(slots(text), of)
+def sparse(lowered: str) -> tuple[dict[int, int], float, int]:
+    """A lower-cased text's slots with their counts, the length of that vector, and the number of tokens."""
+    counts: dict[int, int] = {}
+    tokens = _TOKEN.findall(lowered)
+    for token in tokens:
+        k = _slot(token)
+        counts[k] = counts.get(k, 0) + 1
+    return counts, math.sqrt(sum(n * n for n in counts.values())), len(tokens)
 
 
-def hash_similarity(some: Column, other: Column) -> Column:
-    """Cosine of the hash vectors of a text, given by its slots, and of a ``hashed`` one; null where either has no token."""
-    product = F.aggregate(some, F.lit(0.0), lambda s, b: s + F.coalesce(F.element_at(other["counts"], b), F.lit(0.0)))
-    return A.let(F.struct(product.alias("p"), slot_norm(some).alias("n")), lambda x: V.cosine_of(x["p"], x["n"], other["norm"], strict=False))
+def sparse_cosine(a: tuple, b: tuple) -> float | None:
+    """Cosine of two ``sparse`` vectors within [-1, 1]; null where either has no token."""
+    length, other = a[1] * b[1], b[0]
+    return min(1.0, max(-1.0, sum(n * other.get(k, 0) for k, n in a[0].items()) / length)) if length else None
+
+
+def _cosines(texts: pa.Array, anchors: pa.Array) -> pa.Array:
+    """Of each row's texts the cosines to its anchor."""
+    rows = zip(texts.to_pylist(), anchors.to_pylist())
+    aimed = ((some, sparse((anchor or "").lower())) for some, anchor in rows)
+    return pa.array([None if some is None else [sparse_cosine(sparse((t or "").lower()), aim) for t in some] for some, aim in aimed], pa.list_(pa.float64()))
+
+
+def hash_similarities(texts: Column, anchor: Column) -> Column:
+    """Cosines of the hash vectors of an array of texts to that of one text, made in the row.
+
+    The arithmetic over the few tokens is a loop in the task, as array functions take
+    more than ten times as long for the same.
+    """
+    return F.arrow_udf(_cosines, "array<double>")(F.transform(texts, F.make_valid_utf8), F.make_valid_utf8(anchor))
 
 
 def hash_encode(texts: DataFrame) -> DataFrame:
@@ -120,9 +132,6 @@ def hash_encode(texts: DataFrame) -> DataFrame:
 
 def hash_model() -> Callable[[list[str]], list[list[float]]]:
     """A model in numpy that gives what ``hash_encode`` gives; a stand-in for a caller's own."""
-    import hashlib
-    import re
-
     import numpy as np
 
     blank, known = re.compile(X.SPACE + "+"), {}

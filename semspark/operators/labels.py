@@ -25,8 +25,8 @@ def counted(candidates: Column) -> Column:
 
 
 def reason_base(candidate: Column, copies: Column, current: Column, target: Column | None, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:
-    n, low = X.word_count(candidate), F.lower(candidate)
-    out = F.when((n < min_words) | (n > max_words), "invalid_length").when(low == F.lower(current), "literal_copy_current")
+    low = F.lower(candidate)
+    out = F.when(A.let(X.word_count(candidate), lambda n: (n < min_words) | (n > max_words)), "invalid_length").when(low == F.lower(current), "literal_copy_current")
     if target is not None:
         out = out.when((F.coalesce(target, F.lit("")) != "") & (low == F.lower(target)), "literal_copy_target")
     return out.when(copies > 1, "duplicate_output").otherwise("valid")

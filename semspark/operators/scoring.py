@@ -16,6 +16,7 @@ from semspark.functions import arrays as A
 from semspark.functions import text as X
 from semspark.operators import embedding as E
 from semspark.operators import labels as L
+from semspark.operators import rows as W
 
 
 def parsed(rows: DataFrame, expected: int | None = None) -> DataFrame:
@@ -36,9 +37,16 @@ def _at(value: Column, scale: int | None) -> Column:
 
 def hash_similarities(rows: DataFrame, anchor: str, scale: int | None = None) -> DataFrame:
     """Parsed rows with ``similarities``: of each candidate's hash vector to the anchor's."""
-    one = lambda c, a: A.let(E.slots(c["candidate"]), lambda s: _at(E.hash_similarity(s, a), scale))
-    each = A.let(E.hashed(F.col(anchor)), lambda a: F.transform("candidates", lambda c: one(c, a)))
-    return rows.withColumn("similarities", F.when(F.size("candidates") > 0, each))
+    texts = F.transform("candidates", lambda c: c["candidate"])
+    rows = rows.withColumn("_all", E.hash_similarities(texts, F.col(anchor)))
+    each = F.transform("_all", lambda s: _at(s, scale))
+    return A.settled(rows, "similarities", F.when(F.size("candidates") > 0, each)).drop("_all")
+
+
+def hash_scored(rows: DataFrame, operator: str, expected: int | None = None, scale: int | None = None, **limits) -> DataFrame:
+    """Rows (raw, current; target and baseline for an influence) with ``scored`` by hash vectors, in one step."""
+    # held by a generator, so that no filter or projection further up asks for it again
+    return A.settled(rows.withColumn("_row", W.scored(operator, expected, scale, **limits)), "scored", F.col("_row")).drop("_row")
 
 
 def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key: str, scale: int | None = None) -> DataFrame:
@@ -52,8 +60,8 @@ def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key
 
 def baseline(rows: DataFrame, scale: int | None = None, name: str = "baseline") -> DataFrame:
     """Rows with the similarity of ``current`` and ``target``, which a candidate has to better."""
-    value = A.let(E.hashed(F.col("target")), lambda t: A.let(E.slots(F.col("current")), lambda s: _at(E.hash_similarity(s, t), scale)))
-    return rows.withColumn(name, value)
+    rows = rows.withColumn("_one", E.hash_similarities(F.array("current"), F.col("target")))
+    return A.settled(rows, name, _at(F.get("_one", F.lit(0)), scale)).drop("_one")
 
 
 def influence_scored(rows: DataFrame, scale: int | None = None, **limits) -> DataFrame:

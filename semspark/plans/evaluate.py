@@ -47,9 +47,13 @@ def scored(runs: DataFrame, jobs: DataFrame, expected: int | None = None, scale:
     A failed run has no candidates.  By hash vectors, or by ``vectors`` (text,
     embedding, norm) of a model, which must have all candidates and targets.
     """
-    rows = S.parsed(runs.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw"))).join(jobs, "job_id"), expected)
-    rows = S.hash_similarities(rows, "target", scale) if vectors is None else S.attached_similarities(rows, "target", vectors, "job_id", "run_number", scale=scale)
-    return S.influence_scored(rows, scale, **limits).select("job_id", "run_number", "error", "scored")
+    rows = runs.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw"))).join(jobs, "job_id")
+    if vectors is None:
+        rows = S.hash_scored(rows, "influence", expected, scale, **limits)
+    else:
+        rows = S.attached_similarities(S.parsed(rows, expected), "target", vectors, "job_id", "run_number", scale=scale)
+        rows = S.influence_scored(rows, scale, **limits)
+    return rows.select("job_id", "run_number", "error", "scored")
 
 
 def candidates(runs: DataFrame) -> DataFrame:

@@ -39,32 +39,34 @@ PASSAGE = 15
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, part, position, lang, n, own): every fifteen words of every whole text as role, topic and action; the short rest of a text too.
+    """(doc_id, lang, n, parts): every fifteen words of every whole text as role, topic and action, in an array; the short rest of a text too.
 
-    ``position`` numbers them all, by document and part.  Written once: texts are split
-    once, whoever reads the passages.
+    Written once: texts are split once, whoever reads the passages.  Words are taken by
+    their places, as a slice would copy the whole array for each passage.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words(F.col("text")).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id").select("doc_id", "lang", X.words(F.col("text")).alias("w"))
     parts = F.greatest(F.lit(1), F.ceil(F.size("w") / PASSAGE)).cast("int")
-    slot = lambda k, i: F.array_join(F.slice("w", PASSAGE * k + 5 * i + 1, 5), " ")
+    slot = lambda k, i: F.when(F.col("w").isNotNull(), F.concat_ws(" ", *(F.get("w", PASSAGE * k + 5 * i + j) for j in range(5))))
     own = lambda k: F.struct(slot(k, 0).alias("rol"), slot(k, 1).alias("topico"), slot(k, 2).alias("accion"))
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("part"), own(k).alias("own")))
-    rows = stored(docs.select("doc_id", "lang", F.size("w").alias("n"), F.inline(each)), "passages")
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("parts"))
-    before = R.carried(counts.withColumn("upto", F.col("parts")), (), "doc_id", {"upto": "sum"}).select("doc_id", (F.col("upto") - F.col("parts")).alias("before"))
-    return rows.join(before, "doc_id").select("doc_id", "part", (F.col("before") + F.col("part")).alias("position"), "lang", "n", "own")
+    return stored(docs.select("doc_id", "lang", F.size("w").alias("n"), F.transform(F.sequence(F.lit(0), parts - 1), own).alias("parts")), "passages")
 
 
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage as an individual; the same part of the next document is its best, the first passage of the language's first good document its leader."""
-    rows = passages(spark, sf_dir)
+    """Every passage as an individual; the same part of the next document is its best, the first passage of the language's first good document its leader.
+
+    ``position`` numbers them all, by document and part.  Documents meet, not passages.
+    """
+    docs = passages(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    first = rows.where((F.col("part") == 0) & (F.col("n") >= PASSAGE))
-    leaders = first.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by("own", "doc_id").alias("lider"))
-    best = rows.select((F.col("doc_id") - 1).alias("doc_id"), "part", F.col("own").alias("pbest"))
-    rows = rows.join(best, ["doc_id", "part"], "left").join(leaders, "lang", "left")
+    leaders = docs.where(F.col("n") >= PASSAGE).join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by(F.get("parts", F.lit(0)), "doc_id").alias("lider"))
+    counts = docs.groupBy("doc_id").agg(F.sum(F.size("parts")).alias("count"))
+    before = R.carried(counts.withColumn("upto", F.col("count")), (), "doc_id", {"upto": "sum"}).select("doc_id", (F.col("upto") - F.col("count")).alias("before"))
+    best = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("parts").alias("bests"))
+    rows = docs.join(before, "doc_id").join(best, "doc_id", "left").join(leaders, "lang", "left")
+    each = F.transform("parts", lambda own, k: F.struct(k.alias("part"), own.alias("own"), F.get("bests", k).alias("pbest")))
+    rows = rows.select("doc_id", "before", "lider", F.inline(each))
     name = F.concat_ws("-", F.lit("ind"), F.col("doc_id").cast("string"), F.col("part").cast("string"))
-    return rows.select("position", name.alias("id"), "own.*", "pbest", "lider", "doc_id", "part")
+    return rows.select((F.col("before") + F.col("part")).alias("position"), name.alias("id"), "own.*", "pbest", "lider", "doc_id", "part")
 
 
 def _wrapped(lines: list[Column], place: Column) -> Column:

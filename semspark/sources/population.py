@@ -22,7 +22,7 @@ FIELDS = ("id", *PARTS, *(f"pbest.{p}" for p in PARTS), *(f"lider.{p}" for p in
 
 def first_bad() -> Column:
     """The first field that is missing or blank, or null: id, own vector, best and leader must all be there."""
-    return F.coalesce(*(F.when(F.coalesce(X.js_trim(F.col(n)), F.lit("")) == "", n) for n in FIELDS))
+    return F.coalesce(*(F.when(X.blank(F.col(n)), n) for n in FIELDS))
 
 
 def complete() -> Column:
