@@ -9,6 +9,7 @@ from semspark.functions import text as X
 from semspark.functions import vectors as V
 from semspark.operators import ranking as R
 from semspark.operators import scoring as S
+from semspark.sources.sinks import stored
 
 # Fixed value: the status of a run whose completion has no candidate.
 UNPARSED = "sin candidatos parseables"
@@ -89,11 +90,14 @@ def completed_runs(results: DataFrame) -> DataFrame:
 
 
 def cumulative_summary(results: DataFrame, block: int = 4096) -> DataFrame:
-    """The summary of each job after each of its runs, with no task over all runs of a job (see ``ranking.carried``)."""
+    """The summary of each job after each of its runs, with no task over all runs of a job (see ``ranking.carried``).
+
+    What is run up is written first: it is read several times, and comes from scoring.
+    """
     none = F.col("error").isNull().cast("long")
     parts = {"completed": none, "good": F.col("best").isNotNull().cast("long"), "total": F.col("best.similarity"), "top": F.col("best.similarity")}
     rows = results.select("job_id", "run_number", *(c.alias(n) for n, c in parts.items()))
-    rows = R.carried(rows, ("job_id",), "run_number", {"completed": "sum", "good": "sum", "total": "sum", "top": "max"}, block)
+    rows = R.carried(stored(rows, "results"), ("job_id",), "run_number", {"completed": "sum", "good": "sum", "total": "sum", "top": "max"}, block)
     return rows.select("job_id", "run_number", "completed", F.try_divide(100.0 * F.col("good"), F.col("completed")).alias("success_rate"), F.try_divide("total", F.col("good")).alias("mean_best_similarity"), F.col("top").alias("best_similarity"))
 
 

@@ -2,11 +2,13 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
 from semspark.operators import scoring as S
+from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
 
 ANSWERS = [
@@ -42,3 +44,17 @@ def test_passages_of_a_long_text_take_linear_time(spark, tmp_path):
     assert time.time() - began < 60
     assert [r.position for r in rows] == list(range(40_002)) and rows[39_999].accion == "w599995 w599996 w599997 w599998 w599999"
     assert rows[0].pbest.rol == "a b" and rows[1].pbest is None and rows[40_000].lider.rol == "w0 w1 w2 w3 w4" and rows[40_001].rol is None
+
+
+def test_a_cumulative_summary_scores_each_run_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(raw: pa.Array) -> pa.Array:
+        seen.add(len(raw))
+        return raw
+
+    runs = spark.createDataFrame([(1, k, "a b\nc d", None) for k in range(1, 9)], "job_id long, run_number long, raw string, error string")
+    runs = runs.withColumn("raw", F.arrow_udf(watched, "string")("raw"))
+    jobs = EV.baseline(spark.createDataFrame([(1, "a x", "a b c")], "job_id long, current string, target string"), 9)
+    assert EV.cumulative_summary(EV.run_result(EV.scored(runs, jobs, 9, 9)), 3).count() == 8
+    assert seen.value == 8
