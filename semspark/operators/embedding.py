@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,8 +105,8 @@ def _cosines(texts: pa.Array, anchors: pa.Array) -> pa.Array:
 def hash_similarities(texts: Column, anchor: Column) -> Column:
     """Cosines of the hash vectors of an array of texts to that of one text, made in the row.
 
-    The arithmetic over the few tokens is a loop in the task, as array functions take
-    more than ten times as long for the same.
+    The arithmetic over the few tokens is a loop in the task, not one of array functions,
+    which spend their time on each element.
     """
     return F.arrow_udf(_cosines, "array<double>")(F.transform(texts, F.make_valid_utf8), F.make_valid_utf8(anchor))
 
@@ -132,8 +133,6 @@ def hash_encode(texts: DataFrame) -> DataFrame:
 
 def hash_model() -> Callable[[list[str]], list[list[float]]]:
     """A model in numpy that gives what ``hash_encode`` gives; a stand-in for a caller's own."""
-    import numpy as np
-
     blank, known = re.compile(X.SPACE + "+"), {}
 
     def slot(token: str) -> int:
@@ -191,10 +190,10 @@ def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[li
         for pdf in batches:
             some = pdf["text"].tolist()
             for a, b in bounded(some, batch_bytes, batch_texts):
-                yield pd.DataFrame({"text": some[a:b], "embedding": model(some[a:b])})
+                vectors = model(some[a:b])
+                yield pd.DataFrame({"text": some[a:b], "embedding": vectors, "norm": [None if v is None else float(np.linalg.norm(np.asarray(v, float))) for v in vectors]})
 
-    found = texts.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "text string, embedding array<double>").where(F.col("embedding").isNotNull())
-    return found.withColumn("norm", V.norm(F.col("embedding")))
+    return texts.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "text string, embedding array<double>, norm double").where(F.col("embedding").isNotNull())
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
@@ -217,9 +216,26 @@ def attach(rows: DataFrame, vectors: DataFrame, text: str, prefix: str) -> DataF
     return mine.join(found, (F.col("_mine") == F.col("_digest")) & same, "left").drop("_mine", "_digest", "_text")
 
 
+def _products(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Dot products of the vectors of two columns, a batch at once; null where either is."""
+    there = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
+    x, y = (v.filter(pa.array(there)) for v in (a, b))
+    n, m = (np.asarray(v.value_lengths()) for v in (x, y))
+    if (n != m).any():
+        raise ValueError("vectors differ in length")
+    p = x.flatten().to_numpy(zero_copy_only=False) * y.flatten().to_numpy(zero_copy_only=False)
+    out = np.full(len(a), np.nan)
+    if len(n) and (n == n[0]).all():
+        out[there] = p.reshape(len(n), n[0]).sum(axis=1)
+    else:
+        out[there] = [some.sum() for some in np.split(p, np.cumsum(n)[:-1])] if len(n) else []
+    return pa.array(out, pa.float64(), mask=~there)
+
+
 def similarity(a: str, b: str, scale: int | None = None) -> Column:
     """Cosine of two attached texts; norms are those of the vectors, reckoned once a text."""
-    value = V.cosine_of(V.dot(F.col(f"{a}_vec"), F.col(f"{b}_vec")), F.col(f"{a}_norm"), F.col(f"{b}_norm"))
+    product = F.arrow_udf(_products, "double")(F.col(f"{a}_vec"), F.col(f"{b}_vec"))
+    value = V.cosine_of(product, F.col(f"{a}_norm"), F.col(f"{b}_norm"))
     return value if scale is None else F.round(value, scale)
 
 

@@ -53,7 +53,8 @@ def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key
     """The same by vectors (text, embedding, norm) of a cache: candidates meet their vectors by digest; ``key`` tells rows apart."""
     some = exploded(rows.select(*key, anchor, "candidates"), "candidates")
     some = E.attach(E.attach(some, vectors, "candidate", "candidate"), vectors, anchor, "anchor")
-    each = F.array_sort(F.collect_list(F.struct("ordinal", E.similarity("candidate", "anchor", scale).alias("s"))))
+    some = some.select(*key, "ordinal", E.similarity("candidate", "anchor", scale).alias("s"))
+    each = F.array_sort(F.collect_list(F.struct("ordinal", "s")))
     found = some.groupBy(*key).agg(F.transform(each, lambda e: e["s"]).alias("similarities"))
     return rows.join(found, list(key), "left")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semspark.functions import text as X
+from semspark.operators import embedding as E
 from semspark.operators import scoring as S
 from semspark.plans import evaluate as EV
 from semspark.plans import fixtures as FX
@@ -58,3 +59,9 @@ def test_a_cumulative_summary_scores_each_run_once(spark):
     jobs = EV.baseline(spark.createDataFrame([(1, "a x", "a b c")], "job_id long, current string, target string"), 9)
     assert EV.cumulative_summary(EV.run_result(EV.scored(runs, jobs, 9, 9)), 3).count() == 8
     assert seen.value == 8
+
+
+def test_products_by_batches(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [2.0]), (None, [1.0]), ([], [])], "a array<double>, b array<double>")
+    got = rows.select(F.arrow_udf(E._products, "double")("a", "b").alias("p")).collect()
+    assert [r.p for r in got] == [11.0, 2.0, None, 0.0]
