@@ -1,5 +1,7 @@
 """Text functions: trimming, words, templates, and the parsing of completions."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +90,14 @@ def render_template(template: Column, variables: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(known(p), F.element_at(variables, name(p))).otherwise(p)), "")
 
 
+def render_fixed(template: str, variables: dict[str, Column]) -> Column:
+    """What ``render_template`` gives, of a template that is known with the plan: its names are looked for once and not in each row."""
+    whole = re.match(_TEMPLATE.replace(r"\z", r"\Z"), template)
+    parts = re.findall(r"\{[A-Za-z0-9_]+\}|[^{]+|\{", (whole[2] if whole else template).strip(SPACES))
+    known = lambda p: p[0] == "{" and p[1:-1] in variables
+    return F.concat(F.lit(""), *(F.coalesce(variables[p[1:-1]], F.lit("")) if known(p) else F.lit(p) for p in parts))
+
+
 def movement_id(number: Column) -> Column:
     """``mov-`` and the number, of four digits at least."""
     return F.format_string("mov-%04d", number)

@@ -71,9 +71,8 @@ def bind_movement(plans: DataFrame, positions: DataFrame) -> DataFrame:
 def movement_prompt(movements: DataFrame, expected: int = EXPECTED, reference_text: str = "") -> DataFrame:
     """Movements with their ``prompt``; a turbulence has no target to name."""
     names = {"num_candidates": F.lit(str(expected)), "component_name": F.col("prompt_name"), "component_definition": F.col("definition"), "current_component": F.col("current"), "target_component": F.coalesce("target", F.lit("")), "other_components": F.col("other_components"), "reference_text": F.lit(reference_text)}
-    variables = F.create_map(*(x for k, v in names.items() for x in (F.lit(k), v)))
-    template = F.when(F.col("operator") == "influence", catalogue.INFLUENCE_TEMPLATE).otherwise(catalogue.TURBULENCE_TEMPLATE)
-    return movements.withColumn("prompt", X.render_template(template, variables))
+    influence, turbulence = (X.render_fixed(catalogue.TEMPLATES[operator], names) for operator in ("influence", "turbulence"))
+    return movements.withColumn("prompt", F.when(F.col("operator") == "influence", influence).otherwise(turbulence))
 
 
 def score(answered: DataFrame, operator: str, expected: int | None = EXPECTED, scale: int | None = None, vectors: DataFrame | None = None, **limits) -> DataFrame:
@@ -155,13 +154,14 @@ def staged_apply(individuals: DataFrame, operator: str, responder: Responder, sc
     """(applied movements with their stage, final positions) of one pass.
 
     Answers are costly and may differ when asked again, so each stage's are written
-    before anything is computed from them.
+    before anything is computed from them; their prompts, which nothing reads after
+    that, are not.
     """
     plans = stored(plan_movements(individuals, operator, threshold, seed), "plans")
     positions, applied = individuals.select("id", *PARTS), None
     for stage in range(1, len(PARTS) + 1):
         movements = movement_prompt(bind_movement(plans.where(F.col("component_ord") == stage), positions), expected)
-        answered = stored(responder(movements), "answers")
+        answered = stored(responder(movements).drop("prompt"), "answers")
         chosen = selected(score(answered, operator, expected, scale), operator, seed).where(F.col("chosen").isNotNull())
         chosen = stored(chosen.select("number", "individual_id", "component_key", "current", F.col("chosen.candidate").alias("candidate"), F.col("chosen.similarity").alias("similarity"), "other_components").withColumn("stage", F.lit(stage)), "chosen")
         applied = chosen if applied is None else applied.unionByName(chosen)

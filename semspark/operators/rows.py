@@ -1,17 +1,21 @@
 """The scoring of an answer in its own row, as one Arrow function: what ``scoring`` does with columns, by hash vectors.
 
 An answer has a few short lines, on which array functions spend most of their time in
-looking at one character or element each.  Here they are loops in Spark's tasks; the
-rules and fixed values are those of ``text`` and ``labels``.
+looking at one character or element each.  Here the lines of a whole Arrow batch are
+worked on together in Spark's tasks, with a loop in Python only to lower and split
+them; the rules and fixed values are those of ``text`` and ``labels``.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import math
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,60 +27,73 @@ SCORED = "array<struct<ordinal:int,candidate:string,similarity:double,improvemen
 _FIELDS = {"ordinal": pa.int32(), "candidate": pa.string(), "similarity": pa.float64(), "improvement": pa.float64(), "diversity": pa.float64(), "reason": pa.string(), "is_valid": pa.bool_()}
 
 # The patterns of ``text``, in this dialect: digits and letters of ASCII only.
-_FENCE, _LINE = re.compile(r"```[A-Za-z]*\n?"), re.compile(r"\r?\n")
-_OPEN = re.compile(rf"```[A-Za-z]*+{X.SPACE}*+")
-_MARK = re.compile(rf"{X.SPACE}*+(?:[-*]|[0-9]++[).\]:-]){X.SPACE}*+")
-_NAME = re.compile(rf"[Cc][Aa][Nn][Dd][Ii][Dd][Aa][Tt][Ee]{X.SPACE}*+(?:[0-9]++{X.SPACE}*+)?[:.-]{X.SPACE}*+")
+_S = f"[{X.SPACES}]*"
+_OPEN, _MARK, _NAME = rf"^```[A-Za-z]*{_S}", rf"^{_S}(?:[-*]|[0-9]+[).\]:-]){_S}", rf"^{_S}[Cc][Aa][Nn][Dd][Ii][Dd][Aa][Tt][Ee]{_S}(?:[0-9]+{_S})?[:.-]{_S}"
+_REASONS = ("invalid_length", "literal_copy_current", "literal_copy_target", "duplicate_output", "semantic_copy_target", "insufficient_semantic_progress", "too_distant_from_current", "too_close_to_current", "valid")
 
 
-def _normal(line: str) -> str:
-    out = line.strip(X.SPACES)
-    if m := _OPEN.match(out):
-        out = out[m.end() :]
-    out = out.removesuffix("```")
-    for edge in (_MARK, _NAME):
-        if m := edge.match(out):
-            out = out[m.end() :]
-    return out.strip("\"'`").removeprefix("<").removesuffix(">").strip(X.SPACES)
+def _any(texts: pa.Array, part: str) -> bool:
+    return bool(pc.any(pc.match_substring(texts, part)).as_py())
 
 
-def parse(raw: str, most: int | None) -> list[str]:
-    """What ``text.parse_candidates`` gives."""
-    body = _FENCE.sub("", raw).replace("```", "").strip(X.SPACES)
-    return [c for c in map(_normal, _LINE.split(body)) if c][:most]
+def _without(texts: pa.Array, *patterns: str) -> pa.Array:
+    for pattern in patterns:
+        texts = pc.replace_substring_regex(texts, pattern, "")
+    return texts
 
 
-def _rounded(x: float | None, step: Decimal | None) -> float | None:
+def parse(raw: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What ``text.parse_candidates`` gives of all answers of a batch: the candidates, the row of each, and its ordinal there from 1."""
+    if _any(raw, "```"):
+        raw = pc.replace_substring(_without(raw, "```[A-Za-z]*\n?"), "```", "")
+    body = pc.utf8_trim(raw, X.SPACES)
+    lists = pc.split_pattern_regex(body, "\r?\n") if _any(body, "\r") else pc.split_pattern(body, "\n")
+    lines, row = pc.utf8_trim(lists.flatten(), X.SPACES), np.asarray(pc.list_parent_indices(lists))
+    if _any(lines, "```"):
+        lines = _without(lines, _OPEN, "```$")
+    lines = _without(pc.utf8_trim(_without(lines, _MARK, _NAME), "\"'`"), "^<|>$")
+    lines = pc.utf8_trim(lines, X.SPACES)
+    some = np.asarray(pc.not_equal(lines, ""))
+    row = row[some]
+    ordinal = np.arange(1, len(row) + 1) - np.searchsorted(row, row)
+    few = slice(None) if most is None else ordinal <= most
+    return lines.filter(pa.array(some)).filter(pa.array(np.ones(len(row), bool) if most is None else few)), row[few], ordinal[few]
+
+
+@lru_cache(maxsize=1 << 16)
+def _rounded(x: float, scale: int) -> float:
     """As Spark rounds: half up, of the shortest decimal that spells the number."""
-    return x if x is None or step is None else float(Decimal(repr(x)).quantize(step, ROUND_HALF_UP))
-
-
-def _entries(raw: str, current: str | None, target: str | None, against: str, baseline: float | None, most: int | None, step: Decimal | None, influence: bool, limits: tuple[float, float]) -> list[tuple]:
-    """(ordinal, candidate, similarity, improvement, diversity, reason, valid) of each candidate."""
-    found = parse(raw, most)
-    lows = [c.lower() for c in found]
-    copies, aim = Counter(lows), E.sparse((against or "").lower())
-    now, then = current and current.lower(), target and target.lower()
-    out = []
-    for k, (c, low) in enumerate(zip(found, lows), 1):
-        mine = E.sparse(low)
-        s = _rounded(E.sparse_cosine(mine, aim), step)
-        gain = _rounded(s - baseline, step) if influence and s is not None and baseline is not None else None
-        apart = _rounded(1 - s, step) if not influence and s is not None else None
-        if not L.MIN_WORDS <= mine[2] <= L.MAX_WORDS:
-            reason = "invalid_length"
-        elif low == now:
-            reason = "literal_copy_current"
-        elif then and low == then:
-            reason = "literal_copy_target"
-        elif copies[low] > 1:
-            reason = "duplicate_output"
-        elif influence:
-            reason = "semantic_copy_target" if s is not None and s >= limits[0] else "valid" if gain is not None and gain > limits[1] else "insufficient_semantic_progress"
-        else:
-            reason = "valid" if s is None else "too_distant_from_current" if s < limits[0] else "too_close_to_current" if s > limits[1] else "valid"
-        out.append((k, c, s, gain, apart, reason, reason == "valid"))
-    return out
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP))
+
+
+def _at(values: np.ndarray, scale: int | None) -> np.ndarray:
+    """All rounded; short texts give few numbers, each very often."""
+    if scale is None:
+        return values
+    each, at = np.unique(values, return_inverse=True)
+    return np.array([x if math.isnan(x) else _rounded(x, scale) for x in each.tolist()], float)[at]
+
+
+def _vectors(lows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts: the tokens of each, their slots one after another, and the lengths of the vectors."""
+    found = [E.tokens(t) for t in lows]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    slots = np.fromiter(map(E.slot, chain.from_iterable(found)), np.int64, n.sum())
+    keys, times = np.unique(np.repeat(np.arange(len(n)), n) * E.DIMENSIONS + slots, return_counts=True)
+    return n, slots, np.sqrt(np.bincount(keys // E.DIMENSIONS, times * times, len(n)))
+
+
+def _similarities(n: np.ndarray, slots: np.ndarray, length: np.ndarray, of: np.ndarray, aims: list[str]) -> np.ndarray:
+    """Cosine of each text to the aim that ``of`` names, within [-1, 1]; NaN where either has no token."""
+    aim_n, aim_slots, aim_length = _vectors(aims)
+    keys, times = np.unique(np.repeat(np.arange(len(aims)), aim_n) * E.DIMENSIONS + aim_slots, return_counts=True)
+    mine = np.repeat(np.arange(len(n)), n)
+    wanted = of[mine] * E.DIMENSIONS + slots
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    met = np.where(keys[at] == wanted, times[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.clip(np.bincount(mine, met, len(n)) / (length * aim_length[of]), -1.0, 1.0)
 
 
 def scored(operator: str, expected: int | None = None, scale: int | None = None, **limits) -> Column:
@@ -86,20 +103,37 @@ def scored(operator: str, expected: int | None = None, scale: int | None = None,
     if unknown := set(limits) - set(names):
         raise TypeError(f"no such limits: {', '.join(sorted(unknown))}")
     bounds = tuple((names | limits).values())
-    step = None if scale is None else Decimal(1).scaleb(-scale)
 
     def run(raw: pa.Array, current: pa.Array, target: pa.Array, baseline: pa.Array) -> pa.Array:
-        columns, ends, n = [[] for _ in _FIELDS], [0], 0
-        for r, c, t, b in zip(*(x.to_pylist() for x in (raw, current, target, baseline))):
-            if r is not None:
-                for entry in _entries(r, c, t if influence else None, t if influence else c, b, expected, step, influence, bounds):
-                    n += 1
-                    for column, value in zip(columns, entry):
-                        column.append(value)
-            ends.append(n)
-        values = pa.StructArray.from_arrays([pa.array(v, kind) for v, kind in zip(columns, _FIELDS.values())], list(_FIELDS))
-        starts = [at if there else None for there, at in zip(raw.is_valid().to_pylist(), ends)]  # null for a null row
-        return pa.ListArray.from_arrays(pa.array([*starts, n], pa.int32()), values)
+        found, row, ordinal = parse(raw, expected)
+        # the texts that candidates are held against, once for rows that lie side by side and have the same
+        sides, at = [], []
+        for pair in zip(current.to_pylist(), target.to_pylist()):
+            if not sides or sides[-1] != pair:
+                sides.append(pair)
+            at.append(len(sides) - 1)
+        of = np.array(at, np.int64)[row]
+        now, then = (np.array([x and x.lower() for x in xs] or [], object) for xs in (zip(*sides) if sides else ((), ())))
+        lows = [c.lower() for c in found.to_pylist()]
+        low = np.array(lows, object)
+        n, slots, length = _vectors(lows)
+        s = _at(_similarities(n, slots, length, of, [x or "" for x in (then if influence else now)]), scale)
+        none = np.full(len(s), np.nan)
+        gain = _at(s - np.asarray(baseline.cast(pa.float64()).to_numpy(zero_copy_only=False))[row], scale) if influence else none
+        apart = none if influence else _at(1 - s, scale)
+        _, which, times = np.unique(row * (len(lows) + 1) + np.asarray(pa.array(lows, pa.string()).dictionary_encode().indices), return_inverse=True, return_counts=True)
+        rules = [(n < L.MIN_WORDS) | (n > L.MAX_WORDS), low == now[of]]
+        rules += [(then[of].astype(bool) & (low == then[of])) if influence else np.zeros(len(s), bool), times[which] > 1]
+        if influence:
+            rules += [s >= bounds[0], ~(gain > bounds[1]), np.zeros(len(s), bool), np.zeros(len(s), bool)]
+        else:
+            rules += [np.zeros(len(s), bool), np.zeros(len(s), bool), s < bounds[0], s > bounds[1]]
+        reason = np.select([r.astype(bool) for r in rules], range(len(rules)), len(rules))
+        number = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
+        columns = [pa.array(ordinal, pa.int32()), found, number(s), number(gain), number(apart), pa.array(_REASONS, pa.string()).take(pa.array(reason)), pa.array(reason == len(rules))]
+        ends = np.searchsorted(row, np.arange(len(raw) + 1)).astype(np.int32)
+        absent = np.append(~np.asarray(raw.is_valid()), False)  # null for a null row
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=absent), pa.StructArray.from_arrays(columns, list(_FIELDS)))
 
     text = lambda c: F.make_valid_utf8(F.col(c))
     target = text("target") if influence else F.lit(None).cast("string")

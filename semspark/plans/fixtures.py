@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.functions import text as X
+from semspark.operators import embedding as E
 from semspark.operators import ranking as R
 from semspark.sources.sinks import stored
 
@@ -38,17 +41,33 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PASSAGE = 15
 
 
+_PARTS = "array<struct<rol:string,topico:string,accion:string>>"
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """Of each text its passages; a text without words has one of empty strings, a null one of nulls."""
+    slots, ends = [], [0]
+    for text in texts.to_pylist():
+        w = None if text is None else E.tokens(text)
+        for i in range(0, max(1, len(w or ())), PASSAGE):
+            slots += (None, None, None) if w is None else (" ".join(w[j : j + 5]) for j in range(i, i + PASSAGE, 5))
+        ends.append(len(slots) // 3)
+    values = pa.StructArray.from_arrays([pa.array(slots[k::3], pa.string()) for k in range(3)], ["rol", "topico", "accion"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, n, parts): every fifteen words of every whole text as role, topic and action, in an array; the short rest of a text too.
+    """(doc_id, lang, count, parts, first): every fifteen words of every whole text as role, topic and action, in an array; the short rest of a text too.
 
-    Written once: texts are split once, whoever reads the passages.  Words are taken by
-    their places, as a slice would copy the whole array for each passage.
+    ``first`` is the first passage, where it is a whole one.  Written once: texts are
+    split once, whoever reads the passages, and in a loop in the task, as array functions
+    spend their time on each word.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id").select("doc_id", "lang", X.words(F.col("text")).alias("w"))
-    parts = F.greatest(F.lit(1), F.ceil(F.size("w") / PASSAGE)).cast("int")
-    slot = lambda k, i: F.when(F.col("w").isNotNull(), F.concat_ws(" ", *(F.get("w", PASSAGE * k + 5 * i + j) for j in range(5))))
-    own = lambda k: F.struct(slot(k, 0).alias("rol"), slot(k, 1).alias("topico"), slot(k, 2).alias("accion"))
-    return stored(docs.select("doc_id", "lang", F.size("w").alias("n"), F.transform(F.sequence(F.lit(0), parts - 1), own).alias("parts")), "passages")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id")
+    rows = docs.select("doc_id", "lang", F.arrow_udf(_split, _PARTS)(F.make_valid_utf8("text")).alias("parts"))
+    head = F.get("parts", F.lit(0))
+    whole = F.size(F.split(head["accion"], " ")) == 5  # its last word is there
+    return stored(rows.select("doc_id", "lang", F.size("parts").alias("count"), "parts", F.when(whole, head).alias("first")), "passages")
 
 
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,70 +77,78 @@ def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = passages(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    leaders = docs.where(F.col("n") >= PASSAGE).join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by(F.get("parts", F.lit(0)), "doc_id").alias("lider"))
-    counts = docs.groupBy("doc_id").agg(F.sum(F.size("parts")).alias("count"))
+    leaders = docs.where(F.col("first").isNotNull()).select("doc_id", "lang", "first").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.min_by("first", "doc_id").alias("lider"))
+    counts = docs.groupBy("doc_id").agg(F.sum("count").alias("count"))
     before = R.carried(counts.withColumn("upto", F.col("count")), (), "doc_id", {"upto": "sum"}).select("doc_id", (F.col("upto") - F.col("count")).alias("before"))
     best = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("parts").alias("bests"))
-    rows = docs.join(before, "doc_id").join(best, "doc_id", "left").join(leaders, "lang", "left")
-    each = F.transform("parts", lambda own, k: F.struct(k.alias("part"), own.alias("own"), F.get("bests", k).alias("pbest")))
-    rows = rows.select("doc_id", "before", "lider", F.inline(each))
+    rows = docs.select("doc_id", "lang", "parts").join(before, "doc_id").join(best, "doc_id", "left").join(leaders, "lang", "left")
+    rows = rows.select("doc_id", "before", "lider", "bests", F.posexplode("parts").alias("part", "own"))
     name = F.concat_ws("-", F.lit("ind"), F.col("doc_id").cast("string"), F.col("part").cast("string"))
-    return rows.select((F.col("before") + F.col("part")).alias("position"), name.alias("id"), "own.*", "pbest", "lider", "doc_id", "part")
+    return rows.select((F.col("before") + F.col("part")).alias("position"), name.alias("id"), "own.*", F.get("bests", "part").alias("pbest"), "lider", "doc_id", "part")
 
 
-def _wrapped(lines: list[Column], place: Column) -> Column:
+def _wrapped(lines: list[str | None], place: int) -> str:
     """Lines as an answer would bear them: numbered, quoted or named in turn; every fifth answer fenced, every tenth empty."""
-    shown = []
-    for j, line in enumerate(lines, 1):
-        form = (F.concat(F.lit(f"{j}) <"), line, F.lit(">")), F.concat(F.lit('- "'), line, F.lit('"')), F.concat(F.lit(f"Candidate {j}: "), line))[(j - 1) % 3]
-        shown.append(F.when(line.isNotNull(), form))
-    text = F.concat_ws("\n", *shown)
-    text = F.when(place % 5 == 0, F.concat(F.lit("```text\n"), text, F.lit("\n```"))).otherwise(text)
-    return F.when(place % 10 == 9, "").otherwise(text)
+    if place % 10 == 9:
+        return ""
+    forms = (lambda j, line: f"{j}) <{line}>", lambda j, line: f'- "{line}"', lambda j, line: f"Candidate {j}: {line}")
+    text = "\n".join(forms[(j - 1) % 3](j, line) for j, line in enumerate(lines, 1) if line is not None)
+    return f"```text\n{text}\n```" if place % 5 == 0 else text
+
 
+_UPPER = str.maketrans(ascii_lowercase, ascii_uppercase)
 
-def _joined(*parts: Column) -> Column:
-    """Words (null where there is none) joined by spaces."""
-    return F.concat_ws(" ", *parts)
 
+def _mixed(some: list[str], n: int, current: list[str]) -> str:
+    """The first ``n`` of one list's words, and the second list's from there to the fifth; what is not there is left out."""
+    return " ".join(some[:n] + current[n:5])
 
-def influence_lines(c: Column, t: Column, place: Column) -> list[Column]:
+
+def influence_lines(c: list[str], t: list[str], place: int) -> list[str | None]:
     """Answers to an influence, of the words of current (``c``) and target (``t``)."""
-    cw, tw = (lambda i: F.get(c, i)), (lambda i: F.get(t, i))
-    plain = lambda w: F.array_join(w, " ")
-    first = _joined(tw(0), cw(1), cw(2), cw(3), cw(4))
-    lines = [first, _joined(tw(0), tw(1), cw(2), cw(3), cw(4)), _joined(tw(0), tw(1), tw(2), tw(3), cw(4)), plain(F.reverse(t)), plain(F.reverse(c)), X.ascii_upper(plain(c)), plain(t), tw(0)]
-    return [*lines, F.when(place % 2 == 0, X.ascii_upper(first))]
+    first = _mixed(t, 1, c)
+    lines = [first, _mixed(t, 2, c), _mixed(t, 4, c), " ".join(t[::-1]), " ".join(c[::-1]), " ".join(c).translate(_UPPER), " ".join(t), t[0] if t else None]
+    return [*lines, first.translate(_UPPER) if place % 2 == 0 else None]
 
 
-def turbulence_lines(c: Column, o: Column, place: Column) -> list[Column]:
+def turbulence_lines(c: list[str], o: list[str], place: int) -> list[str | None]:
     """Answers to a turbulence, of the words of current (``c``) and of the component that follows (``o``)."""
-    cw, ow = (lambda i: F.get(c, i)), (lambda i: F.get(o, i))
-    plain = lambda w: F.array_join(w, " ")
-    first = _joined(ow(0), cw(1), cw(2), cw(3), cw(4))
-    lines = [first, _joined(ow(0), ow(1), cw(2), cw(3), cw(4)), _joined(ow(0), ow(1), ow(2), cw(3), cw(4)), plain(F.reverse(c)), X.ascii_upper(plain(c)), cw(0)]
-    return [*lines, F.when(place % 2 == 0, X.ascii_upper(first))]
+    first = _mixed(o, 1, c)
+    lines = [first, _mixed(o, 2, c), _mixed(o, 3, c), " ".join(c[::-1]), " ".join(c).translate(_UPPER), c[0] if c else None]
+    return [*lines, first.translate(_UPPER) if place % 2 == 0 else None]
+
+
+def _answered(operator: pa.Array, current: pa.Array, other: pa.Array, place: pa.Array) -> pa.Array:
+    """Each movement's answer; null for one call in seventeen."""
+    out = []
+    for op, c, o, k in zip(*(x.to_pylist() for x in (operator, current, other, place))):
+        lines = influence_lines if op == "influence" else turbulence_lines
+        out.append(None if k % 17 == 3 else _wrapped(lines(E.tokens(c or ""), E.tokens(o or ""), k), k))
+    return pa.array(out, pa.string())
 
 
 def responder(movements: DataFrame) -> DataFrame:
     """Answers made of the words at hand: those of current and target, or of the component that follows in turn; one call in seventeen fails."""
     following = F.when(F.col("component_key") == "rol", F.col("topico")).when(F.col("component_key") == "topico", F.col("accion")).otherwise(F.col("rol"))
-    rows = movements.withColumns({"_c": X.words(F.col("current")), "_o": X.words(F.when(F.col("operator") == "influence", F.col("target")).otherwise(following))})
-    c, o, place = F.col("_c"), F.col("_o"), F.col("position")
-    raw = F.when(F.col("operator") == "influence", _wrapped(influence_lines(c, o, place), place)).otherwise(_wrapped(turbulence_lines(c, o, place), place))
-    error = F.when(place % 17 == 3, "timeout")
-    return rows.withColumn("raw", F.when(error.isNull(), raw)).withColumn("error", error).drop("_c", "_o")
+    other = F.when(F.col("operator") == "influence", F.col("target")).otherwise(following)
+    raw = F.arrow_udf(_answered, "string")("operator", F.make_valid_utf8("current"), F.make_valid_utf8(other), "position")
+    return movements.withColumns({"raw": raw, "error": F.when(F.col("position") % 17 == 3, "timeout")})
+
+
+def _two_answers(current: pa.Array, target: pa.Array) -> pa.Array:
+    """Of each job the eight lines of an influence, in two answers of four."""
+    rows = (influence_lines(E.tokens(c or ""), E.tokens(t or ""), 1) for c, t in zip(current.to_pylist(), target.to_pylist()))
+    return pa.array([["\n".join(x for x in lines[k : k + 4] if x is not None) for k in (0, 4)] for lines in rows], pa.list_(pa.string()))
 
 
 def eval_jobs(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs, runs): each individual moves its role to its best's, in two runs of four lines, one empty and one that timed out."""
     jobs = people.select(F.col("position").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
-    split = jobs.withColumns({"_c": X.words(F.col("current")), "_t": X.words(F.col("target"))})
-    lines = influence_lines(F.col("_c"), F.col("_t"), F.col("job_id"))
+    said = jobs.select("job_id", F.arrow_udf(_two_answers, "array<string>")(F.make_valid_utf8("current"), F.make_valid_utf8("target")).alias("said"))
     none = F.lit(None).cast("string")
-    answers = [(F.concat_ws("\n", *lines[:4]), none), (F.concat_ws("\n", *lines[4:8]), none), (F.lit(""), none), (none, F.lit("timeout"))]
+    answers = [(F.get("said", F.lit(0)), none), (F.get("said", F.lit(1)), none), (F.lit(""), none), (none, F.lit("timeout"))]
     raws = F.array(*(F.struct(F.lit(k).alias("run_number"), raw.alias("raw"), error.alias("error")) for k, (raw, error) in enumerate(answers, 1)))
-    return jobs, split.select("job_id", F.explode(raws).alias("run")).select("job_id", "run.*")
+    return jobs, said.select("job_id", F.explode(raws).alias("run")).select("job_id", "run.*")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
