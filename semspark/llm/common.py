@@ -63,7 +63,8 @@ def fixed(df: DataFrame, name: str) -> DataFrame:
     made again, and then no number of a row's place may be relied on.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return stored(df, name) if re.search("Exchange|Sample|Cache|InMemory", plan) else df
+    # a scan of files names its InMemoryFileIndex, which is no cache
+    return stored(df, name) if re.search("Exchange|Sample|InMemoryTableScan|InMemoryRelation|TableCache", plan) else df
 
 
 def once_a_task(df: DataFrame, keys: list[str]) -> DataFrame:
