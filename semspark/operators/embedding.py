@@ -80,13 +80,23 @@ def slot(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
 
 
+#: Python's own white space is that of ``text.words`` but for these.
+_OTHER = "\ufeff\x85\x1c\x1d\x1e\x1f"
+
+
 def tokens(text: str) -> list[str]:
-    """What ``text.words`` gives.  Python's own white space is the same but for six characters, and texts without them are split by it, which is much faster."""
+    """What ``text.words`` gives.  Texts without the characters that Python tells otherwise are split by it, which is much faster."""
     if "\ufeff" in text or "\x85" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
         return _TOKEN.findall(text)
     return text.split()
 
 
+def splitter(texts: list[str]) -> Callable[[str], list[str]]:
+    """``tokens`` for these texts: the characters are looked for in all of them at once."""
+    every = "\n".join(texts)
+    return tokens if any(c in every for c in _OTHER) else str.split
+
+
 def slots(lowered: str) -> tuple[list[int], float]:
     """The slot of each token of a lower-cased text, and the length of its vector."""
     found = [slot(t) for t in tokens(lowered)]

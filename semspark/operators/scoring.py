@@ -49,6 +49,12 @@ def hash_scored(rows: DataFrame, operator: str, expected: int | None = None, sca
     return A.settled(rows.withColumn("_row", W.scored(operator, expected, scale, **limits)), "scored", F.col("_row")).drop("_row")
 
 
+def hash_results(rows: DataFrame, operator: str, expected: int | None = None, scale: int | None = None, **limits) -> DataFrame:
+    """The same rows with ``candidate_count``, ``valid_count`` and ``best``, which are made with the scores; no array of them comes back."""
+    out = A.settled(rows.withColumn("_row", W.result(operator, expected, scale, **limits)), "_result", F.col("_row")).drop("_row")
+    return out.select(*rows.columns, "_result.*")
+
+
 def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key: str, scale: int | None = None) -> DataFrame:
     """The same by vectors (text, embedding, norm) of a cache: candidates meet their vectors by digest; ``key`` tells rows apart."""
     some = exploded(rows.select(*key, anchor, "candidates"), "candidates")
@@ -61,8 +67,7 @@ def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key
 
 def baseline(rows: DataFrame, scale: int | None = None, name: str = "baseline") -> DataFrame:
     """Rows with the similarity of ``current`` and ``target``, which a candidate has to better."""
-    rows = rows.withColumn("_one", E.hash_similarities(F.array("current"), F.col("target")))
-    return A.settled(rows, name, _at(F.get("_one", F.lit(0)), scale)).drop("_one")
+    return A.settled(rows.withColumn("_one", W.baseline(F.col("current"), F.col("target"), scale)), name, F.col("_one")).drop("_one")
 
 
 def influence_scored(rows: DataFrame, scale: int | None = None, **limits) -> DataFrame:

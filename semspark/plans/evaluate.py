@@ -42,13 +42,19 @@ def run_candidates(runs: DataFrame, expected: int | None = None, lead: int = 0)
     return S.exploded(rows, "candidates", "raw")
 
 
-def scored(runs: DataFrame, jobs: DataFrame, expected: int | None = None, scale: int | None = None, vectors: DataFrame | None = None, **limits) -> DataFrame:
+def _asked(runs: DataFrame, jobs: DataFrame | None) -> DataFrame:
+    """Runs with the texts of their job, which they may bear already; a failed one without an answer."""
+    rows = runs.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw")))
+    return rows if jobs is None else rows.join(jobs, "job_id")
+
+
+def scored(runs: DataFrame, jobs: DataFrame | None, expected: int | None = None, scale: int | None = None, vectors: DataFrame | None = None, **limits) -> DataFrame:
     """Runs (job_id, run_number, raw, error) with ``scored`` against their job's target; ``jobs`` have their baseline.
 
-    A failed run has no candidates.  By hash vectors, or by ``vectors`` (text,
+    Runs that bear their job's current, target and baseline need no ``jobs`` and meet none.  A failed run has no candidates.  By hash vectors, or by ``vectors`` (text,
     embedding, norm) of a model, which must have all candidates and targets.
     """
-    rows = runs.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw"))).join(jobs, "job_id")
+    rows = _asked(runs, jobs)
     if vectors is None:
         rows = S.hash_scored(rows, "influence", expected, scale, **limits)
     else:
@@ -69,6 +75,13 @@ def run_result(runs: DataFrame) -> DataFrame:
     return runs.select("job_id", "run_number", n.alias("candidate_count"), S.valid_count().alias("valid_count"), S.best_valid().alias("best"), status.alias("status"), "error")
 
 
+def results(runs: DataFrame, jobs: DataFrame | None, expected: int | None = None, scale: int | None = None, **limits) -> DataFrame:
+    """What ``run_result`` gives of ``scored`` by hash vectors, in one step: scores are counted and chosen from where they are made."""
+    rows = S.hash_results(_asked(runs, jobs), "influence", expected, scale, **limits)
+    status = F.when(F.col("error").isNull() & (F.col("candidate_count") == 0), UNPARSED)
+    return rows.select("job_id", "run_number", "candidate_count", "valid_count", "best", status.alias("status"), "error")
+
+
 def evaluation_summary(results: DataFrame, *by: str, also: Iterable[Column] = ()) -> DataFrame:
     """Success rate over completed runs, means over the best candidates, and counts; ``also`` names further aggregates."""
     done = F.count_if(F.col("error").isNull())

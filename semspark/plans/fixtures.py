@@ -99,6 +99,10 @@ def _wrapped(lines: list[str | None], place: int) -> str:
 _UPPER = str.maketrans(ascii_lowercase, ascii_uppercase)
 
 
+def _upper(text: str) -> str:
+    return text.upper() if text.isascii() else text.translate(_UPPER)
+
+
 def _mixed(some: list[str], n: int, current: list[str]) -> str:
     """The first ``n`` of one list's words, and the second list's from there to the fifth; what is not there is left out."""
     return " ".join(some[:n] + current[n:5])
@@ -107,15 +111,15 @@ def _mixed(some: list[str], n: int, current: list[str]) -> str:
 def influence_lines(c: list[str], t: list[str], place: int) -> list[str | None]:
     """Answers to an influence, of the words of current (``c``) and target (``t``)."""
     first = _mixed(t, 1, c)
-    lines = [first, _mixed(t, 2, c), _mixed(t, 4, c), " ".join(t[::-1]), " ".join(c[::-1]), " ".join(c).translate(_UPPER), " ".join(t), t[0] if t else None]
-    return [*lines, first.translate(_UPPER) if place % 2 == 0 else None]
+    lines = [first, _mixed(t, 2, c), _mixed(t, 4, c), " ".join(t[::-1]), " ".join(c[::-1]), _upper(" ".join(c)), " ".join(t), t[0] if t else None]
+    return [*lines, _upper(first) if place % 2 == 0 else None]
 
 
 def turbulence_lines(c: list[str], o: list[str], place: int) -> list[str | None]:
     """Answers to a turbulence, of the words of current (``c``) and of the component that follows (``o``)."""
     first = _mixed(o, 1, c)
-    lines = [first, _mixed(o, 2, c), _mixed(o, 3, c), " ".join(c[::-1]), " ".join(c).translate(_UPPER), c[0] if c else None]
-    return [*lines, first.translate(_UPPER) if place % 2 == 0 else None]
+    lines = [first, _mixed(o, 2, c), _mixed(o, 3, c), " ".join(c[::-1]), _upper(" ".join(c)), c[0] if c else None]
+    return [*lines, _upper(first) if place % 2 == 0 else None]
 
 
 def _answered(operator: pa.Array, current: pa.Array, other: pa.Array, place: pa.Array) -> pa.Array:
@@ -141,14 +145,18 @@ def _two_answers(current: pa.Array, target: pa.Array) -> pa.Array:
     return pa.array([["\n".join(x for x in lines[k : k + 4] if x is not None) for k in (0, 4)] for lines in rows], pa.list_(pa.string()))
 
 
-def eval_jobs(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(jobs, runs): each individual moves its role to its best's, in two runs of four lines, one empty and one that timed out."""
-    jobs = people.select(F.col("position").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
-    said = jobs.select("job_id", F.arrow_udf(_two_answers, "array<string>")(F.make_valid_utf8("current"), F.make_valid_utf8("target")).alias("said"))
+def eval_jobs(people: DataFrame) -> DataFrame:
+    """Jobs (job_id, current, target): each individual moves its role to its best's."""
+    return people.select(F.col("position").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
+
+
+def eval_runs(jobs: DataFrame) -> DataFrame:
+    """The runs of each job: two of four lines, one empty and one that timed out.  They are made in the job's row and bear its columns, so that they need not meet it again."""
+    said = jobs.withColumn("said", F.arrow_udf(_two_answers, "array<string>")(F.make_valid_utf8("current"), F.make_valid_utf8("target")))
     none = F.lit(None).cast("string")
     answers = [(F.get("said", F.lit(0)), none), (F.get("said", F.lit(1)), none), (F.lit(""), none), (none, F.lit("timeout"))]
     raws = F.array(*(F.struct(F.lit(k).alias("run_number"), raw.alias("raw"), error.alias("error")) for k, (raw, error) in enumerate(answers, 1)))
-    return jobs, said.select("job_id", F.explode(raws).alias("run")).select("job_id", "run.*")
+    return said.select(*jobs.columns, F.inline(raws))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,26 @@ def test_products_by_batches(spark):
     rows = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [2.0]), (None, [1.0]), ([], [])], "a array<double>, b array<double>")
     got = rows.select(F.arrow_udf(E._products, "double")("a", "b").alias("p")).collect()
     assert [r.p for r in got] == [11.0, 2.0, None, 0.0]
+
+
+@pytest.mark.parametrize("expected", [None, 3])
+def test_results_made_with_the_scores_equal_those_counted_in_them(spark, expected):
+    sides = [("a b", "c d"), ("UNO dos", None), ("", "x y z"), (None, "tres CUATRO"), ("q", "k l m a b e")]
+    rows = [(i, k, r, "timeout" if k == 3 else None, c, t) for i, (c, t) in enumerate(sides) for k, r in enumerate(ANSWERS)]
+    runs = spark.createDataFrame(rows, "job_id long, run_number long, raw string, error string, current string, target string")
+    bearing = EV.baseline(runs, 9)
+    jobs = bearing.select("job_id", "current", "target", "baseline").distinct()
+    want = EV.run_result(EV.scored(runs.drop("current", "target"), jobs, expected, 9))
+    some = [EV.results(bearing, None, expected, 9), EV.results(runs.drop("current", "target"), jobs, expected, 9)]
+    a, b, c = ({(r.job_id, r.run_number): r for r in df.collect()} for df in (want, *some))
+    assert a == b == c and len(a) == len(rows) and any(r.best for r in a.values())
+
+
+def test_runs_bear_their_job_and_meet_it_in_no_join(spark, tmp_path):
+    people = [(k, "a b c d e", ("f g h i j",)) for k in range(20)] + [(20, None, None)]
+    spark.createDataFrame(people, "position long, rol string, pbest struct<rol:string>").write.parquet(f"{tmp_path}/people")
+    jobs = EV.baseline(FX.eval_jobs(spark.read.parquet(f"{tmp_path}/people")), 9)
+    for rows in (EV.results(FX.eval_runs(jobs), None, 9, 9), EV.scored(FX.eval_runs(jobs), None, 9, 9)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert rows.count() == 84
