@@ -8,6 +8,7 @@ other, so a stage is one job over all of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +44,19 @@ def _of(struct: str | None) -> Column:
     return out
 
 
-def plan_movements(individuals: DataFrame, operator: str, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """Components that are to move: those drawn above the threshold, with source, target and number."""
+def plan_movements(individuals: DataFrame, operator: str, threshold: float = THRESHOLD, seed: int = SEED, bearing: bool = False) -> DataFrame:
+    """Components that are to move: those drawn above the threshold, with source, target and number.
+
+    What is drawn is written before it is numbered, which reads it twice; the
+    individuals are read once.  Plans may be ``bearing`` their individual's three
+    components, so that they need not meet it again.
+    """
     drawn = draws(individuals, seed).where(F.col("change_draw") > threshold)
     pick = F.when(F.col("source_draw") < 0.5, "pbest").otherwise("lider") if operator == "influence" else F.lit("turbulence")
     target = F.when(F.col("source") == "pbest", _of("pbest")).when(F.col("source") == "lider", _of("lider"))
     plans = drawn.withColumn("source", pick).withColumn("target", target)
-    plans = plans.select("position", F.col("id").alias("individual_id"), F.lit(operator).alias("operator"), "component_ord", F.col("key").alias("component_key"), "prompt_name", "definition", "source", F.col("change_draw").alias("random_value"), "target")
-    return R.movement_number(plans)
+    plans = plans.select("position", F.col("id").alias("individual_id"), F.lit(operator).alias("operator"), "component_ord", F.col("key").alias("component_key"), "prompt_name", "definition", "source", F.col("change_draw").alias("random_value"), "target", *(PARTS if bearing else ()))
+    return R.movement_number(stored(plans, "drawn"))
 
 
 def other_components(key: Column, position: dict[str, Column]) -> Column:
@@ -59,9 +65,9 @@ def other_components(key: Column, position: dict[str, Column]) -> Column:
     return F.concat_ws("; ", F.transform(F.filter(rows, lambda r: r["key"] != key), lambda r: r["said"]))
 
 
-def bind_movement(plans: DataFrame, positions: DataFrame) -> DataFrame:
-    """Plans with ``current`` and ``other_components`` from the latest positions (id and the three components)."""
-    bound = plans.join(positions.select(F.col("id").alias("individual_id"), *PARTS), "individual_id")
+def bind_movement(plans: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Plans with ``current`` and ``other_components`` from the latest positions (id and the three components), or from the components that they bear."""
+    bound = plans if positions is None else plans.join(positions.select(F.col("id").alias("individual_id"), *PARTS), "individual_id")
     current = None
     for p in PARTS:
         current = F.when(F.col("component_key") == p, F.col(p)) if current is None else current.when(F.col("component_key") == p, F.col(p))
@@ -155,15 +161,16 @@ def staged_apply(individuals: DataFrame, operator: str, responder: Responder, sc
 
     Answers are costly and may differ when asked again, so each stage's are written
     before anything is computed from them; their prompts, which nothing reads after
-    that, are not.
+    that, are not.  Plans bear their individual's components, and of a stage only those
+    meet what the stages before it have chosen; all individuals meet it once, when the
+    final positions are read.
     """
-    plans = stored(plan_movements(individuals, operator, threshold, seed), "plans")
-    positions, applied = individuals.select("id", *PARTS), None
+    plans = stored(plan_movements(individuals, operator, threshold, seed, bearing=True), "plans").withColumnRenamed("individual_id", "id")
+    stages: list[DataFrame] = []
     for stage in range(1, len(PARTS) + 1):
-        movements = movement_prompt(bind_movement(plans.where(F.col("component_ord") == stage), positions), expected)
+        latest = reduce(apply_to_position, stages, plans.where(F.col("component_ord") == stage))
+        movements = movement_prompt(bind_movement(latest.withColumnRenamed("id", "individual_id")), expected)
         answered = stored(responder(movements).drop("prompt"), "answers")
         chosen = selected(score(answered, operator, expected, scale), operator, seed).where(F.col("chosen").isNotNull())
-        chosen = stored(chosen.select("number", "individual_id", "component_key", "current", F.col("chosen.candidate").alias("candidate"), F.col("chosen.similarity").alias("similarity"), "other_components").withColumn("stage", F.lit(stage)), "chosen")
-        applied = chosen if applied is None else applied.unionByName(chosen)
-        positions = stored(apply_to_position(positions, chosen), "positions")
-    return applied, positions
+        stages.append(stored(chosen.select("number", "individual_id", "component_key", "current", F.col("chosen.candidate").alias("candidate"), F.col("chosen.similarity").alias("similarity"), "other_components").withColumn("stage", F.lit(stage)), "chosen"))
+    return reduce(DataFrame.unionByName, stages), reduce(apply_to_position, stages, individuals.select("id", *PARTS))
