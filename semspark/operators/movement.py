@@ -25,6 +25,9 @@ PARTS = ("rol", "topico", "accion")
 # What the result tables say of a movement without a candidate.
 UNPARSED, NO_PROGRESS, OUT_OF_RANGE, FAILED = "sin candidatos parseables", "sin candidato con progreso semántico", "sin candidato en rango de turbulencia", "error de ejecución"
 
+#: What names a movement in the table of its candidates.
+CALLED = ("number", "individual_id", "operator", "component_key", "prompt_name", "source")
+
 #: A responder gives ``raw`` (and may give ``error``) to movements with their prompts.
 Responder = Callable[[DataFrame], DataFrame]
 

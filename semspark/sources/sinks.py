@@ -20,9 +20,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once and read back, which cuts the lineage."""
+    """Written once and read back, which cuts the lineage; tightly packed, as such tables stay until the cluster clears them."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +39,8 @@ def sink_results(tables: dict[str, DataFrame], path: str, by: str = "job_id") ->
     for name, df in tables.items():
         if name not in RESULTS:
             raise ValueError(f"no result table is called {name}")
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/{name}")
+        # a partition that is replaced is there twice until the new one is committed
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(f"{path}/{name}")
         written = df.groupBy(F.col(by).cast("string").alias("part")).agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(name).alias("name"), "part")
         written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name", "part").parquet(f"{path}/manifest")
 
