@@ -6,13 +6,14 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,22 +154,24 @@ def hash_encode(texts: DataFrame) -> DataFrame:
     return rows.select("text", "embedding", V.norm(F.col("embedding")).alias("norm"))
 
 
-def hash_model() -> Callable[[list[str]], list[list[float]]]:
+def hash_model() -> Callable[[list[str]], np.ndarray | list[np.ndarray | None]]:
     """A model in numpy that gives what ``hash_encode`` gives; a stand-in for a caller's own."""
-    blank, known = re.compile(X.SPACE + "+"), {}
+    known: dict[str, int] = {}
 
-    def slot(token: str) -> int:
+    def number(token: str) -> int:
         if token not in known:
+            if len(known) >= 1 << 18:
+                known.clear()
             known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
         return known[token]
 
-    def run(texts: list[str]) -> list[list[float]]:
-        known.clear()
-        out = []
-        for t in texts:
-            v = np.bincount([slot(w) for w in blank.split(t.lower()) if w], minlength=DIMENSIONS).astype(float)
-            out.append((v / np.linalg.norm(v)).tolist() if v.any() else None)
-        return out
+    def run(texts: list[str]) -> np.ndarray | list[np.ndarray | None]:
+        found = [[number(w) for w in tokens(t.lower())] for t in texts]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.repeat(np.arange(len(n)), n) * DIMENSIONS + np.fromiter(chain.from_iterable(found), np.int64, n.sum())
+        counts = np.bincount(places, minlength=len(n) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
+        out = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1.0)[:, None]
+        return out if n.all() else [v if k else None for v, k in zip(out, n)]
 
     return run
 
@@ -199,23 +202,99 @@ def bounded(texts: list[str], most: int, rows: int) -> Iterator[tuple[int, int]]
         yield first, len(texts)
 
 
-def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], name: str | None = None, batch_bytes: int = BATCH_BYTES, batch_texts: int = BATCH_TEXTS) -> DataFrame:
-    """(text, embedding, norm) by a caller's model; what it gives a text must not depend on the others in its batch.
+def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], Sequence]], name: str | None = None, batch_bytes: int = BATCH_BYTES, batch_texts: int = BATCH_TEXTS, packed: bool = False) -> DataFrame:
+    """(text, embedding, norm) by a caller's model, or (text, vector) ``packed``; what it gives a text must not depend on the others in its batch.
 
     The model is loaded once for each Python worker under its ``name``, or once a task
-    if it has none, and is handed batches bounded in bytes and in texts.  A text that it
-    gives None has no row.
+    if it has none, and is handed batches bounded in bytes and in texts.  It gives a
+    vector, or None, for each text; a text that it gives None has no row.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(encoder, name)
-        for pdf in batches:
-            some = pdf["text"].tolist()
+        for batch in batches:
+            some = batch.column("text").to_pylist()
             for a, b in bounded(some, batch_bytes, batch_texts):
-                vectors = model(some[a:b])
-                yield pd.DataFrame({"text": some[a:b], "embedding": vectors, "norm": [None if v is None else float(np.linalg.norm(np.asarray(v, float))) for v in vectors]})
-
-    return texts.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "text string, embedding array<double>, norm double").where(F.col("embedding").isNotNull())
+                own, vectors, norm = _listed(model(some[a:b]))
+                columns = [pack(vectors, norm)] if packed else [vectors, pa.array(norm, pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("text").slice(a, b - a).take(pa.array(own)), *columns], ["text", *names])
+
+    names = ["vector"] if packed else ["embedding", "norm"]
+    return texts.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "text string, " + ("vector binary" if packed else "embedding array<double>, norm double"))
+
+
+def _listed(vectors: Sequence) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of what a model gives: the places of those that are vectors, these, and their norms."""
+    if isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+        some = vectors.astype(float, copy=False)
+        ends = np.arange(len(some) + 1) * some.shape[1]
+        return np.arange(len(some)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(some.ravel(), pa.float64())), np.sqrt((some * some).sum(axis=1))
+    own = np.array([k for k, v in enumerate(vectors) if v is not None], np.int64)
+    some = [np.asarray(vectors[k], float) for k in own]
+    ends = np.cumsum([0, *map(len, some)])
+    values = np.concatenate(some) if some else np.zeros(0)
+    return own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float64())), np.array([np.linalg.norm(v) for v in some], float)
+
+
+# --- packed vectors: the dimension and the norm, then the components that are not zero ---
+
+_ENTRY = np.dtype([("at", "<u4"), ("value", "<f8")])
+
+
+def pack(vectors: pa.Array, norms: np.ndarray) -> pa.Array:
+    """Vectors with their norms as bytes, without loss: as many entries as there are components that are not zero, and one; null for null."""
+    there = np.asarray(vectors.is_valid())
+    size = np.where(there, np.asarray(pc.fill_null(pc.list_value_length(vectors), 0)), 0)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    full = np.flatnonzero(values != 0)
+    row = np.repeat(np.arange(len(size)), size)[full]
+    n = np.bincount(row, minlength=len(size)) + there
+    ends = np.cumsum(np.append(0, n))
+    out = np.zeros(ends[-1], _ENTRY)
+    heads = ends[:-1][there]
+    out["at"][heads], out["value"][heads] = size[there], norms[there]
+    rest = np.ones(len(out), bool)
+    rest[heads] = False
+    out["at"][rest], out["value"][rest] = full - (np.cumsum(size) - size)[row], values[full]
+    made = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * _ENTRY.itemsize), pa.py_buffer(out.tobytes())])
+    return pc.if_else(pa.array(there), made, None).cast(pa.binary())
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """Vectors (text, embedding, norm) as (text, vector); those that are packed stay."""
+    if "vector" in vectors.columns:
+        return vectors
+    both = F.arrow_udf(lambda v, norm: pack(v, np.asarray(norm.to_numpy(zero_copy_only=False), float)), "binary")("embedding", "norm")
+    return vectors.select(*(c for c in vectors.columns if c not in ("embedding", "norm")), both.alias("vector"))
+
+
+def packed_cosines(vectors: pa.Array, of: np.ndarray) -> np.ndarray:
+    """Cosine of each packed vector to the one at the place that ``of`` names, in [-1, 1]; NaN where either is null.  Only places before a vector's own, or its own, are named."""
+    there = np.asarray(vectors.is_valid())
+    some = vectors.filter(pa.array(there)).cast(pa.large_binary())
+    data, ends = some.buffers()[2], np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1] // _ENTRY.itemsize
+    entries = np.frombuffer(data, _ENTRY, ends[-1])[ends[0] :] if len(some) and data is not None else np.zeros(0, _ENTRY)
+    place, n, heads = np.flatnonzero(there), np.diff(ends), ends[:-1] - ends[0]
+    size, norm = np.full(len(of), -1), np.full(len(of), np.nan)
+    size[place], norm[place] = entries["at"][heads], entries["value"][heads]
+    both = there & there[of]
+    if (size != size[of])[both].any():
+        raise ValueError("vectors differ in length")
+    if (norm == 0)[both].any():
+        raise ValueError("a zero vector has no cosine")
+    rest = np.ones(len(entries), bool)
+    rest[heads] = False
+    own, at, value = np.repeat(place, n)[rest], entries["at"][rest].astype(np.int64), entries["value"][rest]
+    width = int(size.max(initial=0)) + 1
+    anchor = np.zeros(len(of), bool)
+    anchor[of] = True
+    kept = anchor[own]
+    keys, values = own[kept] * width + at[kept], value[kept]  # in order, as places and components are
+    wanted = of[own] * width + at
+    found = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    product = np.where(keys[found] == wanted, values[found] * value, 0.0) if len(keys) else np.zeros(len(wanted))
+    with np.errstate(invalid="ignore"):
+        return np.where(both, np.clip(np.bincount(own, product, len(of)) / (norm * norm[of]), -1.0, 1.0), np.nan)
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
@@ -226,12 +305,13 @@ def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 
 
 def attach(rows: DataFrame, vectors: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Rows with ``<prefix>_vec`` and ``<prefix>_norm`` of the text in that column (null where it has none).
+    """Rows with ``<prefix>_vec`` and ``<prefix>_norm``, or ``<prefix>_vector`` of packed ones, of the text in that column (null where it has none).
 
     They meet by digest, and the whole texts are compared where they meet.  A text that
     very many rows have makes a skewed join, which Spark splits on the rows' side.
     """
-    found = _digested(vectors).select(F.col("digest").alias("_digest"), F.col("text").alias("_text"), F.col("embedding").alias(f"{prefix}_vec"), F.col("norm").alias(f"{prefix}_norm"))
+    columns = (F.col(c).alias(f"{prefix}_{n}") for c, n in (("embedding", "vec"), ("norm", "norm"), ("vector", "vector")) if c in vectors.columns)
+    found = _digested(vectors).select(F.col("digest").alias("_digest"), F.col("text").alias("_text"), *columns)
     mine = rows.withColumn("_mine", digest(F.col(text)))
     # equal by two prefix tests, as an equality would make the text a key of the exchange
     same = F.startswith(F.col(text), F.col("_text")) & F.startswith(F.col("_text"), F.col(text))
@@ -264,28 +344,30 @@ def similarity(a: str, b: str, scale: int | None = None) -> Column:
 # --- the cache: <path>/model_id=<model>/epoch=<epoch>/ ------------------------------
 
 CACHE = "text string, digest binary, check long, embedding array<double>, norm double, model_id string, epoch string"
+PACKED_CACHE = CACHE.replace("embedding array<double>, norm double", "vector binary")
 
 
-def cached(spark: SparkSession, path: str, model_id: str | None = None, without: str | None = None) -> DataFrame:
-    """The cache table, or one model's part of it; ``without`` leaves out what one epoch has written, as when that epoch is run again."""
-    spark.createDataFrame([], CACHE).drop("model_id", "epoch").write.mode("ignore").parquet(f"{path}/model_id=none/epoch=none")
-    rows = spark.read.schema(CACHE).parquet(path).where("epoch <> 'none'")
+def cached(spark: SparkSession, path: str, model_id: str | None = None, without: str | None = None, packed: bool = False) -> DataFrame:
+    """The cache table, or one model's part of it; ``without`` leaves out what one epoch has written, as when that epoch is run again.  A cache holds vectors that are ``packed``, or such that are not."""
+    schema = PACKED_CACHE if packed else CACHE
+    spark.createDataFrame([], schema).drop("model_id", "epoch").write.mode("ignore").parquet(f"{path}/model_id=none/epoch=none")
+    rows = spark.read.schema(schema).parquet(path).where("epoch <> 'none'")
     if model_id is not None:
         rows = rows.where(F.col("model_id") == model_id)
     return rows if without is None else rows.where(F.col("epoch") != without)
 
 
 def cache_append(vectors: DataFrame, path: str, model_id: str, epoch: str) -> None:
-    """Add vectors (text, embedding, norm) to the cache as one epoch; an epoch that is written again replaces its own rows and no others."""
-    rows = _digested(vectors).select("text", "digest", "check", "embedding", "norm")
-    rows.write.mode("overwrite").parquet(f"{path}/model_id={quote(model_id, safe='')}/epoch={quote(epoch, safe='')}")
+    """Add vectors (text, embedding, norm; or text, vector) to the cache as one epoch; an epoch that is written again replaces its own rows and no others."""
+    rows = _digested(vectors).select("text", "digest", "check", *(c for c in ("embedding", "norm", "vector") if c in vectors.columns))
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/model_id={quote(model_id, safe='')}/epoch={quote(epoch, safe='')}")
 
 
-def cache_add(texts: DataFrame, path: str, model_id: str, epoch: str, encode: Callable[[DataFrame], DataFrame] = hash_encode) -> None:
+def cache_add(texts: DataFrame, path: str, model_id: str, epoch: str, encode: Callable[[DataFrame], DataFrame] = hash_encode, packed: bool = False) -> None:
     """One chain: each text once, those that the cache lacks, their vectors, appended.
 
     What this epoch may have written before, in full or in part, counts as absent, so
     that running it again leaves the same rows.
     """
-    lacking = cache_miss(text_dedupe(texts), cached(texts.sparkSession, path, model_id, without=epoch))
+    lacking = cache_miss(text_dedupe(texts), cached(texts.sparkSession, path, model_id, without=epoch, packed=packed))
     cache_append(encode(lacking), path, model_id, epoch)

@@ -91,14 +91,10 @@ def score(answered: DataFrame, operator: str, expected: int | None = EXPECTED, s
     """
     if "error" in answered.columns:  # a failed call has no candidates
         answered = answered.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw")))
+    rows = S.baseline(answered, scale) if operator == "influence" else answered.withColumn("baseline", F.lit(None).cast("double"))
     if vectors is None:
-        rows = S.baseline(answered, scale) if operator == "influence" else answered.withColumn("baseline", F.lit(None).cast("double"))
         return S.hash_scored(rows, operator, expected, scale, **limits).drop("raw")
-    rows = S.parsed(answered, expected).drop("raw")
-    rows = S.attached_similarities(rows, "target" if operator == "influence" else "current", vectors, "number", scale=scale)
-    if operator == "influence":
-        return S.influence_scored(S.baseline(rows, scale), scale, **limits)
-    return S.turbulence_scored(rows.withColumn("baseline", F.lit(None).cast("double")), scale, **limits)
+    return S.model_scored(rows, operator, vectors, "number", expected=expected, scale=scale, **limits)
 
 
 def movement_candidates(scored: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semspark.functions import arrays as A
 from semspark.functions import text as X
@@ -65,6 +66,24 @@ def attached_similarities(rows: DataFrame, anchor: str, vectors: DataFrame, *key
     return rows.join(found, list(key), "left")
 
 
+def model_scored(rows: DataFrame, operator: str, vectors: DataFrame, *key: str, expected: int | None = None, scale: int | None = None, **limits) -> DataFrame:
+    """Rows (raw, current, baseline; target for an influence) with ``scored`` by the vectors (text, embedding, norm; or text, vector) of a cache; ``key`` tells rows apart.
+
+    Candidates and the texts they are held against meet their vectors in one join, by
+    digest, and then come together by key, with the row, in one exchange: no vector is
+    moved twice, and none but in packed form.
+    """
+    asked = F.col("raw").isNotNull()
+    row = F.struct(*(c for c in rows.columns if c != "raw"), asked.alias("_asked"))
+    texts = F.concat(F.array("target" if operator == "influence" else "current"), F.when(asked, W.lines(F.col("raw"), expected)).otherwise(F.array().cast("array<string>")))
+    some = rows.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(key)), row.alias("_row"), F.posexplode(texts).alias("_ordinal", "_said"))
+    some = some.withColumn("_row", F.when(F.col("_ordinal") == 0, F.col("_row")))
+    met = E.attach(some, E.packed(vectors), "_said", "_said").repartition(*(f"_{k}" for k in range(len(key))))
+    met = met.sortWithinPartitions(*(f"_{k}" for k in range(len(key))), "_ordinal").select("_ordinal", F.col("_said").alias("_text"), F.col("_said_vector").alias("_vector"), "_row")
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "raw"]
+    return met.mapInArrow(W.by_vectors(operator, scale, **limits), T.StructType([*fields, T.StructField("scored", T.DataType.fromDDL(W.SCORED))]))
+
+
 def baseline(rows: DataFrame, scale: int | None = None, name: str = "baseline") -> DataFrame:
     """Rows with the similarity of ``current`` and ``target``, which a candidate has to better."""
     return A.settled(rows.withColumn("_one", W.baseline(F.col("current"), F.col("target"), scale)), name, F.col("_one")).drop("_one")

@@ -58,8 +58,7 @@ def scored(runs: DataFrame, jobs: DataFrame | None, expected: int | None = None,
     if vectors is None:
         rows = S.hash_scored(rows, "influence", expected, scale, **limits)
     else:
-        rows = S.attached_similarities(S.parsed(rows, expected), "target", vectors, "job_id", "run_number", scale=scale)
-        rows = S.influence_scored(rows, scale, **limits)
+        rows = S.model_scored(rows, "influence", vectors, "job_id", "run_number", expected=expected, scale=scale, **limits)
     return rows.select("job_id", "run_number", "error", "scored")
 
 
