@@ -77,13 +77,17 @@ def _at(values: np.ndarray, scale: int | None) -> np.ndarray:
     return np.array([x if math.isnan(x) else _rounded(x, scale) for x in each.tolist()], float)[at]
 
 
+#: A token between texts that are split together.
+_GAP = "\0"
+
+
 class _Slots(dict):
     """Slots of tokens that this worker has met, a bounded number of them."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= 1 << 18:
             self.clear()
-        self[token] = found = E.slot(token)
+        self[token] = found = -1 if token == _GAP else E.slot(token)
         return found
 
 
@@ -91,15 +95,37 @@ _SLOTS = _Slots()
 
 
 def _vectors(lows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-cased texts: the tokens of each, their slots one after another, and the lengths of the vectors."""
-    split = E.splitter(lows)
-    found = [split(t) for t in lows]
-    n = np.fromiter(map(len, found), np.int64, len(found))
-    slots = np.fromiter(map(_SLOTS.__getitem__, chain.from_iterable(found)), np.int64, n.sum())
+    """Of lower-cased texts: the number of tokens of each, their slots one after another, and the lengths of the vectors."""
+    n, slots = _together(lows) or _one_by_one(lows)
     keys, times = np.unique(np.repeat(np.arange(len(n)), n) * E.DIMENSIONS + slots, return_counts=True)
     return n, slots, np.sqrt(np.bincount(keys // E.DIMENSIONS, times * times, len(n)))
 
 
+def _together(lows: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The texts split at once, without a list for each; None where their characters forbid it."""
+    split = E.splitter(lows)
+    if split is E.tokens:
+        return None
+    found = split(f" {_GAP} ".join(lows))
+    slots = np.fromiter(map(_SLOTS.__getitem__, found), np.int64, len(found))
+    gaps = np.flatnonzero(slots < 0)
+    if len(gaps) != len(lows) - 1:  # a text has such a token
+        return None
+    return np.diff(np.concatenate([[-1], gaps, [len(found)]])) - 1, slots[slots >= 0]
+
+
+def _one_by_one(lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = [E.tokens(t) for t in lows]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return n, np.fromiter(map(E.slot, chain.from_iterable(found)), np.int64, n.sum())
+
+
+def _lowered(texts: list[str]) -> list[str]:
+    """All lower-cased at once; what a letter becomes depends on no text but its own, as there is a space on either side."""
+    every = f" {_GAP} ".join(texts)
+    return every.lower().split(f" {_GAP} ") if every.count(_GAP) == len(texts) - 1 else [t.lower() for t in texts]
+
+
 def _similarities(n: np.ndarray, slots: np.ndarray, length: np.ndarray, of: np.ndarray, aims: list[str]) -> np.ndarray:
     """Cosine of each text to the aim that ``of`` names, within [-1, 1]; NaN where either has no token."""
     aim_n, aim_slots, aim_length = _vectors(aims)
@@ -130,7 +156,7 @@ def _sides(current: pa.Array, target: pa.Array) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.int64), np.array([], object), np.array([], object)
     a, b = (np.asarray(x.dictionary_encode(null_encoding="encode").indices) for x in (current, target))
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    now, then = (np.array([x and x.lower() for x in some.filter(pa.array(new)).to_pylist()], object) for some in (current, target))
+    now, then = (np.array([x and x.lower() for x in E.strings(some.filter(pa.array(new)))], object) for some in (current, target))
     return np.cumsum(new) - 1, now, then
 
 
@@ -169,7 +195,7 @@ def _judge(operator: str, expected: int | None, scale: int | None, limits: dict)
         found, row, ordinal = parse(raw, expected)
         side, now, then = _sides(current, target)
         of = side[row]
-        lows = [c.lower() for c in found.to_pylist()]
+        lows = _lowered(E.strings(found))
         n, slots, length = _vectors(lows)
         s = _at(_similarities(n, slots, length, of, [x or "" for x in (then if operator == "influence" else now)]), scale)
         return found, row, ordinal, s, *label(lows, n, row, of, now, then, s, _floats(baseline))
@@ -220,7 +246,7 @@ def by_vectors(operator: str, scale: int | None = None, **limits) -> Callable[[I
         s = _at(E.packed_cosines(_flat(table["_vector"]), its[row])[some], scale)
         found, row = _flat(table["_text"].take(pa.array(some))), row[some]
         side, now, then = _sides(_valid(columns["current"]), _valid(columns["target"]) if operator == "influence" else pa.nulls(len(its), pa.string()))
-        lows = [c.lower() for c in found.to_pylist()]
+        lows = _lowered(E.strings(found))
         split = E.splitter(lows)
         n = np.fromiter((len(split(t)) for t in lows), np.int64, len(lows))
         gain, apart, reason = label(lows, n, row, side[row], now, then, s, _floats(columns["baseline"]))
@@ -267,10 +293,12 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def _called(run, kind: str, operator: str) -> Column:
-    text = lambda c: F.make_valid_utf8(F.col(c))
+    raw = F.make_valid_utf8(F.col("raw"))
+    # an answer without a character has no candidate, which is held against nothing
+    text = lambda c: F.when(raw != "", F.make_valid_utf8(F.col(c)))
     target = text("target") if operator == "influence" else F.lit(None).cast("string")
     baseline = F.col("baseline") if operator == "influence" else F.lit(None).cast("double")
-    return F.arrow_udf(run, kind)(text("raw"), text("current"), target, baseline)
+    return F.arrow_udf(run, kind)(raw, text("current"), target, baseline)
 
 
 def _number(x: np.ndarray) -> pa.Array:
