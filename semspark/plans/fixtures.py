@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.operators import embedding as E
@@ -47,10 +45,12 @@ _PARTS = "array<struct<rol:string,topico:string,accion:string>>"
 def _split(texts: pa.Array) -> pa.Array:
     """Of each text its passages; a text without words has one of empty strings, a null one of nulls."""
     slots, ends = [], [0]
-    for text in texts.to_pylist():
-        w = None if text is None else E.tokens(text)
-        for i in range(0, max(1, len(w or ())), PASSAGE):
-            slots += (None, None, None) if w is None else (" ".join(w[j : j + 5]) for j in range(i, i + PASSAGE, 5))
+    for text in E.strings(texts):
+        if text is None:
+            slots += (None, None, None)
+        else:
+            w = E.tokens(text)
+            slots += [" ".join(w[j : j + 5]) for j in range(0, PASSAGE * max(1, -(-len(w) // PASSAGE)), 5)]
         ends.append(len(slots) // 3)
     values = pa.StructArray.from_arrays([pa.array(slots[k::3], pa.string()) for k in range(3)], ["rol", "topico", "accion"])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -96,11 +96,9 @@ def _wrapped(lines: list[str | None], place: int) -> str:
     return f"```text\n{text}\n```" if place % 5 == 0 else text
 
 
-_UPPER = str.maketrans(ascii_lowercase, ascii_uppercase)
-
-
 def _upper(text: str) -> str:
-    return text.upper() if text.isascii() else text.translate(_UPPER)
+    """With the letters of ASCII in upper case, and no others."""
+    return text.encode().upper().decode()
 
 
 def _mixed(some: list[str], n: int, current: list[str]) -> str:
@@ -125,7 +123,8 @@ def turbulence_lines(c: list[str], o: list[str], place: int) -> list[str | None]
 def _answered(operator: pa.Array, current: pa.Array, other: pa.Array, place: pa.Array) -> pa.Array:
     """Each movement's answer; null for one call in seventeen."""
     out = []
-    for op, c, o, k in zip(*(x.to_pylist() for x in (operator, current, other, place))):
+    operators, currents, others = (E.strings(x) for x in (operator, current, other))
+    for op, c, o, k in zip(operators, currents, others, place.to_numpy().tolist()):
         lines = influence_lines if op == "influence" else turbulence_lines
         out.append(None if k % 17 == 3 else _wrapped(lines(E.tokens(c or ""), E.tokens(o or ""), k), k))
     return pa.array(out, pa.string())
@@ -141,8 +140,13 @@ def responder(movements: DataFrame) -> DataFrame:
 
 def _two_answers(current: pa.Array, target: pa.Array) -> pa.Array:
     """Of each job the eight lines of an influence, in two answers of four."""
-    rows = (influence_lines(E.tokens(c or ""), E.tokens(t or ""), 1) for c, t in zip(current.to_pylist(), target.to_pylist()))
-    return pa.array([["\n".join(x for x in lines[k : k + 4] if x is not None) for k in (0, 4)] for lines in rows], pa.list_(pa.string()))
+    currents, targets = ([t or "" for t in E.strings(x)] for x in (current, target))
+    split = E.splitter([*currents, *targets])
+    said = []
+    for c, t in zip(currents, targets):
+        lines = influence_lines(split(c), split(t), 1)
+        said += ("\n".join(lines[:4]), "\n".join([x for x in lines[4:8] if x is not None]))  # of the first eight only the last may be missing
+    return pa.ListArray.from_arrays(pa.array(range(0, len(said) + 1, 2), pa.int32()), pa.array(said, pa.string()))
 
 
 def eval_jobs(people: DataFrame) -> DataFrame:
@@ -150,13 +154,28 @@ def eval_jobs(people: DataFrame) -> DataFrame:
     return people.select(F.col("position").alias("job_id"), F.col("rol").alias("current"), F.col("pbest.rol").alias("target"))
 
 
+def eval_said(jobs: DataFrame) -> DataFrame:
+    """Jobs with the two answers that their runs get."""
+    return jobs.withColumn("said", F.arrow_udf(_two_answers, "array<string>")(F.make_valid_utf8("current"), F.make_valid_utf8("target")))
+
+
+RUNS = 4
+
+
+def _runs(number: int) -> list[Column]:
+    """The columns of the job's run of this number: the first two have four lines each, the third is empty and the fourth timed out."""
+    raw = F.get("said", F.lit(number - 1)) if number < 3 else F.lit("" if number == 3 else None).cast("string")
+    return [F.lit(number).alias("run_number"), raw.alias("raw"), F.lit("timeout" if number == 4 else None).cast("string").alias("error")]
+
+
+def eval_run(said: DataFrame, number: int) -> DataFrame:
+    """One run of each job (see ``eval_said``), of those that ``eval_runs`` gives."""
+    return said.select(*(c for c in said.columns if c != "said"), *_runs(number))
+
+
 def eval_runs(jobs: DataFrame) -> DataFrame:
     """The runs of each job: two of four lines, one empty and one that timed out.  They are made in the job's row and bear its columns, so that they need not meet it again."""
-    said = jobs.withColumn("said", F.arrow_udf(_two_answers, "array<string>")(F.make_valid_utf8("current"), F.make_valid_utf8("target")))
-    none = F.lit(None).cast("string")
-    answers = [(F.get("said", F.lit(0)), none), (F.get("said", F.lit(1)), none), (F.lit(""), none), (none, F.lit("timeout"))]
-    raws = F.array(*(F.struct(F.lit(k).alias("run_number"), raw.alias("raw"), error.alias("error")) for k, (raw, error) in enumerate(answers, 1)))
-    return said.select(*jobs.columns, F.inline(raws))
+    return eval_said(jobs).select(*jobs.columns, F.inline(F.array(*(F.struct(*_runs(k)) for k in range(1, RUNS + 1)))))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
