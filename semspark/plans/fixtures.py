@@ -81,7 +81,8 @@ def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = docs.groupBy("doc_id").agg(F.sum("count").alias("count"))
     before = R.carried(counts.withColumn("upto", F.col("count")), (), "doc_id", {"upto": "sum"}).select("doc_id", (F.col("upto") - F.col("count")).alias("before"))
     best = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("parts").alias("bests"))
-    rows = docs.select("doc_id", "lang", "parts").join(before, "doc_id").join(best, "doc_id", "left").join(leaders, "lang", "left")
+    rows = docs.select("doc_id", "lang", "parts").join(before, "doc_id").join(best, "doc_id", "left")
+    rows = rows.join(F.broadcast(leaders), "lang", "left")  # one row a language, by which no passage is to be dealt out
     rows = rows.select("doc_id", "before", "lider", "bests", F.posexplode("parts").alias("part", "own"))
     name = F.concat_ws("-", F.lit("ind"), F.col("doc_id").cast("string"), F.col("part").cast("string"))
     return rows.select((F.col("before") + F.col("part")).alias("position"), name.alias("id"), "own.*", F.get("bests", "part").alias("pbest"), "lider", "doc_id", "part")

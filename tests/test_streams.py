@@ -77,3 +77,13 @@ def test_upper_case_is_that_of_columns(spark):
     some = ["abc Xyz", "ñandú é ß", "δελτα", ""]
     got = spark.createDataFrame([(t,) for t in some], "t string").select("t", X.ascii_upper(F.col("t")).alias("u")).collect()
     assert all(FX._upper(r.t) == r.u for r in got)
+
+
+def test_no_passage_is_dealt_out_by_its_language(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FX.individuals(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("hashpartitioning(lang#") == 1  # that of the leaders, of which there is one a language
