@@ -349,7 +349,8 @@ def similarity(a: str, b: str, scale: int | None = None) -> Column:
 # --- the cache: <path>/model_id=<model>/epoch=<epoch>/ ------------------------------
 
 CACHE = "text string, digest binary, check long, embedding array<double>, norm double, model_id string, epoch string"
-PACKED_CACHE = CACHE.replace("embedding array<double>, norm double", "vector binary")
+#: Digests, which no packing makes smaller, are made of the texts again when these are met.
+PACKED_CACHE = "text string, vector binary, model_id string, epoch string"
 
 
 def cached(spark: SparkSession, path: str, model_id: str | None = None, without: str | None = None, packed: bool = False) -> DataFrame:
@@ -364,7 +365,7 @@ def cached(spark: SparkSession, path: str, model_id: str | None = None, without:
 
 def cache_append(vectors: DataFrame, path: str, model_id: str, epoch: str) -> None:
     """Add vectors (text, embedding, norm; or text, vector) to the cache as one epoch; an epoch that is written again replaces its own rows and no others."""
-    rows = _digested(vectors).select("text", "digest", "check", *(c for c in ("embedding", "norm", "vector") if c in vectors.columns))
+    rows = vectors.select("text", "vector") if "vector" in vectors.columns else _digested(vectors).select("text", "digest", "check", "embedding", "norm")
     rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/model_id={quote(model_id, safe='')}/epoch={quote(epoch, safe='')}")
 
 

@@ -70,3 +70,13 @@ def test_vectors_move_once_and_packed(spark):
     assert len(re.findall("SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin", plan)) == 1
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3  # texts, vectors, and both by row
     assert "ArrowEvalPython" in plan.split("Exchange hashpartitioning")[-1]  # packed before they are dealt out
+
+
+def test_a_packed_cache_holds_texts_and_vectors_and_is_not_added_to_twice(spark):
+    path = sinks.shared_path(spark, "cache")
+    add = lambda epoch, *some: E.cache_add(spark.createDataFrame([(t,) for t in some], "text string"), path, "m", epoch, lambda t: E.encode(t, E.hash_model, name="m", packed=True), packed=True)
+    for epoch, some in (("0", ("a", "b", "a", "")), ("1", ("b", "c")), ("0", ("a", "b"))):
+        add(epoch, *some)
+    rows = E.cached(spark, path, "m", packed=True)
+    assert sorted((r.text, r.epoch) for r in rows.collect()) == [("a", "0"), ("b", "0"), ("c", "1")]
+    assert spark.read.parquet(f"{path}/model_id=m/epoch=1").columns == ["text", "vector"]
